@@ -93,9 +93,8 @@ def snippet(text: Column, lines: int = 25) -> Column:
 def tokens(text: Column) -> Column:
     """Distinct lower-cased identifier parts without stop words."""
     spaced = F.regexp_replace(F.coalesce(text, F.lit("")), K.CAMEL_PATTERN, " ")
-    parts = F.split(F.lower(spaced), K.TOKEN_SPLIT_PATTERN, -1)
-    return F.array_except(
-        F.array_distinct(F.filter(parts, lambda t: F.length(t) > 1)), _strings(K.STOPWORDS))
+    parts = F.split(F.lower(F.regexp_replace(spaced, K.TOKEN_SPLIT_PATTERN, " ")), " ", -1)
+    return F.array_except(F.filter(parts, lambda t: F.length(t) > 1), _strings(K.STOPWORDS))
 
 
 def overlap(query_tokens: Column, text_tokens: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def as_matrix(column, dtype=np.float64) -> np.ndarray:
@@ -42,3 +44,13 @@ def cos_from_distance(distance: Column) -> Column:
 
 def normalised(rows: np.ndarray) -> np.ndarray:
     return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    """Arrow schema of a DDL string; built on the driver, carried by closures."""
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
+def batch_of(columns, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, type=f.type) for c, f in zip(columns, schema)], schema=schema)

@@ -10,6 +10,7 @@ import ast
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from .. import constants as K
 
@@ -92,7 +93,7 @@ def spans_of(text: str | None, lang: str | None):
         return None
 
 
-@F.arrow_udf("array<struct<start:int,end:int,symbol:string>>")
+@F.arrow_udf(from_arrow_type(_SPANS))
 def _spans(text: pa.Array, lang: pa.Array) -> pa.Array:
     return pa.array([spans_of(t.as_py(), n.as_py()) for t, n in zip(text, lang)], type=_SPANS)
 
