@@ -39,9 +39,9 @@ def windows(lines: Column, first: Column, last: Column) -> Column:
 
 def line_windows(files: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """One row per line window of every text; the line array never leaves its row."""
-    lines = F.split(F.col(text), "\n", -1)
-    last = F.size(lines) - 1
-    return (files.select(*keep, F.explode(windows(lines, F.lit(0), last)).alias("_w"))
+    split = files.select(*keep, F.split(F.col(text), "\n", -1).alias("_lines"))
+    lines = F.col("_lines")
+    return (split.select(*keep, F.explode(windows(lines, F.lit(0), F.size(lines) - 1)).alias("_w"))
             .select(*keep, "_w.start_line", "_w.end_line", "_w.symbol", "_w.text"))
 
 
@@ -81,9 +81,9 @@ def _segments(spans: Column, n_lines: Column) -> Column:
 def chunk_files(files: DataFrame, *keep: str) -> DataFrame:
     """(path, text, *keep) -> chunks; unknown suffixes give no rows."""
     known = files.withColumn("lang", T.path_lang(F.col("path"))).where("lang <> ''")
-    spans = known.select(*keep, "path", "lang", "text",
+    spans = known.select(*keep, "path", "lang", F.split("text", "\n", -1).alias("_lines"),
                          syntax_spans(F.col("text"), F.col("lang")).alias("_spans"))
-    lines = F.split(F.col("text"), "\n", -1)
+    lines = F.col("_lines")
 
     def expand(s: Column) -> Column:
         whole = F.array(F.struct((s["first"] + 1).cast("int").alias("start_line"),
@@ -94,7 +94,8 @@ def chunk_files(files: DataFrame, *keep: str) -> DataFrame:
 
     empty = F.array().cast("array<struct<start:int,end:int,symbol:string>>")
     segments = _segments(F.coalesce(F.col("_spans"), empty), F.size(lines))
-    chunks = F.flatten(F.transform(segments, expand))
+    spans = spans.withColumn("_segments", segments)
+    chunks = F.flatten(F.transform("_segments", expand))
     return (spans.select(*keep, "path", "lang", F.explode(chunks).alias("_c"))
             .select(*keep, "path", "lang", "_c.start_line", "_c.end_line", "_c.symbol",
                     "_c.text"))

@@ -53,6 +53,14 @@ def _tree_spans(parser, text: str, lang: str):
             todo.extend(node.children)
 
 
+def _statements(node):
+    """Statements directly inside a node; definitions cannot hide in expressions."""
+    for field in ("body", "orelse", "finalbody", "handlers", "cases"):
+        inner = getattr(node, field, None)
+        if isinstance(inner, list):
+            yield from inner
+
+
 def _python_spans(text: str):
     offsets = [0]
     for line in text.encode("utf-8", "replace").split(b"\n"):
@@ -71,9 +79,9 @@ def _python_spans(text: str):
                     yield line - 1, node.end_lineno - 1, node.name[:120]
                     break
             else:
-                todo.extend(ast.iter_child_nodes(node))
+                todo.extend(_statements(node))
         else:
-            todo.extend(ast.iter_child_nodes(node))
+            todo.extend(_statements(node))
 
 
 def spans_of(text: str | None, lang: str | None):

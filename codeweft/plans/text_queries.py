@@ -93,7 +93,7 @@ def snippet_head(spark, sf):
 
 
 def tokens_overlap(spark, sf):
-    p = V.table(spark, sf, "pages").select("page_id", T.tokens(F.col("html")).alias("q"),
+    p = V.table(spark, sf, "pages", busy=True).select("page_id", T.tokens(F.col("html")).alias("q"),
                                            T.tokens(F.col("url")).alias("c"))
     return p.select("page_id", F.size("q").alias("query_tokens"), F.size("c").alias("url_tokens"),
                     F.round(T.overlap(F.col("q"), F.col("c")), 6).alias("overlap"))
@@ -118,7 +118,7 @@ def text_decode(spark, sf):
 def _python_files(spark, sf):
     """One small Python module per part; the class is as long as the part's size."""
     k = F.col("p_partkey").cast("string")
-    return V.table(spark, sf, "part").select(
+    return V.table(spark, sf, "part", busy=True).select(
         "p_partkey", "p_size", F.format_string("pkg/m%d.py", "p_partkey").alias("path"),
         F.concat(F.lit("import os\n\n@cached\ndef f_"), k, F.lit("(a):\n    return a\n\nclass C"), k,
                  F.lit(":\n"), F.repeat(F.lit("    x = 1\n"), F.col("p_size") * 8),
@@ -203,7 +203,7 @@ def _commits(spark, sf):
 
 
 def _commit_files(spark, sf):
-    li = V.table(spark, sf, "lineitem").join(
+    li = V.table(spark, sf, "lineitem", busy=True).join(
         V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     return li.select(
         F.format_string("org/c%d", F.col("o_custkey") % 9).alias("repo"), F.col("l_orderkey").cast("string").alias("sha"),

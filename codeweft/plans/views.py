@@ -8,15 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.chunking import line_windows
+from ..session import spread
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, busy: bool = False) -> DataFrame:
+    """A driver table; `busy` ones feed per-row text work and are spread over all cores."""
+    scan = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(scan) if busy else scan
 
 
 # -- files and their chunks, from documents
 def files(spark, sf):
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", busy=True).select(
         F.col("source").alias("repo"), F.format_string("doc/%d.md", "doc_id").alias("path"),
         "doc_id", F.col("lang").alias("prose"), "text")
 
@@ -208,7 +211,7 @@ def candidates(spark, sf, k: int = 30):
     near = batch_top_k(chunk.select(F.col("id").alias("qid"), "embedding"), chunk, k)
     asked = chunk.select(F.col("id").alias("qid"), F.col("repo").alias("query_repo"),
                          F.col("label").alias("query_label")) \
-        .join(table(spark, sf, "documents").select(F.col("doc_id").alias("qid"),
+        .join(table(spark, sf, "documents", busy=True).select(F.col("doc_id").alias("qid"),
                                                    "text"), "qid", "left") \
         .withColumn("query_tokens", tokens(F.concat(
             F.coalesce("text", F.lit("")), F.lit(" src/f"), F.floor(F.col("qid") / 4).cast("string"),

@@ -54,3 +54,10 @@ def cut(df: DataFrame) -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                spark.sparkContext.defaultParallelism)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use every core on an input of few files. `scan` is a bare read: asking for its
+    partitions runs nothing, and an input with enough of them is left as it is."""
+    n = parallelism(scan.sparkSession)
+    return scan if scan.rdd.getNumPartitions() >= n // 2 else scan.repartition(n)
