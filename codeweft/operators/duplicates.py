@@ -92,7 +92,7 @@ def best_foreign(vectors: DataFrame, threshold: float = -1.0,
     placed = v.withColumn("blk", mine).withColumn("cell", F.explode(cells)) \
               .select("cell.i", "cell.j", "blk", "id", "repo_key", "embedding")
 
-    def cell(key, table: pa.Table) -> pa.Table:
+    def cell(key, table):
         i, j = (x.as_py() for x in key)
         blk = table.column("blk").to_numpy()
         left = _block(table.filter(pa.array(blk == i)))

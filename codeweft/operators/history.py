@@ -31,8 +31,8 @@ def collect_queries(commits: DataFrame, changes: DataFrame, since: int = 0,
 
 
 def touched_files(queries: DataFrame) -> DataFrame:
-    return queries.select(F.concat_ws("@", "repo", "sha").alias("qid"),
-                          T.file_key(F.col("repo"), F.explode("files")).alias("file"))
+    return queries.select(F.concat_ws("@", "repo", "sha").alias("qid"), F.explode(
+        F.transform("files", lambda f: T.file_key(F.col("repo"), f))).alias("file"))
 
 
 def build_groups(queries: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -52,13 +52,13 @@ def build_groups(queries: DataFrame, labelled: DataFrame) -> DataFrame:
                     final.alias("candidates")))
 
 
-def explode_groups(groups: DataFrame, require_positive: bool = True) -> DataFrame:
+def explode_groups(groups: DataFrame, require_positive: bool = True, *keep: str) -> DataFrame:
     """Stored groups back to one row per candidate with the query's own tokens and repo."""
     used = groups.where("n_pos > 0") if require_positive else groups
     return (used.select(F.concat_ws("@", "repo", "sha").alias("qid"), F.col("repo").alias("query_repo"),
-                        "sha", "ts", T.tokens(F.col("query")).alias("query_tokens"),
+                        "sha", "ts", *keep, T.tokens(F.col("query")).alias("query_tokens"),
                         F.posexplode("candidates").alias("id", "c"))
-            .select("qid", "query_repo", "sha", "ts", "query_tokens", "id", "c.*"))
+            .select("qid", "query_repo", "sha", "ts", *keep, "query_tokens", "id", "c.*"))
 
 
 def added_ranges(diff: DataFrame) -> DataFrame:

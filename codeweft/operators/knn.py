@@ -152,7 +152,7 @@ def _against_grid(q, c, k, fields, n, row_bytes, cell_bytes):
     qs = q.withColumn("qb", block("qid", qb)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
     cs = c.withColumn("cb", block("id", cb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+    def cell(left, right):
         out = _nearest(*_sorted_block(left, "qid", "qv"), *_sorted_block(right, "id", "v"), k)
         return pa.Table.from_batches([batch_of(out, result)])
 

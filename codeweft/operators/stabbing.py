@@ -51,10 +51,11 @@ def _tiles(lo: Column, hi: Column, levels: int) -> Column:
     return F.concat(*out)
 
 
-def _probes(pos: Column, levels: int) -> Column:
-    return F.array(*[F.struct(F.lit(lv).alias("level"),
-                              F.shiftright(pos.cast("long"), _RADIX_BITS * lv).alias("node"))
-                     for lv in range(levels)])
+def _probes(on: Column, pos: Column, levels: int) -> list[Column]:
+    """The one block per level that holds `pos`."""
+    return [F.struct(on.cast("int").alias("on"), F.lit(lv).alias("level"),
+                     F.shiftright(pos.cast("long"), _RADIX_BITS * lv).alias("node"))
+            for lv in range(levels)]
 
 
 def resolve_enclosing(points: DataFrame, intervals: DataFrame, doc: list[str],
@@ -98,13 +99,10 @@ def resolve_enclosing(points: DataFrame, intervals: DataFrame, doc: list[str],
                       F.col("t.node").alias("node"))
              .agg(F.max("best").alias("best")))
 
-    by_line = F.transform(_probes(F.col("line"), line_levels), lambda p: F.struct(
-        whole_line.alias("on"), p["level"].alias("level"), p["node"].alias("node")))
-    by_ch = F.transform(_probes(F.col("ch"), ch_levels), lambda p: F.struct(
-        F.col("line").alias("on"), p["level"].alias("level"), p["node"].alias("node")))
-    asked = (at.select(*doc, "line", "ch", F.explode(F.concat(by_line, by_ch)).alias("t"))
-             .select(*doc, "line", "ch", F.col("t.on").alias("on"),
-                     F.col("t.level").alias("level"), F.col("t.node").alias("node")))
+    probes = F.array(*_probes(whole_line, F.col("line"), line_levels),
+                     *_probes(F.col("line"), F.col("ch"), ch_levels))
+    asked = (at.select(*doc, "line", "ch", F.explode(probes).alias("t"))
+             .select(*doc, "line", "ch", "t.on", "t.level", "t.node"))
     return (asked.join(nodes, [*doc, "on", "level", "node"], "left")
             .groupBy(*doc, "line", "ch").agg(F.max("best").alias("best"))
             .select(*doc, "line", "ch", F.col(f"best.{payload}").alias(payload)))

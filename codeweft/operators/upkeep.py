@@ -124,10 +124,12 @@ def reusable(cache: DataFrame, pins: DataFrame) -> DataFrame:
 Embedder = Callable[[list[str]], np.ndarray]
 
 
-def embed(chunks: DataFrame, make_model: Callable[[], Embedder], batch: int = 8) -> DataFrame:
+def embed(chunks: DataFrame, make_model: Callable[[], Embedder], batch: int = 8,
+          raw: bool = False) -> DataFrame:
     """Run the model over chunks without a vector. One model per task, Arrow batches in.
 
-    `make_model` is called on the worker, so the model itself is never shipped.
+    `make_model` is called on the worker, so the model itself is never shipped. `raw` embeds
+    the text as it is (queries) instead of prefixed and cut (chunks).
     """
     @F.pandas_udf("array<float>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -138,7 +140,7 @@ def embed(chunks: DataFrame, make_model: Callable[[], Embedder], batch: int = 8)
                     for v in np.asarray(model(values[i:i + batch]), dtype=np.float32)]
             yield pd.Series([v.tolist() for v in rows])
 
-    text = T.embed_text(F.col("repo"), F.col("path"), F.col("text"))
+    text = F.col("text") if raw else T.embed_text(F.col("repo"), F.col("path"), F.col("text"))
     return chunks.withColumn("embedding", run(text))
 
 
