@@ -102,8 +102,7 @@ def _search(spark, a):
     store = IndexStore(spark, a.root)
     ledger = files.read_ledger(spark, a.ledger) if a.ledger else None
     if ledger is not None:
-        ledger = duplicates.both_directions(ledger).groupBy("file").agg(
-            F.collect_list(F.struct("other", "n", "max_sim")).alias("duplicates"))
+        ledger = duplicates.both_directions(ledger)
     print(knn.semantic_search(store.chunks(), _vector(a.vector), a.k, a.repo, ledger,
                               store.get_meta("updated_at") or ""))
     return 0

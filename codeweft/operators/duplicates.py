@@ -13,7 +13,8 @@ from .knn import CELL_BYTES, blocks_for
 
 # Similarities closer than this are the same number; the smaller id then wins.
 _TIE = 1e-9
-_ROWS = 2000
+# Similarities held at once by one task.
+_TILE = 8 << 20
 
 
 def analysis_set(chunks: DataFrame) -> DataFrame:
@@ -29,10 +30,10 @@ def _best(ids_a, repo_a, a, ids_b, repo_b, b, threshold):
 
     Rows of b ascend by id, so the first column within the tie margin is the smallest id.
     """
-    out = [], [], []
-    for s in range(0, len(a), _ROWS):
-        sims = a[s:s + _ROWS] @ b.T
-        sims[repo_a[s:s + _ROWS, None] == repo_b[None, :]] = -2.0
+    out, step = ([], [], []), max(1, _TILE // max(len(b), 1))
+    for s in range(0, len(a), step):
+        sims = a[s:s + step] @ b.T
+        sims[repo_a[s:s + step, None] == repo_b[None, :]] = -2.0
         top = sims.max(axis=1)
         col = (sims >= top[:, None] - _TIE).argmax(axis=1)
         keep = np.nonzero((top > -1.5) & (top >= threshold))[0]
@@ -106,6 +107,7 @@ def best_foreign(vectors: DataFrame, threshold: float = -1.0,
             found = [left[0][:0], left[0][:0], np.empty(0)]
         return pa.Table.from_batches([batch_of(found, result)])
 
+    placed = placed.repartition(g * (g + 1) // 2, "i", "j")
     return (placed.groupBy("i", "j").applyInArrow(cell, fields).groupBy("id")
             .agg(F.min_by("best_id", F.struct(-F.col("sim"), "best_id")).alias("best_id"),
                  F.max("sim").alias("sim")))

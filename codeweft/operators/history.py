@@ -1,10 +1,11 @@
 """Ranking data mined from commit history, and the added lines of a change."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from .ordering import carry_forward
 
 
 def collect_queries(commits: DataFrame, changes: DataFrame, since: int = 0,
@@ -71,11 +72,9 @@ def added_ranges(diff: DataFrame) -> DataFrame:
     path = F.when(F.col("line").startswith("+++ b/"), header).when(is_header, F.lit(""))
     hunk = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@"
     marks = diff.where(is_header | F.col("line").rlike(hunk)).withColumn("path", path)
-    w = (W.partitionBy("change").orderBy("line_no")
-         .rowsBetween(W.unboundedPreceding, W.currentRow))
     count = F.when(F.regexp_extract("line", hunk, 2) == "", F.lit(1)) \
              .otherwise(F.expr("try_cast(regexp_extract(line, '" + hunk.replace("\\", "\\\\") + "', 2) AS int)"))
-    return (marks.withColumn("path", F.last("path", ignorenulls=True).over(w))
+    return (carry_forward(marks, ["change"], "line_no", "path")
             .where(~is_header & (F.coalesce("path", F.lit("")) != ""))
             .withColumn("first", F.regexp_extract("line", hunk, 1).cast("int"))
             .withColumn("n", count).where("n > 0")
@@ -85,21 +84,18 @@ def added_ranges(diff: DataFrame) -> DataFrame:
 def changed_chunks(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
     """Chunks of the changed files that overlap any added range.
 
-    chunks and ranges share (change, path). Per chunk only the last range that starts at or
-    before the chunk's end can matter once ranges carry the greatest end so far, so chunks
-    and ranges are merged by position instead of being paired.
+    chunks and ranges share (change, path). A chunk is hit when, among the ranges that start
+    no later than its last line, the greatest end reaches its first line: chunks and ranges
+    are merged by position instead of being paired.
     """
-    w = (W.partitionBy("change", "path").orderBy("_at", "_kind")
-         .rowsBetween(W.unboundedPreceding, W.currentRow))
-    cols = [c for c in chunks.columns]
-    marks = ranges.select("change", "path", F.col("first").alias("_at"), F.lit(0).alias("_kind"),
-                          F.col("last").alias("_last"),
-                          F.lit(None).cast(chunks.select(F.struct(*cols)).schema[0].dataType).alias("_c"))
-    probes = chunks.select("change", "path", F.col("end_line").alias("_at"), F.lit(1).alias("_kind"),
-                           F.lit(None).cast("int").alias("_last"), F.struct(*cols).alias("_c"))
-    return (marks.unionByName(probes).withColumn("_reach", F.max("_last").over(w))
-            .where("_kind = 1").where(F.col("_reach") >= F.col("_c.start_line"))
-            .select("_c.*"))
+    item = F.struct(*chunks.columns)
+    no_item = F.lit(None).cast(chunks.select(item).schema[0].dataType)
+    marks = ranges.select("change", "path", F.col("first").alias("_at"), F.col("last").alias("_reach"),
+                          no_item.alias("_c"))
+    probes = chunks.select("change", "path", F.col("end_line").alias("_at"),
+                           F.lit(None).cast("int").alias("_reach"), item.alias("_c"))
+    merged = carry_forward(marks.unionByName(probes), ["change", "path"], "_at", "_reach", "max")
+    return merged.where(F.col("_c").isNotNull() & (F.col("_reach") >= F.col("_c.start_line"))).select("_c.*")
 
 
 def github_warnings(found) -> list[str]:

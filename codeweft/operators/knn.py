@@ -16,12 +16,13 @@ CELL_BYTES = 64 << 20
 
 
 def top_k(chunks: DataFrame, query, k: int = 20, id_col: str = "id",
-          embedding: str = "embedding") -> DataFrame:
+          embedding: str = "embedding", carry: tuple[str, ...] = ()) -> DataFrame:
     """(id, distance) of the k nearest rows; ties go to the smaller id.
 
-    Only id and vector are read. Join the result back for the wide columns: it has k rows.
+    Only id, vector and the narrow columns named in `carry` are read. Wide ones are joined
+    back to the result, which has k rows (`hits`).
     """
-    return (chunks.select(id_col, l2_distance(F.col(embedding), query).alias("distance"))
+    return (chunks.select(id_col, *carry, l2_distance(F.col(embedding), query).alias("distance"))
             .where("distance IS NOT NULL").orderBy("distance", id_col).limit(k))
 
 
@@ -38,43 +39,42 @@ def search(chunks: DataFrame, query, k: int = 20, id_col: str = "id") -> DataFra
         .orderBy("distance", id_col)
 
 
-def post_filtered(chunks: DataFrame, query, repo: str, k: int = 8, *columns: str,
-                  id_col: str = "id") -> DataFrame:
+def post_filtered(chunks: DataFrame, query, repo: str, k: int = 8,
+                  carry: tuple[str, ...] = ()) -> DataFrame:
     """The k nearest of one repo out of the max(8k, 50) nearest overall; may give fewer."""
-    pool = top_k(chunks, query, max(8 * k, 50), id_col)
-    return (hits(chunks, pool, "repo", *columns, id_col=id_col)
-            .where(F.col("repo") == repo).orderBy("distance", id_col).limit(k))
+    pool = top_k(chunks, query, max(8 * k, 50), carry=("repo", *carry))
+    return pool.where(F.col("repo") == repo).orderBy("distance", "id").limit(k)
 
 
-def pre_filtered(chunks: DataFrame, query, repo: str, k: int = 8, *columns: str,
-                 id_col: str = "id") -> DataFrame:
+def pre_filtered(chunks: DataFrame, query, repo: str, k: int = 8,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
     """The k nearest of one repo: the filter reaches the scan, so it never under-fills."""
-    return post_free(chunks.where(F.col("repo") == repo), query, k, *columns, id_col=id_col)
+    return top_k(chunks.where(F.col("repo") == repo), query, k, carry=("repo", *carry))
 
 
-def post_free(chunks: DataFrame, query, k: int, *columns: str, id_col: str = "id") -> DataFrame:
-    return hits(chunks, top_k(chunks, query, k, id_col), "repo", *columns, id_col=id_col) \
-        .orderBy("distance", id_col)
+# Distances held at once by one task.
+_TILE = 4 << 20
 
 
 def _nearest(qids, q, ids, v, k):
-    """The k nearest rows of v for every row of q, as (qid, id, distance) arrays."""
+    """The k nearest rows of v for every row of q, as (qid, id, distance) arrays.
+
+    ids ascend, so settling equal (quantised) distances by column settles them by id.
+    """
     if not len(q) or not len(v):
         return qids[:0], ids[:0], np.empty(0)
-    d2 = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2.0 * (q @ v.T)
-    # ids ascend, so a stable sort on the quantised distance settles ties by id
-    d2 = np.round(np.maximum(d2, 0.0), 12)
-    if k < d2.shape[1]:
-        edge = np.partition(d2, k - 1, axis=1)[:, k - 1:k]
+    parts, step, norms = [], max(1, _TILE // len(v)), (v * v).sum(1)
+    for s in range(0, len(q), step):
+        tile = q[s:s + step]
+        d2 = np.round(np.maximum((tile * tile).sum(1)[:, None] + norms - 2.0 * (tile @ v.T), 0.0), 12)
+        edge = np.partition(d2, k - 1, axis=1)[:, k - 1:k] if k < len(v) else np.inf
         rows, cols = np.nonzero(d2 <= edge)
-    else:
-        rows, cols = np.nonzero(np.ones_like(d2, dtype=bool))
-    order = np.lexsort((cols, d2[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    starts = np.searchsorted(rows, np.arange(len(q)))
-    keep = np.arange(len(rows)) - starts[rows] < k
-    rows, cols = rows[keep], cols[keep]
-    return qids[rows], ids[cols], np.sqrt(d2[rows, cols])
+        order = np.lexsort((cols, d2[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        rows, cols = rows[keep], cols[keep]
+        parts.append((qids[s + rows], ids[cols], np.sqrt(d2[rows, cols])))
+    return [np.concatenate(x) for x in zip(*parts)]
 
 
 def _sorted_block(table, id_name, vec_name):
@@ -156,6 +156,7 @@ def _against_grid(q, c, k, fields, n, row_bytes, cell_bytes):
         out = _nearest(*_sorted_block(left, "qid", "qv"), *_sorted_block(right, "id", "v"), k)
         return pa.Table.from_batches([batch_of(out, result)])
 
+    qs, cs = (side.repartition(qb * cb, "qb", "cb") for side in (qs, cs))
     return qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb")).applyInArrow(cell, fields)
 
 
@@ -176,9 +177,13 @@ def nearest_foreign(queries: DataFrame, chunks: DataFrame, threshold: float | No
 
 
 def annotate_duplicates(found: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Search hits with the files known to duplicate theirs."""
-    return found.withColumn("file", T.file_key(F.col("repo"), F.col("path"))) \
-                .join(ledger.withColumnRenamed("file", "_f"), F.col("file") == F.col("_f"), "left").drop("_f")
+    """Limited search hits with the files known to duplicate theirs.
+
+    ledger(file, other, n, max_sim) is only ever filtered by the few files of the hits.
+    """
+    keyed = found.withColumn("file", T.file_key(F.col("repo"), F.col("path")))
+    known = ledger.join(F.broadcast(keyed.select("file").distinct()), "file", "left_semi")
+    return keyed.join(known, "file", "left")
 
 
 def render_search(rows, updated_at: str = "") -> str:
@@ -190,7 +195,7 @@ def render_search(rows, updated_at: str = "") -> str:
         name = f"  ({r['symbol']})" if r["symbol"] else ""
         block = (f"## {r['repo']}/{r['path']}:{r['start_line']}-{r['end_line']}{name}"
                  f"  [dist {r['distance']:.3f}]")
-        for d in (r["duplicates"] if "duplicates" in r else None) or []:
+        for d in r.get("duplicates") or []:
             block += f"\nnear-duplicate of {d['other']} (chunks {d['n']}, sim {d['max_sim']})"
         out.append(f"{block}\n```{r['lang']}\n{r['snippet']}\n```")
     return "\n\n".join([*out, f"index updated_at: {updated_at or 'unknown'}"])
@@ -198,11 +203,16 @@ def render_search(rows, updated_at: str = "") -> str:
 
 def semantic_search(chunks: DataFrame, query, k: int = 8, repo: str = "",
                     ledger: DataFrame | None = None, updated_at: str = "") -> str:
-    """The rendered answer to one embedded query."""
-    cols = ["path", "start_line", "end_line", "symbol", "lang",
-            T.snippet(F.col("text")).alias("snippet")]
-    found = post_filtered(chunks, query, repo, k, *cols) if repo else \
-        post_free(chunks, query, k, *cols)
-    if ledger is not None:
-        found = annotate_duplicates(found, ledger).orderBy("distance", "id")
-    return render_search([r.asDict() for r in found.collect()], updated_at)
+    """The rendered answer to one embedded query; k rows reach the driver."""
+    near = post_filtered(chunks, query, repo, k).drop("repo") if repo else top_k(chunks, query, k)
+    found = hits(chunks, near, "repo", "path", "start_line", "end_line", "symbol", "lang",
+                 T.snippet(F.col("text")).alias("snippet")).orderBy("distance", "id")
+    rows = [r.asDict() for r in found.collect()]
+    if ledger is not None and rows:
+        files = {f"{r['repo']}/{r['path']}" for r in rows}
+        known: dict = {}
+        for d in ledger.where(F.col("file").isin(files)).orderBy("file", "other").collect():
+            known.setdefault(d["file"], []).append(d)
+        for r in rows:
+            r["duplicates"] = known.get(f"{r['repo']}/{r['path']}")
+    return render_search(rows, updated_at)

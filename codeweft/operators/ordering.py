@@ -61,3 +61,26 @@ def running_totals(df: DataFrame, by: str, sums: list[str], descending: bool = T
     return (placed.join(F.broadcast(shifted), "_bucket")
             .select(by, *sums,
                     *[(F.sum(c).over(local) + F.col(f"_{c}")).alias(f"cum_{c}") for c in sums]))
+
+
+def carry_forward(df: DataFrame, group: list[str], order: str, value: str, fold: str = "last",
+                  block: int = 1 << 12) -> DataFrame:
+    """`value` becomes its last non-null (or, with fold="max", its greatest) so far in `order`.
+
+    `order` is an integer. Rows are handled in blocks of the order axis; one row per block
+    carries the state from block to block, so a group of any length is many small windows.
+    Rows of equal order see each other.
+    """
+    pick = (lambda: F.max_by(value, order)) if fold == "last" else (lambda: F.max(value))
+    placed = df.withColumn("_blk", F.floor(F.col(order) / F.lit(float(block))))
+    ends = (placed.where(F.col(value).isNotNull()).groupBy(*group, "_blk").agg(pick().alias("_end")))
+    blocks = placed.select(*group, "_blk").distinct().join(ends, [*group, "_blk"], "left")
+    before = W.partitionBy(*group).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
+    inside = (W.partitionBy(*group, "_blk").orderBy(order)
+              .rangeBetween(W.unboundedPreceding, W.currentRow))
+    state = F.last("_end", ignorenulls=True) if fold == "last" else F.max("_end")
+    local = F.last(value, ignorenulls=True) if fold == "last" else F.max(value)
+    merge = F.coalesce if fold == "last" else F.greatest
+    carried = blocks.select(*group, "_blk", state.over(before).alias("_before"))
+    return (placed.join(carried, [*group, "_blk"])
+            .withColumn(value, merge(local.over(inside), F.col("_before"))).select(*df.columns))

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
 from ..functions import scip_symbols as S
 from ..session import cut
+from .ordering import carry_forward
 from .stabbing import resolve_enclosing, split_shared_bodies
 
 
@@ -162,10 +163,8 @@ def relation_refs(relations: DataFrame, defined: DataFrame) -> DataFrame:
     asked = relations.select("repo", "symbol", "doc").distinct()
     state = F.struct("path", F.col("start_line").alias("line"))
     known = defined.select("repo", "symbol", "doc", state.alias("s"))
-    w = (W.partitionBy("repo", "symbol").orderBy("doc")
-         .rowsBetween(W.unboundedPreceding, W.currentRow))
-    as_of = (asked.join(known, ["repo", "symbol", "doc"], "full")
-             .withColumn("s", F.last("s", ignorenulls=True).over(w)))
+    as_of = carry_forward(asked.join(known, ["repo", "symbol", "doc"], "full"),
+                          ["repo", "symbol"], "doc", "s")
     return (relations.drop("path").join(as_of, ["repo", "symbol", "doc"], "left")
             .select("repo", "symbol", "target", "role", "s.path", "s.line"))
 

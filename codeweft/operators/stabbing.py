@@ -10,7 +10,11 @@ Best means: greatest start, then smallest end, then last in order; both ends cou
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..constants import END_OF_LINE
+from ..session import cut
+from .ordering import rank_in_group
 
 _RADIX_BITS = 4
 
@@ -108,32 +112,39 @@ def resolve_enclosing(points: DataFrame, intervals: DataFrame, doc: list[str],
             .select(*doc, "line", "ch", F.col(f"best.{payload}").alias(payload)))
 
 
-def split_shared_bodies(bodies: DataFrame, doc: list[str]) -> DataFrame:
+# Members of one shared range that a single window may order.
+MAX_SIBLINGS = 100_000
+
+
+def split_shared_bodies(bodies: DataFrame, doc: list[str], max_siblings: int = MAX_SIBLINGS) -> DataFrame:
     """Own slice for every definition that shares its body range with siblings.
 
     bodies(doc..., symbol, ordinal, s_line, s_ch, e_line, e_ch, n_line, n_ch): a member of a
     shared range owns from its own name to the line before the next member's name; the last
-    one keeps the common end. Unshared bodies skip the window altogether.
+    one keeps the common end. Unshared bodies are never ordered. Where a range has too many
+    members for one task they are ranked across tasks and joined to their successor.
     """
-    from pyspark.sql import Window as W
-
-    from ..constants import END_OF_LINE
-
     rng = [*doc, "s_line", "s_ch", "e_line", "e_ch"]
     sizes = bodies.groupBy(*rng).agg(F.count("*").alias("_n"), F.min("ordinal").alias("_first"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
     sized = bodies.join(sizes, rng)
     alone = sized.where("_n = 1").select(
         *doc, "symbol", "s_line", "s_ch", "e_line", "e_ch",
-        F.struct(F.col("_first").alias("first"), F.lit(0).alias("member")).alias("ordinal"))
-    w = W.partitionBy(*rng).orderBy("n_line", "n_ch", "ordinal")
-    shared = (sized.where("_n > 1")
-              .withColumn("_next", F.lead("n_line").over(w))
-              .withColumn("_member", F.row_number().over(w))
-              .select(*doc, "symbol", F.col("n_line").alias("s_line"), F.col("n_ch").alias("s_ch"),
-                      F.when(F.col("_next").isNull(), F.col("e_line"))
-                       .otherwise(F.greatest(F.col("_next") - 1, F.col("n_line"))).alias("e_line"),
-                      F.when(F.col("_next").isNull(), F.col("e_ch"))
-                       .otherwise(F.lit(END_OF_LINE)).alias("e_ch"),
-                      F.struct(F.col("_first").alias("first"),
-                               F.col("_member").alias("member")).alias("ordinal")))
-    return alone.unionByName(shared)
+        F.struct(F.col("_first").alias("first"), F.lit(0).cast("long").alias("member")).alias("ordinal"))
+    shared = sized.where("_n > 1")
+    order = ["n_line", "n_ch", "ordinal"]
+    if largest <= max_siblings:
+        w = W.partitionBy(*rng).orderBy(*order)
+        ranked = shared.withColumn("_next", F.lead("n_line").over(w)) \
+                       .withColumn("_member", F.row_number().over(w).cast("long"))
+    else:
+        placed = cut(rank_in_group(shared, rng, order, "_member"))
+        after = placed.select(*rng, (F.col("_member") - 1).alias("_member"), F.col("n_line").alias("_next"))
+        ranked = placed.join(after, [*rng, "_member"], "left")
+    last = F.col("_next").isNull()
+    sliced = ranked.select(
+        *doc, "symbol", F.col("n_line").alias("s_line"), F.col("n_ch").alias("s_ch"),
+        F.when(last, F.col("e_line")).otherwise(F.greatest(F.col("_next") - 1, F.col("n_line"))).alias("e_line"),
+        F.when(last, F.col("e_ch")).otherwise(F.lit(END_OF_LINE)).alias("e_ch"),
+        F.struct(F.col("_first").alias("first"), F.col("_member").alias("member")).alias("ordinal"))
+    return alone.unionByName(sliced)

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.vectors import cos_from_distance
 from ..operators import duplicates as D, knn
 from . import views as V
 
@@ -15,6 +16,10 @@ def _rounded(df, *cols):
     return df
 
 
+def _with_cos(df):
+    return _rounded(df.withColumn("cos", cos_from_distance(F.col("distance"))), "distance", "cos")
+
+
 _NEAR = V.VCHUNKS + """, near AS (
   SELECT c.*, list_distance(c.embedding, q.embedding) AS distance
   FROM vchunks c, (SELECT embedding FROM vchunks WHERE id = 7) q)"""
@@ -22,19 +27,23 @@ _COS = "round(1 - distance * distance / 2, 6) AS cos"
 
 
 def knn_topk(spark, sf):
+    found = knn.top_k(V.vchunks(spark, sf), V.query_vector(spark, sf), 20, carry=("repo", "path", "symbol"))
+    return _with_cos(found)
+
+
+def knn_wide_hits(spark, sf):
+    """Top k first, wide columns joined to those k rows."""
     c = V.vchunks(spark, sf)
-    found = knn.hits(c, knn.top_k(c, V.query_vector(spark, sf), 20), "repo", "path", "symbol")
-    return _rounded(found, "distance", "cos")
+    near = knn.top_k(c, V.query_vector(spark, sf), 50)
+    return _rounded(knn.hits(c, near, "repo", "path", "lang", "text_len"), "distance", "cos")
 
 
 def knn_repo_postfilter(spark, sf):
-    return _rounded(knn.post_filtered(V.vchunks(spark, sf), V.query_vector(spark, sf), "org/repo3", 8,
-                                      "path"), "distance", "cos")
+    return _with_cos(knn.post_filtered(V.vchunks(spark, sf), V.query_vector(spark, sf), "org/repo3", 8, ("path",)))
 
 
 def knn_repo_prefilter(spark, sf):
-    return _rounded(knn.pre_filtered(V.vchunks(spark, sf), V.query_vector(spark, sf), "org/repo3", 8,
-                                     "path"), "distance", "cos")
+    return _with_cos(knn.pre_filtered(V.vchunks(spark, sf), V.query_vector(spark, sf), "org/repo3", 8, ("path",)))
 
 
 def _queries(spark, sf):
@@ -78,7 +87,7 @@ def ledger_symmetric(spark, sf):
 
 def dup_ledger_lookup(spark, sf):
     c = V.vchunks(spark, sf)
-    found = knn.hits(c, knn.top_k(c, V.query_vector(spark, sf), 200), "repo", "path")
+    found = knn.top_k(c, V.query_vector(spark, sf), 200, carry=("repo", "path"))
     return knn.annotate_duplicates(found, ledger_symmetric(spark, sf)) \
         .where("other IS NOT NULL").select("id", "file", "other", "n", "max_sim")
 
@@ -113,6 +122,9 @@ QUERIES = {
     "knn_topk": (knn_topk, f"""WITH {_NEAR}
 SELECT id, repo, path, symbol, round(distance, 6) AS distance, {_COS}
 FROM near ORDER BY near.distance, id LIMIT 20"""),
+    "knn_wide_hits": (knn_wide_hits, f"""WITH {_NEAR}
+SELECT id, repo, path, lang, text_len, round(distance, 6) AS distance, {_COS}
+FROM near ORDER BY near.distance, id LIMIT 50"""),
     "knn_repo_postfilter": (knn_repo_postfilter, f"""WITH {_NEAR}, pool AS (
   SELECT * FROM near ORDER BY distance, id LIMIT 64)
 SELECT id, repo, path, round(distance, 6) AS distance, {_COS}
