@@ -10,8 +10,8 @@ from codeweft.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
+    s = build_session("tests", "local[8]", **{
+        "spark.sql.shuffle.partitions": "3", "spark.driver.memory": "4g",
         "spark.sql.execution.arrow.pyspark.enabled": "true"})
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -11,7 +11,7 @@ from codeweft.functions import text as T
 from codeweft.operators import features as G, forest, history, metrics as M, ordering
 
 
-def _hits(spark, rows, query="resolve tenant", repo="org/r"):
+def _hits(spark, rows, query="parse headers", repo="org/r"):
     df = spark.createDataFrame([(1, query, repo, i, *r) for i, r in enumerate(rows)],
                                "qid int, query string, query_repo string, id int, repo string, path string, cos double, "
                                "symbol string, lang string, text_len int")
@@ -21,7 +21,7 @@ def _hits(spark, rows, query="resolve tenant", repo="org/r"):
 
 
 def test_relative_columns(spark):
-    got = _hits(spark, [("org/r", "src/a.rs", .9, "resolve_tenant", "rust", 500),
+    got = _hits(spark, [("org/r", "src/a.rs", .9, "parse_headers", "rust", 500),
                         ("org/r", "src/b.rs", .7, "", "markdown", 500),
                         ("org/other", "src/tests/c.rs", .5, None, "rust", 10)])
     col = lambda n: [r[n] for r in got]

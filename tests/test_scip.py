@@ -11,53 +11,52 @@ from codeweft.operators import scip
 from codeweft.operators.stabbing import resolve_enclosing, split_shared_bodies
 from codeweft.sources import scip_json
 
-R = "rust-analyzer cargo demo 0.1.0 "
-TS = "scip-typescript npm demo 1.0.0 src/lib/`html.ts`/"
-
-
-def _defn(rng, symbol, body):
-    return {"range": rng, "symbol": symbol, "symbol_roles": 1, "enclosing_range": body}
-
-
-def _use(rng, symbol):
-    return {"range": rng, "symbol": symbol, "symbol_roles": 0}
-
-
-RUST = {"metadata": {"tool_info": {"name": "rust-analyzer", "version": "t"}}, "documents": [
-    {"relative_path": "src/storage.rs",
-     "symbols": [{"symbol": R + "storage/StorageBackend#", "kind": 53, "display_name": "StorageBackend"},
-                 {"symbol": R + "storage/StorageBackend#download().", "kind": 70, "display_name": "download"},
-                 {"symbol": R + "storage/StorageBackend#upload().", "kind": 70, "display_name": "upload"}],
-     "occurrences": [_defn([0, 0, 9, 0], R + "storage/", [0, 0, 9, 0]),
-                     _defn([0, 10, 24], R + "storage/StorageBackend#", [0, 0, 5, 1]),
-                     _defn([1, 13, 19], R + "storage/StorageBackend#upload().", [1, 4, 19]),
-                     _defn([3, 13, 21], R + "storage/StorageBackend#download().", [3, 4, 21])]},
-    {"relative_path": "src/r2.rs",
-     "symbols": [{"symbol": R + "r2/impl#[R2Backend][StorageBackend]upload().", "kind": 26, "display_name": "upload"},
-                 {"symbol": R + "r2/impl#[R2Backend][StorageBackend]download().", "kind": 26, "display_name": "download"}],
-     "occurrences": [_defn([0, 0, 30, 0], R + "r2/", [0, 0, 30, 0]),
-                     _defn([3, 13, 19], R + "r2/impl#[R2Backend][StorageBackend]upload().", [2, 0, 20, 1]),
-                     _use([5, 8, 19], R + "net/Client#put()."),
-                     _defn([10, 13, 21], R + "r2/impl#[R2Backend][StorageBackend]download().", [2, 0, 20, 1]),
-                     _defn([11, 8, 12], "local 0", [11, 8, 12]),
-                     _use([12, 8, 19], R + "net/Client#get()."),
-                     _use([13, 8, 12], "local 0")]},
-    {"relative_path": "src/app.rs",
-     "symbols": [{"symbol": R + "app/fetch_blob().", "kind": 17, "display_name": "fetch_blob"}],
-     "occurrences": [_defn([0, 0, 12, 0], R + "app/", [0, 0, 12, 0]),
-                     _defn([2, 7, 17], R + "app/fetch_blob().", [2, 0, 6, 1]),
-                     _use([4, 16, 24], R + "storage/StorageBackend#download()."),
-                     _use([9, 4, 12], R + "storage/StorageBackend#upload().")]}]}
-TYPESCRIPT = {"metadata": {"tool_info": {"name": "scip-typescript", "version": "t"}}, "documents": [
-    {"relative_path": "src/lib/html.ts",
-     "symbols": [{"symbol": TS + "escapeHtml()."},
-                 {"symbol": TS + "Dog#sound().", "relationships": [
-                     {"symbol": TS + "Animal#sound().", "is_implementation": True, "is_reference": True}]}],
-     "occurrences": [_defn([0, 0, 20, 0], TS, [0, 0, 20, 0]),
-                     _defn([2, 9, 19], TS + "escapeHtml().", [2, 0, 5, 1]),
-                     _use([3, 10, 17], "scip-typescript npm typescript 5.9.3 lib/`lib.es5.d.ts`/String#replace()."),
-                     _defn([8, 10, 17], TS + "Animal#sound().", [8, 2, 17]),
-                     _defn([12, 9, 14], TS + "Dog#sound().", [12, 2, 14, 3])]}]}
+P = "tool cargo shop 2.0 "
+
+
+def _defn(rng, symbol, body=None):
+    row = _use(rng, symbol, 1)
+    return {**row, "enclosing_range": body} if body else row
+
+
+def _use(rng, symbol, roles=0):
+    return {"range": rng, "symbol": symbol if symbol.startswith("local ") else P + symbol, "symbol_roles": roles}
+
+
+def _info(symbol, **kw):
+    return {"symbol": P + symbol, **kw}
+
+
+# A shop: a price trait with two implementors, whose members one document lists under one
+# common body range, a caller in a third document, and a stated relationship in a fourth.
+SHOP = {"metadata": {"tool_info": {"name": "maker", "version": "7"}}, "documents": [
+    {"relative_path": "core/price.rs",
+     "symbols": [_info("core/Price#", kind=53), _info("core/Price#net().", kind=70, display_name="net price"),
+                 _info("core/Price#gross().", kind=83)],
+     "occurrences": [_defn([2, 6, 11], "core/Price#", [2, 0, 14, 1]),
+                     _defn([4, 7, 10], "core/Price#net().", [4, 4, 30]),
+                     _defn([8, 7, 12], "core/Price#gross().", [8, 4, 11, 5]),
+                     _use([9, 8, 11], "core/Price#net()."),
+                     _use([20, 0, 5], "ext/log!", 8)]},
+    {"relative_path": "core/book.rs",
+     "symbols": [],
+     "occurrences": [_defn([6, 11, 14], "core/impl#[Book][Price]net().", [5, 0, 40, 1]),
+                     _use([7, 2, 3], "local 12"), _use([7, 9, 13], "core/round()."),
+                     _defn([15, 11, 16], "core/impl#[Book][Price]gross().", [5, 0, 40, 1]),
+                     _use([16, 9, 13], "core/round()."), _defn([17, 6, 7], "local 3", [17, 6, 7]),
+                     _defn([30, 11, 15], "core/impl#[Book][Clone]copy().", [5, 0, 40, 1]),
+                     _use([39, 0, 4], "core/round().")]},
+    {"relative_path": "app/till.rs",
+     "symbols": [_info("app/till().", kind=17)],
+     "occurrences": [_defn([0, 3, 7], "app/till().", [0, 0, 9, 1]),
+                     _defn([3, 8, 13], "app/till().(total)"),
+                     _use([5, 4, 7], "core/Price#net()."), _use([12, 0, 3], "core/Price#net().")]},
+    {"relative_path": "app/pack.rs",
+     "symbols": [_info("app/Box#wrap().", relationships=[
+         {"symbol": P + "core/Wrap#wrap().", "is_implementation": True, "is_type_definition": True},
+         {"symbol": P + "core/Other#", "is_reference": True}]),
+                 _info("app/ghost().", relationships=[{"symbol": P + "core/Wrap#", "is_implementation": True}])],
+     "occurrences": [_defn([21, 5, 9], "app/Box#wrap().", [21, 0, 25, 1])]}]}
 
 
 def _graph(spark, tmp_path, index, repo):
@@ -67,13 +66,8 @@ def _graph(spark, tmp_path, index, repo):
 
 
 @pytest.fixture(scope="module")
-def rust(spark, tmp_path_factory):
-    return _graph(spark, tmp_path_factory.mktemp("rust"), RUST, "org/demo")
-
-
-@pytest.fixture(scope="module")
-def typescript(spark, tmp_path_factory):
-    return _graph(spark, tmp_path_factory.mktemp("ts"), TYPESCRIPT, "org/ts")
+def shop(spark, tmp_path_factory):
+    return _graph(spark, tmp_path_factory.mktemp("shop"), SHOP, "org/shop")
 
 
 def _edges(graph):
@@ -133,17 +127,11 @@ def _brute_descriptors(symbol):
 
 
 def test_descriptors_read_the_grammar(spark):
-    got = _descriptors(spark, [
-        R + "storage/StorageBackend#download().",
-        "scip-typescript npm demo 1.0.0 src/lib/`config.ts`/CacheEntry#value.",
-        R + "r2/impl#[R2Backend][StorageBackend]download().", "local 3"])
+    got = _descriptors(spark, [P + "core/`a``b.ts`/Box#[T](x)wrap(+2).", P + "log!m:", P + "half/un(closed", "local 3"])
     assert got == [
-        [("storage", "namespace"), ("StorageBackend", "type"), ("download", "method")],
-        [("src", "namespace"), ("lib", "namespace"), ("config.ts", "namespace"),
-         ("CacheEntry", "type"), ("value", "term")],
-        [("r2", "namespace"), ("impl", "type"), ("R2Backend", "type_parameter"),
-         ("StorageBackend", "type_parameter"), ("download", "method")],
-        []]
+        [("core", "namespace"), ("a`b.ts", "namespace"), ("Box", "type"), ("T", "type_parameter"),
+         ("x", "parameter"), ("wrap", "method")],
+        [("log", "macro"), ("m", "meta")], [("half", "namespace")], []]
 
 
 def test_descriptors_agree_with_a_character_walk(spark):
@@ -154,14 +142,13 @@ def test_descriptors_agree_with_a_character_walk(spark):
 
 
 def test_kind_prefers_the_tool(spark):
-    sym = R + "storage/StorageBackend#download()."
+    sym = P + "core/Price#net()."
     d = S.descriptors(F.lit(sym))
     row = spark.range(1).select(
-        S.symbol_kind(d, F.lit(70)).alias("a"), S.symbol_kind(d, F.lit(0)).alias("b"),
-        S.symbol_kind(d, F.lit(83)).alias("c"),
-        S.symbol_name(F.lit(sym), d).alias("n"),
-        S.symbol_name(F.lit(sym), d, F.lit("renamed")).alias("m")).first()
-    assert tuple(row) == ("trait_method", "method", "method", "download", "renamed")
+        S.symbol_kind(d, F.lit(17)).alias("a"), S.symbol_kind(d, F.lit(0)).alias("b"),
+        S.symbol_kind(d, F.lit(83)).alias("c"), S.symbol_name(F.lit(sym), d).alias("n"),
+        S.symbol_name(F.lit(sym), d, F.lit("shown")).alias("m")).first()
+    assert tuple(row) == ("function", "method", "method", "net", "shown")
 
 
 def _stab(spark, intervals, points):
@@ -173,12 +160,6 @@ def _stab(spark, intervals, points):
     return {(r["line"], r["ch"]): r["who"] for r in out}
 
 
-def test_innermost_interval(spark):
-    got = _stab(spark, [((0, 0), (20, 0), "module"), ((2, 0), (6, 1), "fn")],
-                [(4, 8), (10, 0), (30, 0)])
-    assert got == {(4, 8): "fn", (10, 0): "module", (30, 0): None}
-
-
 @pytest.mark.parametrize("seed", range(4))
 def test_stabbing_agrees_with_brute_force(spark, seed):
     rng = random.Random(seed)
@@ -198,53 +179,59 @@ def test_stabbing_agrees_with_brute_force(spark, seed):
     assert _stab(spark, intervals, points) == want
 
 
-def test_shared_bodies_are_sliced(spark):
-    df = spark.createDataFrame(
-        [("d", "upload", 0, 2, 0, 20, 1, 3, 13), ("d", "download", 1, 2, 0, 20, 1, 10, 13),
-         ("d", "fn", 2, 30, 0, 36, 1, 30, 7)],
-        "doc string, symbol string, ordinal int, s_line int, s_ch int, e_line int, e_ch int, "
-        "n_line int, n_ch int")
+@pytest.mark.parametrize("max_siblings", [100, 2])
+def test_shared_bodies_are_sliced(spark, max_siblings):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for d in range(3):
+        for start in (10, 50):
+            names = [(start + rng.randint(0, 9), rng.randint(0, 3)) for _ in range(rng.choice([1, 4, 7]))]
+            named = [(n, len(rows) + i) for i, n in enumerate(names)]
+            rows += [(d, f"s{i}", i, start, 0, start + 30, 2, *n) for n, i in named]
+            order = sorted(named)
+            for (n, i), nxt in zip(order, order[1:] + [None]):
+                end = (start + 30, 2) if nxt is None else (max(nxt[0][0] - 1, n[0]), END_OF_LINE)
+                want[f"s{i}"] = (*(n if len(order) > 1 else (start, 0)), *end)
+    df = spark.createDataFrame(rows, "doc int, symbol string, ordinal int, s_line int, s_ch int, e_line int, "
+                                     "e_ch int, n_line int, n_ch int")
     got = {r["symbol"]: (r["s_line"], r["s_ch"], r["e_line"], r["e_ch"])
-           for r in split_shared_bodies(df, ["doc"]).collect()}
-    assert got == {"upload": (3, 13, 9, END_OF_LINE), "download": (10, 13, 20, 1),
-                   "fn": (30, 0, 36, 1)}
-
-
-def test_definition_keeps_its_own_span(rust):
-    row = rust.symbols.where(F.col("scip_symbol").endswith("storage/StorageBackend#download().")).first()
-    assert (row["name"], row["kind"], row["path"], row["start_line"], row["end_line"]) == \
-        ("download", "trait_method", "src/storage.rs", 4, 4)
-
-
-def test_calls_are_attributed(rust):
-    rows = _edges(rust)
-    hit = [(r["path"], r["line"], r["e"], r["e_kind"]) for r in rows
-           if r["t"].endswith("storage/StorageBackend#download().") and r["role"] == "reference"]
-    assert hit == [("src/app.rs", 5, "fetch_blob", "function")]
-    get = [(r["e"], r["e_path"], r["e_line"]) for r in rows if r["t"].endswith("net/Client#get().")]
-    put = [r["e"] for r in rows if r["t"].endswith("net/Client#put().")]
-    assert get == [("download", "src/r2.rs", 11)] and put == ["upload"]
-
-
-def test_locals_are_dropped_and_mentions_kept(rust):
-    assert rust.symbols.where(F.col("scip_symbol").startswith("local ")).count() == 0
-    row = rust.symbols.where(F.col("scip_symbol").endswith("net/Client#get().")).first()
-    assert (row["name"], row["path"]) == ("get", None)
-
-
-def test_impl_edges_are_derived(rust):
-    hit = [(r["t"], r["e_path"], r["line"]) for r in _edges(rust)
-           if r["role"] == "implementation" and r["e"] == "download"]
-    assert hit == [(R + "storage/StorageBackend#download().", "src/r2.rs", 11)]
-    stats = rust.stats.first().asDict()
-    assert stats["documents"] == 3 and stats["impl_trait_not_local"] == 0
-    assert stats["refs"] == 4 and stats["relationships"] == 2
-
-
-def test_stated_relationships(typescript):
-    hit = [(r["t_name"], r["e"], r["path"], r["line"]) for r in _edges(typescript)
-           if r["role"] == "implementation"]
-    assert hit == [("sound", "sound", "src/lib/html.ts", 13)]
-    assert typescript.stats.first()["relationships"] == 1
-    top = [(r["e"], r["e_kind"]) for r in _edges(typescript) if r["t"].endswith("String#replace().")]
-    assert top == [("escapeHtml", "method")]
+           for r in split_shared_bodies(df, ["doc"], max_siblings).collect()}
+    assert got == want
+
+
+def _symbol(graph, suffix):
+    r = graph.symbols.where(F.col("scip_symbol") == P + suffix).first()
+    return r and (r["name"], r["kind"], r["path"], r["start_line"], r["end_line"])
+
+
+def test_symbols(shop):
+    assert _symbol(shop, "core/Price#net().") == ("net price", "trait_method", "core/price.rs", 5, 5)
+    assert _symbol(shop, "core/Price#gross().") == ("gross", "method", "core/price.rs", 9, 12)
+    # shared range 5..40: each member from its name to the line before the next
+    assert _symbol(shop, "core/impl#[Book][Price]net().") == ("net", "method", "core/book.rs", 7, 15)
+    assert _symbol(shop, "core/impl#[Book][Clone]copy().") == ("copy", "method", "core/book.rs", 31, 41)
+    assert _symbol(shop, "app/till().(total)") == ("total", "parameter", "app/till.rs", 4, 4)
+    assert _symbol(shop, "core/round().") == ("round", "method", None, None, None)
+    assert _symbol(shop, "ext/log!") == ("log", "macro", None, None, None)
+    assert shop.symbols.where(F.col("scip_symbol").startswith("local ")).count() == 0
+
+
+def test_references_are_attributed(shop):
+    rows = [(r["t"][len(P):], r["path"], r["line"], r["e"]) for r in _edges(shop) if r["role"] == "reference"]
+    assert sorted(rows, key=str) == sorted([
+        ("core/Price#net().", "core/price.rs", 10, "gross"), ("ext/log!", "core/price.rs", 21, None),
+        ("core/round().", "core/book.rs", 8, "net"), ("core/round().", "core/book.rs", 17, "gross"),
+        ("core/round().", "core/book.rs", 40, "copy"),
+        ("core/Price#net().", "app/till.rs", 6, "till"), ("core/Price#net().", "app/till.rs", 13, None)], key=str)
+
+
+def test_edges_and_stats(shop):
+    rows = {(r["role"], r["t"][len(P):], r["e"], r["path"], r["line"]) for r in _edges(shop) if r["role"] != "reference"}
+    assert rows == {
+        ("implementation", "core/Price#net().", "net", "core/book.rs", 7),
+        ("implementation", "core/Price#gross().", "gross", "core/book.rs", 16),
+        ("implementation", "core/Wrap#wrap().", "wrap", "app/pack.rs", 22),
+        ("type_definition", "core/Wrap#wrap().", "wrap", "app/pack.rs", 22),
+        ("implementation", "core/Wrap#", "ghost", None, None)}
+    assert shop.stats.drop("repo").first().asDict() == {
+        "documents": 4, "symbols": 14, "refs": 7, "refs_unresolved": 2, "relationships": 5, "impl_trait_not_local": 1}

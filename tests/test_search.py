@@ -76,8 +76,8 @@ def test_pairs_agree_on_both_paths(chunks):
 
 
 def test_pairs_only_across_repos(spark):
-    rows = [(0, "r1", "a", 1, "s", [1.0, 0, 0, 0]), (1, "r2", "b", 1, "t", [.999, .01, 0, 0]),
-            (2, "r1", "c", 1, "u", [0, 1.0, 0, 0]), (3, "r1", "c2", 1, "v", [0, 1.0, 0, 0])]
+    rows = [(0, "r1", "a", 1, "s", [.6, .8, 0]), (1, "r2", "b", 1, "t", [.61, .79, .02]),
+            (2, "r1", "c", 1, "u", [0, 0, 1]), (3, "r1", "d", 1, "v", [0, 0, 1])]
     df = spark.createDataFrame([(*r[:5], [float(x) for x in r[5]]) for r in rows],
                                "id long, repo string, path string, start_line int, symbol string, embedding array<float>")
     got = D.find_pairs(df, 0.93).collect()
