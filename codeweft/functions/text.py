@@ -99,9 +99,11 @@ def tokens(text: Column) -> Column:
 
 def overlap(query_tokens: Column, text_tokens: Column) -> Column:
     """Share of the text's tokens that the query also has."""
-    hit = F.size(F.array_intersect(query_tokens, text_tokens)).cast("double")
-    return F.when(F.size(text_tokens) == 0, 0.0).otherwise(hit / F.size(text_tokens))
+    hit = F.size(F.array_intersect(query_tokens, text_tokens))
+    return F.coalesce(F.try_divide(hit, F.size(text_tokens)), F.lit(0.0))
 
 
 def date_of_ts(ts: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(ts), "yyyy-MM-dd")
+    """UTC date of epoch seconds, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"),
+                      F.floor(ts / F.lit(86400)).cast("int")).cast("string")

@@ -20,32 +20,33 @@ def group_features(candidates: DataFrame) -> DataFrame:
     whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     in_file = W.partitionBy("qid", "file")
     symbol = F.coalesce(F.col("symbol"), F.lit(""))
-    base = (candidates.withColumn("cos", cos_from_distance(F.col("distance")))
-            .withColumn("file", T.file_key(F.col("repo"), F.col("path"))))
-    stats = (base.withColumn("rank", (F.row_number().over(ordered) - 1).cast("double"))
-             .withColumn("cos_top1", F.first("cos").over(whole))
-             .withColumn("_mean", F.avg("cos").over(group))
-             .withColumn("_std", F.stddev_pop("cos").over(group))
-             .withColumn("_size", F.count("*").over(group))
-             .withColumn("same_file_frac", F.count("*").over(in_file) / F.col("_size")))
 
     def flag(cond):
         return F.when(cond, 1.0).otherwise(0.0)
 
-    return (stats
+    # What a row says about itself comes first, so token arrays never reach the windows.
+    own = (candidates.withColumn("cos", cos_from_distance(F.col("distance")))
+           .withColumn("file", T.file_key(F.col("repo"), F.col("path")))
+           .withColumn("same_repo", flag((F.col("query_repo") != "")
+                                         & (F.col("repo") == F.col("query_repo"))))
+           .withColumn("path_depth", F.size(F.split("path", "/", -1)).cast("double"))
+           .withColumn("_path", T.tokens(F.col("path"))).withColumn("_symbol", T.tokens(symbol))
+           .withColumn("path_overlap", T.overlap(F.col("query_tokens"), F.col("_path")))
+           .withColumn("symbol_overlap", T.overlap(F.col("query_tokens"), F.col("_symbol")))
+           .withColumn("has_symbol", flag(symbol != ""))
+           .withColumn("log_text_len", F.log1p("text_len"))
+           .withColumn("is_code_lang", flag(T.is_code_lang(F.col("lang"))))
+           .withColumn("is_excluded_path", flag(T.excluded_path(F.col("file")))))
+    return (own.withColumn("rank", (F.row_number().over(ordered) - 1).cast("double"))
+            .withColumn("cos_top1", F.first("cos").over(whole))
+            .withColumn("_mean", F.avg("cos").over(group))
+            .withColumn("_std", F.stddev_pop("cos").over(group))
+            .withColumn("same_file_frac", F.count("*").over(in_file) / F.count("*").over(group))
             .withColumn("cos_gap_top", F.col("cos_top1") - F.col("cos"))
             .withColumn("cos_z", F.when(F.col("_std") > 1e-9,
                                         (F.col("cos") - F.col("_mean")) / F.col("_std")).otherwise(0.0))
-            .withColumn("same_repo", flag((F.col("query_repo") != "")
-                                          & (F.col("repo") == F.col("query_repo"))))
-            .withColumn("path_depth", F.size(F.split("path", "/", -1)).cast("double"))
-            .withColumn("path_overlap", T.overlap(F.col("query_tokens"), T.tokens(F.col("path"))))
-            .withColumn("symbol_overlap", T.overlap(F.col("query_tokens"), T.tokens(symbol)))
-            .withColumn("has_symbol", flag(symbol != ""))
-            .withColumn("log_text_len", F.log1p("text_len"))
-            .withColumn("is_code_lang", flag(T.is_code_lang(F.col("lang"))))
-            .withColumn("is_excluded_path", flag(T.excluded_path(F.col("file"))))
-            .select(*candidates.columns, *[F.col(f) for f in FEATURES if f != "distance"]))
+            .select(*[c for c in candidates.columns if c not in FEATURES or c == "distance"],
+                    *[F.col(f) for f in FEATURES if f != "distance"]))
 
 
 def label(candidates: DataFrame, touched: DataFrame) -> DataFrame:

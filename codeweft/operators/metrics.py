@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.text import date_of_ts
 from .ordering import global_rank, running_totals
 
 # Cuts are four-decimal numbers, so every cut is a whole number of these steps.
@@ -126,8 +127,7 @@ def conditions(rows: DataFrame) -> DataFrame:
         F.count_distinct("qid").alias("queries"), F.count_distinct("query_repo").alias("repos"),
         F.count("*").alias("candidates"), F.sum("label").cast("long").alias("positives"),
         F.round(_ratio(F.sum("label"), F.count("*")), 4).alias("positive_rate"),
-        F.date_format(F.timestamp_seconds(F.min("ts")), "yyyy-MM-dd").alias("first_commit"),
-        F.date_format(F.timestamp_seconds(F.max("ts")), "yyyy-MM-dd").alias("last_commit"))
+        date_of_ts(F.min("ts")).alias("first_commit"), date_of_ts(F.max("ts")).alias("last_commit"))
 
 
 def evaluate(train: DataFrame, test: DataFrame, score: str = "score",

@@ -29,7 +29,7 @@ def global_rank(df: DataFrame, *keys, name: str = "rank") -> DataFrame:
 def rank_in_group(df: DataFrame, group: list[str], order: list[str],
                   name: str = "rank") -> DataFrame:
     """0-based position inside each group; a hot group stays spread over many tasks."""
-    ranked = cut(global_rank(df, *group, *order, name="_global"))
+    ranked = global_rank(df, *group, *order, name="_global")
     firsts = ranked.groupBy(*group).agg(F.min("_global").alias("_group_start"))
     return (ranked.join(firsts, group)
             .withColumn(name, F.col("_global") - F.col("_group_start"))

@@ -72,12 +72,15 @@ def body_slices(occurrences: DataFrame) -> DataFrame:
 
 
 def references(occurrences: DataFrame, slices: DataFrame) -> DataFrame:
-    """Every non-definition occurrence with the innermost definition around it."""
+    """Every non-definition occurrence with the innermost definition around it.
+
+    Only the distinct positions are resolved and kept; the occurrences join them by position.
+    """
     points = (occurrences.where("NOT is_def")
-              .select("repo", "path", "doc", "pos", "symbol",
+              .select("repo", "path", "doc", "symbol",
                       F.col("n_line").alias("line"), F.col("n_ch").alias("ch")))
-    around = resolve_enclosing(points, slices.withColumnRenamed("symbol", "enclosing"),
-                               ["repo", "doc"], "enclosing")
+    around = cut(resolve_enclosing(points, slices.withColumnRenamed("symbol", "enclosing"),
+                                   ["repo", "doc"], "enclosing"))
     return points.join(around, ["repo", "doc", "line", "ch"], "left")
 
 
@@ -96,39 +99,40 @@ def definitions(flat: Flat, slices: DataFrame) -> DataFrame:
             .agg(_last(F.struct("path", "s_line", "e_line"), F.col("pos")).alias("d")))
     cutout = (slices.groupBy("repo", "doc", "symbol")
               .agg(_last(F.struct("s_line", "e_line"), F.col("ordinal")).alias("c")))
-    parsed = S.descriptors(F.col("symbol"))
     return (last.join(infos, ["repo", "doc", "symbol"], "left")
             .join(cutout, ["repo", "doc", "symbol"], "left")
-            .withColumn("_p", parsed)
-            .select("repo", "doc", "symbol",
-                    S.symbol_name(F.col("symbol"), F.col("_p"), F.col("info.display_name"))
-                    .alias("name"),
-                    S.symbol_kind(F.col("_p"), F.col("info.kind")).alias("kind"),
+            .select("repo", "doc", "symbol", "info.display_name", F.col("info.kind").alias("code"),
                     F.col("d.path").alias("path"),
                     (F.coalesce("c.s_line", "d.s_line") + 1).alias("start_line"),
                     (F.coalesce("c.e_line", "d.e_line") + 1).alias("end_line")))
 
 
-def intern_symbols(defined: DataFrame, mentioned: DataFrame) -> DataFrame:
-    """One row per (repo, symbol); symbols only mentioned keep NULL path and lines."""
-    state = F.struct("name", "kind", "path", "start_line", "end_line")
-    latest = defined.select("repo", "symbol", F.col("doc").alias("o"), state.alias("s"))
+def intern_symbols(defined: DataFrame, mentioned: DataFrame, parsed: bool = False) -> DataFrame:
+    """One row per (repo, symbol); symbols only mentioned keep NULL path and lines.
+
+    Names and kinds come from the symbol string, which is read here, once per symbol;
+    `parsed` keeps what was read as `_d`.
+    """
+    state = F.struct("display_name", "code", "path", "start_line", "end_line")
+    latest = defined.select("repo", "symbol", F.col("doc").cast("long").alias("o"), state.alias("s"))
     named = mentioned.select("repo", "symbol", F.lit(None).cast("long").alias("o"),
                              F.lit(None).cast(latest.schema["s"].dataType).alias("s"))
-    merged = (latest.withColumn("o", F.col("o").cast("long")).unionByName(named)
+    merged = (latest.unionByName(named)
               .groupBy("repo", "symbol").agg(_last(F.col("s"), F.col("o")).alias("s"))
-              .withColumn("_p", S.descriptors(F.col("symbol"))))
+              .withColumn("_d", S.descriptors(F.col("symbol"))))
     return merged.select(
         S.symbol_id(F.col("repo"), F.col("symbol")).alias("id"), "repo",
         F.col("symbol").alias("scip_symbol"),
-        F.coalesce("s.name", S.symbol_name(F.col("symbol"), F.col("_p"))).alias("name"),
-        F.coalesce("s.kind", S.symbol_kind(F.col("_p"))).alias("kind"),
-        "s.path", "s.start_line", "s.end_line")
+        S.symbol_name(F.col("symbol"), F.col("_d"), F.col("s.display_name")).alias("name"),
+        S.symbol_kind(F.col("_d"), F.col("s.code")).alias("kind"),
+        "s.path", "s.start_line", "s.end_line", *(["_d"] if parsed else []))
 
 
 def classify_members(symbols: DataFrame) -> DataFrame:
     """Defined methods with the type they belong to, and the trait where the name states one."""
-    parsed = symbols.where("path IS NOT NULL").withColumn("_d", S.descriptors(F.col("scip_symbol")))
+    parsed = symbols.where("path IS NOT NULL")
+    if "_d" not in parsed.columns:
+        parsed = parsed.withColumn("_d", S.descriptors(F.col("scip_symbol")))
     head = F.slice("_d", F.lit(1), F.greatest(F.size("_d") - 1, F.lit(0)))
 
     def names(kind):
@@ -173,12 +177,12 @@ def ingest(flat: Flat) -> Graph:
     """The whole graph of the repositories in `flat`."""
     flat = Flat(cut(flat.occurrences), flat.infos, flat.relations, flat.documents)
     slices = cut(body_slices(flat.occurrences))
-    calls = cut(references(flat.occurrences, slices))
+    calls = references(flat.occurrences, slices)
     defined = cut(definitions(flat, slices))
-    mentioned = (calls.select("repo", "symbol")
+    mentioned = (flat.occurrences.where("NOT is_def").select("repo", "symbol").distinct()
                  .unionByName(flat.relations.select("repo", "symbol"))
                  .unionByName(flat.relations.select("repo", F.col("target").alias("symbol"))))
-    symbols = cut(intern_symbols(defined, mentioned))
+    symbols = cut(intern_symbols(defined, mentioned, parsed=True))
     stated = relation_refs(flat.relations, defined)
     derived = derive_impl_edges(symbols)
 
@@ -193,7 +197,7 @@ def ingest(flat: Flat) -> Graph:
             .unionByName(rows(stated, "target", "symbol", F.col("role")))
             .unionByName(rows(derived.where("target IS NOT NULL"), "target", "symbol",
                               F.lit("implementation"))))
-    return Graph(symbols, refs, _stats(flat, symbols, calls, stated, derived))
+    return Graph(symbols.drop("_d"), refs, _stats(flat, symbols, calls, stated, derived))
 
 
 def _stats(flat: Flat, symbols, calls, stated, derived) -> DataFrame:

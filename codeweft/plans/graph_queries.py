@@ -28,12 +28,12 @@ def _by_path(spark, sf):
 
 
 def impl_hop(spark, sf):
-    return C.implemented_by(V.refs(spark, sf), V.symbols(spark, sf), _by_path(spark, sf))
+    return C.implemented_by(V.refs(spark, sf), V.symbols(spark, sf), C.pin(_by_path(spark, sf)))
 
 
 def _callers(spark, sf, targets, k):
     sym, ref = V.symbols(spark, sf), V.refs(spark, sf)
-    full = C.follow_implementations(ref, sym, targets)
+    full = C.pin(C.follow_implementations(ref, sym, C.pin(targets)))
     return C.callers(ref, sym, full, k).limit(k)
 
 
@@ -127,8 +127,8 @@ def symbol_intern_last_wins(spark, sf):
     o = V.table(spark, sf, "orders")
     name = F.concat(F.lit("t cargo d 1 m/C"), F.col("o_custkey").cast("string"), F.lit("#run()."))
     defined = o.select((F.format_string("org/%d", F.col("o_custkey") % 5)).alias("repo"), name.alias("symbol"),
-                       F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("name"),
-                       F.lit("method").alias("kind"), F.format_string("src/%d.rs", "o_orderkey").alias("path"),
+                       F.col("o_orderkey").alias("doc"), F.col("o_orderpriority").alias("display_name"),
+                       F.lit(26).alias("code"), F.format_string("src/%d.rs", "o_orderkey").alias("path"),
                        (F.col("o_orderkey") % 90).cast("int").alias("start_line"),
                        (F.col("o_orderkey") % 90 + 5).cast("int").alias("end_line"))
     seen = V.table(spark, sf, "lineitem").select(

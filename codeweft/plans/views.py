@@ -11,10 +11,16 @@ from ..operators.chunking import line_windows
 from ..session import spread
 
 
+_scans: dict = {}
+
+
 def table(spark: SparkSession, sf: str, name: str, busy: bool = False) -> DataFrame:
     """A driver table; `busy` ones feed per-row text work and are spread over all cores."""
-    scan = spark.read.parquet(f"{sf}/{name}.parquet")
-    return spread(scan) if busy else scan
+    path = f"{sf}/{name}.parquet"
+    key = spark.sparkContext.applicationId, path
+    if key not in _scans:                 # handles only: saves asking for the schema again
+        _scans[key] = spark.read.parquet(path)
+    return spread(_scans[key]) if busy else _scans[key]
 
 
 # -- files and their chunks, from documents
@@ -209,7 +215,9 @@ def candidates(spark, sf, k: int = 30):
     from ..functions.text import tokens
     chunk = vchunks(spark, sf)
     near = batch_top_k(chunk.select(F.col("id").alias("qid"), "embedding"), chunk, k)
-    asked = chunk.select(F.col("id").alias("qid"), F.col("repo").alias("query_repo"),
+    # tokenising the queries is the heavy part of their side, so it is spread
+    asked = spread(table(spark, sf, "embeddings").select("vec_id", "label")).select(
+        F.col("vec_id").alias("qid"), F.format_string("org/repo%d", "label").alias("query_repo"),
                          F.col("label").alias("query_label")) \
         .join(table(spark, sf, "documents", busy=True).select(F.col("doc_id").alias("qid"),
                                                    "text"), "qid", "left") \

@@ -19,7 +19,7 @@ DEFAULTS = {
 }
 
 # Largest dense matrix (bytes) shipped to every executor; beyond it the block grid is used.
-MAX_BROADCAST_BYTES = 256 << 20
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def build_session(app: str = "codeweft", master: str | None = None, **conf) -> SparkSession:
