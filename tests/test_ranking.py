@@ -1,4 +1,5 @@
 """Features, forests, metrics and order statistics against brute force."""
+import datetime
 import math
 import random
 
@@ -177,3 +178,29 @@ def test_running_totals(spark):
     df = spark.createDataFrame(rows, "s double, n int")
     for r in ordering.running_totals(df, "s", ["n"]).collect():
         assert r["cum_n"] == sum(x[0] >= r["s"] for x in rows)
+
+
+def test_train_command(spark, tmp_path, capsys):
+    import json
+
+    from codeweft import __main__ as cli
+    rng = random.Random(3)
+    with open(tmp_path / "groups.json", "w") as fh:
+        for g in range(60):
+            cands = []
+            for i in range(5):
+                hit = int(rng.random() < .4)
+                cands.append({"repo": "o/a" if hit or rng.random() < .3 else "o/b", "path": f"src/f{i}.rs", "start_line": 1,
+                              "end_line": 9, "symbol": f"s{i}", "lang": "rust", "text_len": 300 + i,
+                              "distance": .4 + .1 * i + .2 * rng.random(), "label": hit})
+            fh.write(json.dumps({"repo": "o/a", "sha": f"{g:03d}", "ts": 1_700_000_000 + g * 86400, "query": f"make f{g % 5} faster",
+                                 "n_pos": sum(c["label"] for c in cands), "candidates": cands}) + "\n")
+    args = cli.parser().parse_args(["train", "--data", str(tmp_path / "groups.json"), "--out-model", str(tmp_path / "m.json"),
+                                    "--rounds", "3", "--keep-negative-groups", "--drop-features", "rank"])
+    assert args.run(spark, args) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["test"]["queries"] == 12 and report["train"]["queries"] == 48 and "rank" not in report["features"]
+    newest = datetime.datetime.fromtimestamp(1_700_000_000 + 59 * 86400, datetime.UTC).date().isoformat()
+    assert report["test"]["last_commit"] == newest and 0 <= report["model"]["f1"] <= 1
+    model = forest.Forest.load(str(tmp_path / "m.json"))
+    assert model.threshold == report["model"]["threshold"] and model.features == report["features"]
