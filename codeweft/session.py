@@ -68,5 +68,5 @@ def parallelism(spark: SparkSession) -> int:
 def spread(scan: DataFrame) -> DataFrame:
     """Use every core on an input of few files. `scan` is a bare read: asking for its
     partitions runs nothing, and an input with enough of them is left as it is."""
-    n = parallelism(scan.sparkSession)
+    n = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= n // 2 else scan.repartition(n)
