@@ -4,8 +4,12 @@
    sets are one class; only its representative goes on.
 2. In each band bucket every member is compared with the bucket's least member, its hub. Links
    found so give components; a bucket whose members are all in one component needs no more. In
-   the others, members of different components and of compatible size are compared too. So no
-   candidate link between components is lost, and a group of n near copies costs n comparisons.
+   the others members are compared once more with a drawn hub of another component. What then
+   still lies in different components of one bucket is compared pair by pair, but for pairs that
+   their sizes and exclusive shingles (those no other open text has) rule out: a text of n
+   shingles, e of them exclusive, shares n - e at most. As exclusive shingles of both count in the
+   union, one of a linked pair has few, so large groups of copies that each differ on their own
+   make no pairs. No candidate link between components is lost.
 3. A comparison reads signatures batch by batch and stops as soon as the posterior probability
    that the similarity reaches the threshold falls below `miss`. What survives is verified on
    full shingle sets.
@@ -25,6 +29,7 @@ from .components import components
 from .words import mix, shingle_sets, words_of
 
 BATCH = 24                      # signature values compared at once
+ROUNDS = 1                      # of drawn hubs, before the rest is compared pair by pair
 _STEP = 1 << 14                 # shingles hashed at once for one text
 
 
@@ -124,6 +129,22 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return pairs.join(one("v"), "v").join(one("u"), "u").select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint")
 
 
+def exclusive(texts: DataFrame, k: int) -> DataFrame:
+    """(doc_id, e): how many shingles of each text no other of `texts` has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            for doc_id, s in zip(ids, shingle_sets(words_of(batch.column("text"), lower=True), k)):
+                for at in range(0, len(s), _STEP):
+                    part = s[at:at + _STEP]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), doc_id)), pa.array(part.astype(np.int64))],
+                                                     names=["doc_id", "shingle"])
+
+    each = texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, shingle bigint")
+    return (each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+            .groupBy("doc_id").agg(F.count("*").alias("e")))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id long, text).
 
@@ -149,27 +170,50 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     star = (shared.where("doc_id <> hub.doc_id").where(fits(F.col("n_shingles"), F.col("hub.n_shingles")))
             .select(F.col("hub.doc_id").alias("u"), F.col("doc_id").alias("v")).distinct())
 
+    # the texts that may have to be compared, once
+    pool = cut(docs.join(shared.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
     def confirmed(pairs):
-        left = cut(prune(pairs, reps, threshold, miss))
-        return cut(verify(left, docs.dropDuplicates(["doc_id"]), k, percent))
+        return cut(verify(cut(prune(pairs, reps, threshold, miss)), pool, k, percent))
+
+    def still_open(parts):
+        """Members of buckets that lie in several components."""
+        placed = shared.drop("hub", "component").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
+            "component", F.coalesce("component", "doc_id"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+        return cut(placed.join(mixed.select("bucket"), "bucket", "left_semi"))
 
-    links = confirmed(star)
+    tried = cut(star)
+    links = confirmed(tried)
     parts = components(links)
-    # buckets that still hold members of several components
-    placed = shared.drop("hub").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    open_ = cut(placed.join(mixed.select("bucket"), "bucket", "left_semi"))
-    # sizes that may fit share one of two neighbouring classes of a logarithmic scale
+    for turn in range(ROUNDS):
+        shared = still_open(parts)                   # a bucket in one component stays so
+        if not shared.limit(1).count():
+            break
+        drawn = shared.groupBy("bucket").agg(F.min(F.struct(
+            F.xxhash64("bucket", "doc_id", F.lit(turn)).alias("draw"), "doc_id", "n_shingles", "component")).alias("hub"))
+        pairs = cut(shared.join(drawn, "bucket").where("component <> hub.component")
+                    .where(fits(F.col("n_shingles"), F.col("hub.n_shingles")))
+                    .select(F.least("doc_id", "hub.doc_id").alias("u"), F.greatest("doc_id", "hub.doc_id").alias("v"))
+                    .distinct().join(tried, ["u", "v"], "left_anti"))
+        tried = tried.unionAll(pairs)
+        links = links.unionAll(confirmed(pairs))
+        parts = components(links)
+    # sizes that may fit lie in the same or in neighbouring classes of a logarithmic scale
     scale = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(threshold) * 1.000001)).cast("int")
-    low = open_.withColumn("size", scale)
-    high = low.select("bucket", "doc_id", "n_shingles", "component", F.explode(F.array("size", F.col("size") + 1)).alias("size"))
-    x, y = (high.select("bucket", "size", F.col("doc_id").alias(a), F.col("n_shingles").alias(f"n{a}"),
-                        F.col("component").alias(f"c{a}")) for a in ("u", "v"))
-    rest = (x.join(y, ["bucket", "size"]).where("u < v and cu <> cv").where(fits(F.col("nu"), F.col("nv")))
-            .select("u", "v").distinct().join(star, ["u", "v"], "left_anti"))
-    more = confirmed(rest)
-    parts = components(links.unionAll(more))
+    rest = still_open(parts)
+    alone = exclusive(pool.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), k)
+    rest = cut(rest.join(alone, "doc_id", "left").withColumn("e", F.coalesce("e", F.lit(0))).withColumn("size", scale)
+               .where(100 * (F.col("n_shingles") - F.col("e")) >= percent * F.col("n_shingles")))
+    few = rest.where(2 * percent * F.col("e") <= (100 - percent) * (F.col("n_shingles") - F.col("e")))
+    near = few.withColumn("size", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])))
+    x, y = (t.select("bucket", "size", F.col("doc_id").alias(a), (F.col("n_shingles") - F.col("e")).alias(f"n{a}"),
+                     F.col("e").alias(f"e{a}"), F.col("component").alias(f"c{a}")) for t, a in ((near, "u"), (rest, "v")))
+    possible = 100 * F.least("nu", "nv") >= percent * (F.greatest("nu", "nv") + F.col("eu") + F.col("ev"))
+    pairs = (x.join(y, ["bucket", "size"]).where("cu <> cv").where(possible)
+             .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+             .join(tried, ["u", "v"], "left_anti"))
+    parts = components(links.unionAll(confirmed(pairs)))
     found = (linkable.select("doc_id", "key").distinct().join(classes, "key")
              .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
              .groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
