@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_CHARS = 16_384
+CHUNK_CHARS = 65_536
 BLOCK = 256                     # chunks whose matrices one task combines
 SPACE = "▁"
-_REMEMBERED = 200_000           # words kept by a worker; the memory is emptied beyond
+_REMEMBERED, _SHORT = 300_000, 13    # words kept by a worker, of so many characters; emptied beyond
 _ROWS = 512                     # texts per result batch
 NEVER = -np.inf
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -48,13 +48,24 @@ class Codec:
             raise ValueError("a piece has a space after another character")
         self.reach = max(len(p) for p, _, _ in normal)
         self.unknown = min(s for _, s, _ in normal) - 10.0
-        self.table: dict[str, tuple[float, int] | None] = {p[:n]: None for p, _, _ in normal for n in range(1, len(p))}
-        self.table.update({p: (s, i) for p, s, i in normal})
+        # a node of the trie: next nodes by character, score of the piece that ends here or None, its id
+        self.root = ({}, None, -1)
+        for p, s, i in sorted(normal):
+            nodes = self.root[0]
+            for c in p[:-1]:
+                nodes = nodes.setdefault(c, ({}, None, -1))[0]
+            nodes[p[-1]] = ({}, s, i)                  # sorted: longer pieces come later
         self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(vocabulary) if kind == "byte"}
         self.raw = [bytes([int(p[3:5], 16)]) if kind == "byte" else b"" if kind == "other" else p.encode()
                     for p, _, kind in vocabulary]
         self.unknown_id = next((i for i, v in enumerate(vocabulary) if v[0] == "<unk>"), 0)
         self.words: dict[str, tuple[float, tuple[int, ...]]] = {}
+        # a place between a letter and another character that no piece runs over splits a word
+        pairs = {p[i:i + 2] for p, _, _ in normal for i in range(len(p) - 1)}
+        letter = "[^\\W\\d_]"
+        after = "".join({re.escape(b) for a, b in pairs if a.isalpha() and not b.isalpha()} | {SPACE})
+        before = "".join({re.escape(a) for a, b in pairs if b.isalpha() and not a.isalpha()} | {SPACE})
+        self.joints = re.compile(f"(?<={letter})(?!{letter})(?=[^{after}])|(?<=[^{before}])(?<!{letter})(?={letter})")
 
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -62,25 +73,28 @@ class Codec:
     def forward(self, text: str, start: int, stop: int):
         """Best score at each position from `start`, and the piece (length, id) that ends there.
         Pieces begin before `stop`. Among equal scores the piece that begins first stays."""
-        n, table = len(text), self.table
+        n, first, reach, unknown = len(text), self.root[0], self.reach, self.unknown
         best, back = [NEVER] * (n + 1), [None] * (n + 1)
         best[start] = 0.0
         for i in range(start, min(stop, n)):
             score = best[i]
             if score == NEVER:
                 continue
-            single = False
-            for j in range(i + 1, min(n, i + self.reach) + 1):
-                found = table.get(text[i:j], 0)
-                if found == 0:
+            nodes, j, single = first, i, False
+            for c in text[i:i + reach]:
+                node = nodes.get(c)
+                if node is None:
                     break
-                if found is not None:
-                    single = single or j == i + 1
-                    s = score + found[0]
-                    if s > best[j]:
-                        best[j], back[j] = s, (i, found[1])
-            if not single and score + self.unknown > best[i + 1]:
-                best[i + 1], back[i + 1] = score + self.unknown, (i, -1)
+                nodes, gain, piece = node
+                j += 1
+                if gain is not None:
+                    if j == i + 1:
+                        single = True
+                    if score + gain > best[j]:
+                        best[j] = score + gain
+                        back[j] = i, piece
+            if not single and score + unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = score + unknown, (i, -1)
         return best, back
 
     def trace(self, text: str, back, start: int, end: int) -> list[int]:
@@ -97,11 +111,16 @@ class Codec:
     def word(self, word: str) -> tuple[float, tuple[int, ...]]:
         known = self.words.get(word)
         if known is None:
-            best, back = self.forward(word, 0, len(word))
-            known = best[-1], tuple(self.trace(word, back, 0, len(word)))
-            if len(self.words) >= _REMEMBERED:
-                self.words.clear()
-            if len(word) < 64:
+            parts = self.joints.split(word)
+            if len(parts) > 1:
+                solved = [self.words.get(p) or self.word(p) for p in parts]
+                known = sum(x[0] for x in solved), tuple(i for x in solved for i in x[1])
+            else:
+                best, back = self.forward(word, 0, len(word))
+                known = best[-1], tuple(self.trace(word, back, 0, len(word)))
+            if len(word) <= _SHORT:                    # long words seldom come again
+                if len(self.words) >= _REMEMBERED:
+                    self.words.clear()
                 self.words[word] = known
         return known
 
@@ -306,7 +325,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                texts = [None if not x.is_valid else codec.decode(x.values.to_numpy()) for x in part.column("ids")]
+                texts = [None if not x.is_valid else codec.decode(x.as_py()) for x in part.column("ids")]
                 yield pa.RecordBatch.from_arrays([*part.select(others).columns, pa.array(texts, pa.string())], names=[*others, "decoded"])
 
     return encoded.select(*others).mapInArrow(run, schema)
