@@ -93,8 +93,8 @@ def _similar(spark, a):
                                 a.threshold)
     shown = found.select("qid", F.concat_ws("/", "repo", "path").alias("other"), "symbol", "cos") \
         .join(asked.select("qid", "path", "start_line", "end_line"), "qid")
-    for line in history.github_warnings(shown.toLocalIterator()):
-        print(line)
+    for row in shown.toLocalIterator():
+        print(json.dumps(row.asDict()))
     return 0
 
 
@@ -103,8 +103,8 @@ def _search(spark, a):
     ledger = files.read_ledger(spark, a.ledger) if a.ledger else None
     if ledger is not None:
         ledger = duplicates.both_directions(ledger)
-    print(knn.semantic_search(store.chunks(), _vector(a.vector), a.k, a.repo, ledger,
-                              store.get_meta("updated_at") or ""))
+    for row in knn.semantic_search(store.chunks(), _vector(a.vector), a.k, a.repo, ledger):
+        print(json.dumps(row))
     return 0
 
 
@@ -128,13 +128,9 @@ def _calls(spark, a):
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
-    where = f"symbol={a.symbol}" if a.symbol else f"path={a.path}" + (f":{a.lines}" if a.lines else "")
-    if a.json:
-        print(json.dumps({"targets": [t.asDict() for t in answer.targets],
-                          "callers": [c.asDict() for c in answer.callers], "truncated": answer.truncated,
-                          "repos": [r.asDict() for r in answer.freshness], "meta": answer.meta}))
-    else:
-        print(callgraph.render_callers(answer, where + (f" repo={a.repo}" if a.repo else "")))
+    print(json.dumps({"targets": [t.asDict() for t in answer.targets],
+                      "callers": [c.asDict() for c in answer.callers], "truncated": answer.truncated,
+                      "repos": [r.asDict() for r in answer.freshness], "meta": answer.meta}))
     return 0 if answer.targets else 1
 
 

@@ -53,8 +53,8 @@ CAPTURE["tsx"] = CAPTURE["javascript"] = CAPTURE["typescript"]
 CODE_LANGS = ["rust", "typescript", "tsx", "javascript", "python", "go",
               "kotlin", "java", "c", "cpp", "vue"]
 EXCLUDED_PATH_PATTERN = (
-    r"(alc-gw-p4/components/|/tests?/|(^|/)test_|\.test\.|_test\.|\.spec\."
-    r"|\.d\.ts$|/docs/|/fixtures/|/examples?/|setup-bazel)")
+    r"(/tests?/|(^|/)test_|\.test\.|_test\.|\.spec\."
+    r"|\.d\.ts$|/docs/|/fixtures/|/examples?/)")
 MIN_TEXT_LEN = 300
 SIM_THRESHOLD = 0.93
 FOREIGN_POOL = 20

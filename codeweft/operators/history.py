@@ -96,10 +96,3 @@ def changed_chunks(chunks: DataFrame, ranges: DataFrame) -> DataFrame:
                            F.lit(None).cast("int").alias("_reach"), item.alias("_c"))
     merged = carry_forward(marks.unionByName(probes), ["change", "path"], "_at", "_reach", "max")
     return merged.where(F.col("_c").isNotNull() & (F.col("_reach") >= F.col("_c.start_line"))).select("_c.*")
-
-
-def github_warnings(found) -> list[str]:
-    """Advisory lines for collected matches (path, lines, other file, cos)."""
-    return [f"::warning file={r['path']},line={r['start_line']},endLine={r['end_line']}"
-            f"::similar code exists: {r['other']}{' (' + r['symbol'] + ')' if r['symbol'] else ''} "
-            f"sim {r['cos']:.2f}" for r in found]

@@ -186,24 +186,9 @@ def annotate_duplicates(found: DataFrame, ledger: DataFrame) -> DataFrame:
     return keyed.join(known, "file", "left")
 
 
-def render_search(rows, updated_at: str = "") -> str:
-    """Markdown blocks of collected hits (repo, path, lines, symbol, lang, text, distance)."""
-    if not rows:
-        return "no results"
-    out = []
-    for r in rows:
-        name = f"  ({r['symbol']})" if r["symbol"] else ""
-        block = (f"## {r['repo']}/{r['path']}:{r['start_line']}-{r['end_line']}{name}"
-                 f"  [dist {r['distance']:.3f}]")
-        for d in r.get("duplicates") or []:
-            block += f"\nnear-duplicate of {d['other']} (chunks {d['n']}, sim {d['max_sim']})"
-        out.append(f"{block}\n```{r['lang']}\n{r['snippet']}\n```")
-    return "\n\n".join([*out, f"index updated_at: {updated_at or 'unknown'}"])
-
-
 def semantic_search(chunks: DataFrame, query, k: int = 8, repo: str = "",
-                    ledger: DataFrame | None = None, updated_at: str = "") -> str:
-    """The rendered answer to one embedded query; k rows reach the driver."""
+                    ledger: DataFrame | None = None) -> list[dict]:
+    """Hits of one embedded query as dicts, nearest first; k rows reach the driver."""
     near = post_filtered(chunks, query, repo, k).drop("repo") if repo else top_k(chunks, query, k)
     found = hits(chunks, near, "repo", "path", "start_line", "end_line", "symbol", "lang",
                  T.snippet(F.col("text")).alias("snippet")).orderBy("distance", "id")
@@ -215,4 +200,4 @@ def semantic_search(chunks: DataFrame, query, k: int = 8, repo: str = "",
             known.setdefault(d["file"], []).append(d)
         for r in rows:
             r["duplicates"] = known.get(f"{r['repo']}/{r['path']}")
-    return render_search(rows, updated_at)
+    return rows

@@ -8,15 +8,13 @@ from ..functions import scip_symbols as S
 from ..operators import callgraph as C, scip, stabbing
 from . import views as V
 
-_TARGET_ORDER = "repo, path, start_line, id"
-
 
 def targets_by_symbol(spark, sf):
     return C.targets_by_symbol(V.symbols(spark, sf), "ECONOMY")
 
 
 def targets_whole_file(spark, sf):
-    return C.targets_by_path(V.symbols(spark, sf), "src/3.rs", limit=1000)
+    return C.targets_by_path(V.symbols(spark, sf), "src/3.rs")
 
 
 def targets_by_path_innermost(spark, sf):
@@ -28,13 +26,13 @@ def _by_path(spark, sf):
 
 
 def impl_hop(spark, sf):
-    return C.implemented_by(V.refs(spark, sf), V.symbols(spark, sf), C.pin(_by_path(spark, sf)))
+    return C.implemented_by(V.refs(spark, sf), V.symbols(spark, sf), _by_path(spark, sf))
 
 
 def _callers(spark, sf, targets, k):
     sym, ref = V.symbols(spark, sf), V.refs(spark, sf)
-    full = C.pin(C.follow_implementations(ref, sym, C.pin(targets)))
-    return C.callers(ref, sym, full, k).limit(k)
+    found = C.callers(ref, sym, C.follow_implementations(ref, sym, targets), k)
+    return found if k is None else found.limit(k)
 
 
 def callers_topk(spark, sf):
@@ -43,7 +41,7 @@ def callers_topk(spark, sf):
 
 
 def callers_of_path(spark, sf):
-    return _callers(spark, sf, _by_path(spark, sf), 2000)
+    return _callers(spark, sf, _by_path(spark, sf), None)
 
 
 def callers_file_scope(spark, sf):
@@ -56,8 +54,7 @@ def callers_file_scope(spark, sf):
 
 def _by_symbol_sql(name, repo=""):
     where = f" AND repo = '{repo}'" if repo else ""
-    return (f"targets AS (SELECT * FROM symbols WHERE name = '{name}'{where} "
-            f"ORDER BY {_TARGET_ORDER} LIMIT 100)")
+    return f"targets AS (SELECT * FROM symbols WHERE name = '{name}'{where})"
 
 
 def _by_path_sql(low, high):
@@ -67,31 +64,27 @@ def _by_path_sql(low, high):
     SELECT 1 FROM symbols i WHERE i.repo = s.repo AND i.path = s.path
        AND i.start_line <= {high} AND i.end_line >= {low}
        AND i.start_line >= s.start_line AND i.end_line <= s.end_line
-       AND i.end_line - i.start_line < s.end_line - s.start_line)
-  ORDER BY repo, start_line, id LIMIT 100)"""
+       AND i.end_line - i.start_line < s.end_line - s.start_line))"""
 
 
 _HOP = """hop AS (
-  SELECT * FROM (
-    SELECT DISTINCT s.* FROM refs r JOIN symbols s ON s.id = r.symbol_id
-    WHERE r.role = 'implementation' AND r.enclosing_symbol_id IN (SELECT id FROM targets)
-    ORDER BY s.repo, s.path, s.start_line, s.id LIMIT 100)
-  WHERE id NOT IN (SELECT id FROM targets))"""
+  SELECT DISTINCT s.* FROM refs r JOIN symbols s ON s.id = r.symbol_id
+  WHERE r.role = 'implementation' AND r.enclosing_symbol_id IN (SELECT id FROM targets)
+    AND s.id NOT IN (SELECT id FROM targets))"""
 
 
 def _callers_sql(targets, k):
     return f"""WITH {V.SYMBOLS}, {V.REFS}, {targets}, {_HOP},
 asked AS (SELECT id, name FROM targets UNION ALL SELECT id, name FROM hop),
 fetched AS (
-  SELECT r.*, a.name AS target_name FROM refs r JOIN asked a ON a.id = r.symbol_id
-  ORDER BY r.repo, r.path, r.line, r.symbol_id, r.enclosing_symbol_id NULLS FIRST, r.role LIMIT {k + 1}),
+  SELECT r.*, a.name AS target_name FROM refs r JOIN asked a ON a.id = r.symbol_id),
 sites AS (
   SELECT f.repo, f.path, f.line, f.role, f.target_name, e.name, e.kind, e.path AS def_path,
          e.start_line AS def_start_line, e.end_line AS def_end_line
   FROM fetched f LEFT JOIN symbols e ON e.id = f.enclosing_symbol_id
   QUALIFY row_number() OVER (PARTITION BY f.repo, f.path, f.line, e.name
      ORDER BY f.symbol_id, f.enclosing_symbol_id NULLS FIRST, f.role) = 1)
-SELECT * FROM sites ORDER BY repo, path, line, name NULLS FIRST LIMIT {k}"""
+SELECT * FROM sites{f" ORDER BY repo, path, line, name NULLS FIRST LIMIT {k}" if k else ""}"""
 
 
 def enclosing_stab(spark, sf):
@@ -192,12 +185,12 @@ QUERIES = {
     "targets_by_symbol": (targets_by_symbol,
                           f"WITH {V.SYMBOLS}, {_by_symbol_sql('ECONOMY')} SELECT * FROM targets"),
     "targets_whole_file": (targets_whole_file, f"""WITH {V.SYMBOLS}
-SELECT * FROM symbols WHERE path = 'src/3.rs' ORDER BY repo, start_line, id LIMIT 1000"""),
+SELECT * FROM symbols WHERE path = 'src/3.rs'"""),
     "targets_by_path_innermost": (targets_by_path_innermost,
                                   f"WITH {V.SYMBOLS}, {_by_path_sql(20, 40)} SELECT * FROM targets"),
     "impl_hop": (impl_hop, f"WITH {V.SYMBOLS}, {V.REFS}, {_by_path_sql(20, 21)}, {_HOP} SELECT * FROM hop"),
     "callers_topk": (callers_topk, _callers_sql(_by_symbol_sql("ECONOMY", "Brand#11"), 30)),
-    "callers_of_path": (callers_of_path, _callers_sql(_by_path_sql(20, 21), 2000)),
+    "callers_of_path": (callers_of_path, _callers_sql(_by_path_sql(20, 21), None)),
     "callers_file_scope": (callers_file_scope, f"""WITH {V.SYMBOLS}, {V.REFS}, {_by_symbol_sql('SMALL', 'Brand#4')}
 SELECT DISTINCT repo || '/' || path || ':' || line AS location, '(file scope)' AS enclosing
 FROM refs WHERE enclosing_symbol_id IS NULL AND symbol_id IN (SELECT id FROM targets)"""),

@@ -61,11 +61,12 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
-    """A stored ledger, or None where there is none to read."""
-    try:
-        return spark.read.schema(schemas.LEDGER).json(path, multiLine=True)
-    except Exception:
+    """A stored ledger, one JSON object a line as `dedup` writes it; None where the path is not there.
+    Any other fault is raised."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         return None
+    return spark.read.schema(schemas.LEDGER).json(path)
 
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:

@@ -98,17 +98,20 @@ class IndexStore:
                 [(n, None, None) for n in names], schemas.REPOS))
 
     def delete_path(self, repo: str, path: str) -> int:
-        """Drop one file of a repository; returns how many chunks it had."""
-        mine = cut(self.chunks().where(F.col("repo") == repo))
-        kept = mine.where(F.col("path") != path)
-        gone = mine.count() - kept.count()
-        if kept.isEmpty():
-            from urllib.parse import quote
-            fs, p = self._fs(f"{self._path('chunks')}/repo={quote(repo, safe=' ')}")
-            if fs.exists(p):
-                fs.delete(p, True)
-        else:
-            self._replace("chunks", kept)
+        """Drop one file of a repository, its digest too, so that a refresh finds it new; returns
+        how many chunks it had."""
+        gone = 0
+        for table, rows in (("files", self.files()), ("chunks", self.chunks())):
+            mine = cut(rows.where(F.col("repo") == repo))
+            kept = mine.where(F.col("path") != path)
+            gone = mine.count() - kept.count()
+            if kept.isEmpty():
+                from urllib.parse import quote
+                fs, p = self._fs(f"{self._path(table)}/repo={quote(repo, safe=' ')}")
+                if fs.exists(p):
+                    fs.delete(p, True)
+            else:
+                self._replace(table, kept)
         return gone
 
     def put_chunks(self, chunks: DataFrame) -> None:
@@ -137,7 +140,10 @@ class IndexStore:
         work = cut(U.repo_plan(heads, stored).where("action <> 'skip'"))
         todo = work.select("repo")
         new_files = snapshot.join(todo, "repo", "left_semi")
-        old_files = cut(self.files().join(todo, "repo", "left_semi"))
+        # files that only the chunks know (after a merge) count as old, with a digest none has
+        unlisted = (self.chunks().select("repo", "path").distinct()
+                    .join(self.files().select("repo", "path"), ["repo", "path"], "left_anti").withColumn("sha", F.lit("")))
+        old_files = cut(self.files().select("repo", "path", "sha").unionByName(unlisted).join(todo, "repo", "left_semi"))
         changed = cut(U.change_set(old_files, new_files))
         fresh_text = texts(new_files.join(changed.where("status <> 'D'"), ["repo", "path"], "left_semi"))
         old_chunks = cut(self.chunks().join(todo, "repo", "left_semi"))

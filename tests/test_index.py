@@ -86,6 +86,21 @@ def test_deletes(spark, tmp_path):
     assert store.delete_path("r2", "c.rs") == 1 and store.chunks().count() == 0
 
 
+def test_refresh_after_delete_path_and_merge(spark, tmp_path):
+    """A dropped file returns; a file that only chunks know, as after a merge, is dropped when it is gone."""
+    store = IndexStore(spark, str(tmp_path / "ix"))
+    both = _snapshot(spark, [("o/a", "x.md", TEXT), ("o/a", "y.md", TEXT + "more")])
+    store.refresh(both, _heads(spark, o_a="1"), toy_model)
+    assert store.delete_path("o/a", "x.md") >= 1
+    store.refresh(both, _heads(spark, o_a="2"), toy_model)
+    assert {r.path for r in store.chunks().collect()} == {"x.md", "y.md"}
+    merged = IndexStore(spark, str(tmp_path / "merged"))
+    merged.set_meta("model", merged.model)
+    merged.put_chunks(store.chunks())
+    merged.refresh(_snapshot(spark, [("o/a", "x.md", TEXT)]), _heads(spark, o_a="3"), toy_model)
+    assert {r.path for r in merged.chunks().collect()} == {"x.md"}
+
+
 def _part(spark, rows, repos, model=MODEL_NAME):
     return {"chunks": _chunk_rows(spark, rows),
             "repos": spark.createDataFrame([(r, s, "t") for r, s in repos], schemas.REPOS),
@@ -148,7 +163,9 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert run("calls", "--root", root, "--symbol", "g") == 0
     out = capsys.readouterr().out
-    assert "- o/a/a.rs:3  in f (method)  [reference -> g]" in out and "o/a @ c0ffee" in out
+    answer = json.loads(out)
+    assert [(c["path"], c["line"], c["name"], c["target_name"]) for c in answer["callers"]] == [("a.rs", 3, "f", "g")]
+    assert answer["repos"][0]["commit_sha"] == "c0ffee"
     assert run("calls", "--root", root, "--symbol", "nothing") == 1
     assert run("calls", "--root", root) == 2
     assert run("calls", "--root", root, "--path", "a.rs", "--lines", "x") == 2
@@ -157,7 +174,7 @@ def test_command_line(spark, tmp_path, capsys):
     store.refresh(_snapshot(spark, [("o/a", "x.md", TEXT), ("o/b", "y.md", TEXT)]), _heads(spark, o_a="1", o_b="1"), toy_model)
     vector = json.dumps([float(x) for x in toy_model()(["o/a/x.md\n" + TEXT])[0]])
     assert run("search", "--root", store.root, "--vector", vector, "--k", "1") == 0
-    assert "## o/a/x.md:1-5" in capsys.readouterr().out
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["path"] == "x.md"
     assert run("caches", "--root", store.root, "--chunks", str(tmp_path / "cc"), "--vectors", str(tmp_path / "vc")) == 0
     assert run("dedup", "--root", store.root, "--out", str(tmp_path / "d")) == 0
     assert "0 duplicate file pairs" in capsys.readouterr().out
