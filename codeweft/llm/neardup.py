@@ -4,12 +4,12 @@
    sets are one class; only its representative goes on.
 2. In each band bucket every member is compared with the bucket's least member, its hub. Links
    found so give components; a bucket whose members are all in one component needs no more. In
-   the others members are compared once more with a drawn hub of another component. What then
-   still lies in different components of one bucket is compared pair by pair, but for pairs that
-   their sizes and exclusive shingles (those no other open text has) rule out: a text of n
-   shingles, e of them exclusive, shares n - e at most. As exclusive shingles of both count in the
-   union, one of a linked pair has few, so large groups of copies that each differ on their own
-   make no pairs. No candidate link between components is lost.
+   the others members are compared once more with a drawn hub of another component. Texts that
+   then still share a bucket over different components are tested exactly in tiles: pairs of
+   slices of bounded size, one matrix product of set incidence each, of which only links that tie
+   components leave the task. Before that, texts that cannot be linked at all go: of n shingles,
+   e of them exclusive to a text, n - e at most are shared. No candidate link is lost, and no
+   table of pairs is made.
 3. A comparison reads signatures batch by batch and stops as soon as the posterior probability
    that the similarity reaches the threshold falls below `miss`. What survives is verified on
    full shingle sets.
@@ -31,6 +31,7 @@ from .words import mix, shingle_sets, words_of
 BATCH = 24                      # signature values compared at once
 ROUNDS = 1                      # of drawn hubs, before the rest is compared pair by pair
 _STEP = 1 << 14                 # shingles hashed at once for one text
+TILE = 256                      # texts in one side of a tile
 
 
 @lru_cache(maxsize=8)
@@ -145,6 +146,53 @@ def exclusive(texts: DataFrame, k: int) -> DataFrame:
             .groupBy("doc_id").agg(F.count("*").alias("e")))
 
 
+def tiled(open_: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v): links that tie different components, found by exact comparison inside each cluster of
+    `open_` (doc_id, cluster, component). A cluster is cut into slices of about TILE texts and every
+    pair of slices is one task; a task returns fewer links than it has texts."""
+    slices = open_.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("slices"), F.count("*").alias("n")).where("n > 1")
+    placed = (open_.join(slices.drop("n"), "cluster").withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+              .withColumn("low", F.least("slice", "other")).withColumn("high", F.greatest("slice", "other")))
+
+    def run(key, table):
+        ids, label = table.column("doc_id").to_numpy(), table.column("component").to_numpy()
+        side = table.column("slice").to_numpy()
+        sets = list(shingle_sets(words_of(table.column("text"), lower=True), k))
+        n = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), n)
+        values, column = np.unique(np.concatenate(sets), return_inverse=True)
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        for at in range(0, len(values), 4096):                # columns of the incidence matrix
+            a, b = np.searchsorted(column, (at, at + 4096))
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[owner[a:b], column[a:b] - at] = 1
+            both += part @ part.T
+        wanted = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        wanted &= label[:, None] != label[None, :]
+        if key[1].as_py() != key[2].as_py():
+            wanted &= side[:, None] != side[None, :]
+        root = {x: x for x in label.tolist()}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for i, j in np.argwhere(np.triu(wanted, 1)).tolist():
+            a, b = find(int(label[i])), find(int(label[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"u": pa.array([o[0] for o in out], pa.int64()), "v": pa.array([o[1] for o in out], pa.int64())})
+
+    return (placed.join(texts.select("doc_id", "text"), "doc_id").groupBy("cluster", "low", "high")
+            .applyInArrow(run, "u bigint, v bigint"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-6) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of `docs` (doc_id long, text).
 
@@ -199,21 +247,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         tried = tried.unionAll(pairs)
         links = links.unionAll(confirmed(pairs))
         parts = components(links)
-    # sizes that may fit lie in the same or in neighbouring classes of a logarithmic scale
-    scale = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(threshold) * 1.000001)).cast("int")
     rest = still_open(parts)
     alone = exclusive(pool.join(rest.select("doc_id").distinct(), "doc_id", "left_semi"), k)
-    rest = cut(rest.join(alone, "doc_id", "left").withColumn("e", F.coalesce("e", F.lit(0))).withColumn("size", scale)
-               .where(100 * (F.col("n_shingles") - F.col("e")) >= percent * F.col("n_shingles")))
-    few = rest.where(2 * percent * F.col("e") <= (100 - percent) * (F.col("n_shingles") - F.col("e")))
-    near = few.withColumn("size", F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])))
-    x, y = (t.select("bucket", "size", F.col("doc_id").alias(a), (F.col("n_shingles") - F.col("e")).alias(f"n{a}"),
-                     F.col("e").alias(f"e{a}"), F.col("component").alias(f"c{a}")) for t, a in ((near, "u"), (rest, "v")))
-    possible = 100 * F.least("nu", "nv") >= percent * (F.greatest("nu", "nv") + F.col("eu") + F.col("ev"))
-    pairs = (x.join(y, ["bucket", "size"]).where("cu <> cv").where(possible)
-             .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-             .join(tried, ["u", "v"], "left_anti"))
-    parts = components(links.unionAll(confirmed(pairs)))
+    rest = cut(rest.join(alone, "doc_id", "left")
+               .where(100 * (F.col("n_shingles") - F.coalesce("e", F.lit(0))) >= percent * F.col("n_shingles"))
+               .select("bucket", "doc_id", "component"))
+    # texts that buckets tie together, whether linked or not
+    least = rest.groupBy("bucket").agg(F.min("doc_id").alias("u"))
+    clusters = components(rest.join(least, "bucket").select("u", F.col("doc_id").alias("v")))
+    open_ = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")).join(
+        rest.select("doc_id", "component").distinct(), "doc_id")
+    parts = components(links.unionAll(cut(tiled(open_, pool, k, percent))))
     found = (linkable.select("doc_id", "key").distinct().join(classes, "key")
              .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
              .groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id")))
