@@ -58,6 +58,28 @@ def gram_levels(tokens: Words, order: int) -> list[np.ndarray]:
     return levels
 
 
+def _pack(grams: np.ndarray) -> bytes:
+    """The low 48 bits of each hash. Together with the bucket, which all 64 bits choose and which holds
+    a bounded number of grams, they tell grams apart but for one in 10**8 or so."""
+    return np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack(column) -> tuple[np.ndarray, np.ndarray]:
+    raw, row = unpack(column, np.dtype("V6"))
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw.tobytes(), np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1), row
+
+
+def planes(counts: np.ndarray) -> bytes:
+    """64-bit counts byte plane by byte plane: mostly zeros in a row, which shuffles compress away."""
+    return np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(raw) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+
+
 def _distinct(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted (bucket, gram) without repeats, and the place of each input in them."""
     values, place = np.unique(grams, return_inverse=True)
@@ -99,11 +121,11 @@ def vocabulary(docs: DataFrame, buckets: int) -> tuple[int, int]:
             out = bucket_runs(bucket)
             yield pa.RecordBatch.from_pydict({
                 "bucket": pa.array([b for b, _ in out] + [-1], pa.int64()),
-                "grams": pa.array([values[s].tobytes() for _, s in out] + [None], pa.binary()),
+                "grams": pa.array([_pack(values[s]) for _, s in out] + [None], pa.binary()),
                 "n": pa.array([0] * len(out) + [int(taught.sum())], pa.int64())})
 
     def count(table: pa.Table) -> pa.Table:
-        values, _ = unpack(table.column("grams").drop_null(), np.uint64)
+        values, _ = _unpack(table.column("grams").drop_null())
         return pa.table({"n": pa.array([sum(table.column("n").to_pylist())], pa.int64()),
                          "v": pa.array([len(np.unique(values))], pa.int64())})
 
@@ -134,25 +156,24 @@ def score(docs: DataFrame, order: int = 2, prior: float = 200.0, chunk_bytes: in
         counts = _train_counts(table, tokens, levels, grams, at, start_at)
         out = bucket_runs(bucket)
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "chunk": pa.array([key[0].as_py()] * len(out), pa.int64()),
-                         "grams": pa.array([grams[s].tobytes() for _, s in out], pa.binary()),
-                         "counts": pa.array([counts[s].astype(np.uint32).tobytes() for _, s in out], pa.binary())})
+                         "grams": pa.array([_pack(grams[s]) for _, s in out], pa.binary()),
+                         "counts": pa.array([planes(counts[s]) for _, s in out], pa.binary())})
 
     def add_up(key, table):
-        grams, row = unpack(table.column("grams"), np.uint64)
-        counts, _ = unpack(table.column("counts"), np.uint32)
+        grams, row = _unpack(table.column("grams"))
+        counts = np.concatenate([from_planes(x.as_buffer()) for x in table.column("counts")])
         order_ = np.argsort(grams, kind="stable")
         at = runs(grams[order_])
         totals = np.zeros(len(grams), np.int64)
         if len(at):
             totals[order_] = np.repeat(np.add.reduceat(counts[order_].astype(np.int64), at), np.diff(np.append(at, len(grams))))
         return pa.table({"chunk": table.column("chunk"), "bucket": pa.array([key[0].as_py()] * table.num_rows, pa.int64()),
-                         "counts": pa.array([totals[s].astype(np.uint64).tobytes() for _, s in bucket_runs(row)], pa.binary())})
+                         "counts": pa.array([planes(totals[s]) for _, s in bucket_runs(row)], pa.binary())})
 
     def walk(key, table, answers):
         tokens, levels, grams, _, at, start_at = _chunk_grams(table, order, buckets)
         answers = answers.sort_by("bucket")
-        counts, _ = unpack(answers.column("counts"), np.uint64)
-        counts = counts.astype(np.float64)
+        counts = np.concatenate([from_planes(x.as_buffer()) for x in answers.column("counts")]).astype(np.float64)
         first = np.zeros(len(tokens.hashes), bool)
         first[tokens.offsets[:-1]] = True
         known = counts[at[0]]
