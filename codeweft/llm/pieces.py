@@ -7,8 +7,9 @@ reaches over a boundary, a chunk yields the matrix of best scores from each entr
 exit state, matrices are combined associatively in two levels, and with the states that come out
 every chunk is traced back by itself.
 
-No piece runs over the start of a space after another character (checked when a vocabulary is
-read), so texts fall into words, which are solved once and remembered."""
+Other texts are encoded many at once: pieces are looked up from every place in vectorised steps, and
+places that no piece runs over (the start of a space after another character is one, which is
+checked when a vocabulary is read) cut them into short segments that are solved in step."""
 from __future__ import annotations
 
 import re
@@ -17,16 +18,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 65_536
 BLOCK = 256                     # chunks whose matrices one task combines
 SPACE = "▁"
-_REMEMBERED, _SHORT = 300_000, 13    # words kept by a worker, of so many characters; emptied beyond
+_TOGETHER = 1 << 16             # characters encoded at once; a longer text goes by itself
+_IN_STEP = 32                   # longest segment solved in step with others
+_SLOT_BITS = 19
 _ROWS = 512                     # texts per result batch
 NEVER = -np.inf
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 def read_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
@@ -59,13 +62,49 @@ class Codec:
         self.raw = [bytes([int(p[3:5], 16)]) if kind == "byte" else b"" if kind == "other" else p.encode()
                     for p, _, kind in vocabulary]
         self.unknown_id = next((i for i, v in enumerate(vocabulary) if v[0] == "<unk>"), 0)
-        self.words: dict[str, tuple[float, tuple[int, ...]]] = {}
-        # a place between a letter and another character that no piece runs over splits a word
-        pairs = {p[i:i + 2] for p, _, _ in normal for i in range(len(p) - 1)}
-        letter = "[^\\W\\d_]"
-        after = "".join({re.escape(b) for a, b in pairs if a.isalpha() and not b.isalpha()} | {SPACE})
-        before = "".join({re.escape(a) for a, b in pairs if b.isalpha() and not a.isalpha()} | {SPACE})
-        self.joints = re.compile(f"(?<={letter})(?!{letter})(?=[^{after}])|(?<=[^{before}])(?<!{letter})(?={letter})")
+        self._tables(normal)
+
+    def _tables(self, normal) -> None:
+        """The trie as arrays: classes of characters (0: in no piece), and a table of child nodes hashed by
+        (node, class), whose slots are short runs of a sorted array."""
+        letters = sorted({c for p, _, _ in normal for c in p})
+        self.klass = np.zeros(0x110000, np.int32)
+        self.klass[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        keys, children, scores, pieces, queue = [], [], [NEVER], [-1], [(0, self.root[0])]
+        for at, nodes in queue:
+            for c, (below, score, piece) in nodes.items():
+                keys.append(at * self.width + int(self.klass[ord(c)]))
+                children.append(len(scores))
+                queue.append((len(scores), below))
+                scores.append(NEVER if score is None else score)
+                pieces.append(piece)
+        keys, children = np.array(keys, np.int64), np.array(children, np.int64)
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.children = np.append(keys[order], -1), np.append(children[order], 0)
+        self.slots = np.searchsorted(slot[order], np.arange((1 << _SLOT_BITS) + 1))
+        self.node_score, self.node_piece = np.array(scores), np.array(pieces, np.int32)
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+    def _child(self, node: np.ndarray, klass: np.ndarray) -> np.ndarray:
+        """Child nodes, 0 where there is none."""
+        key = node * self.width + klass
+        slot = self._slot(key)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        hit = (self.keys[at] == key) & (at < end)
+        out = np.where(hit, self.children[at], 0)
+        left = np.flatnonzero(~hit & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            hit = self.keys[at[left]] == key[left]
+            out[left[hit]] = self.children[at[left[hit]]]
+            left = left[~hit]
+            left = left[at[left] + 1 < end[left]]
+        return out
 
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
@@ -108,30 +147,95 @@ class Codec:
             end = i
         return out[::-1]
 
-    def word(self, word: str) -> tuple[float, tuple[int, ...]]:
-        known = self.words.get(word)
-        if known is None:
-            parts = self.joints.split(word)
-            if len(parts) > 1:
-                solved = [self.words.get(p) or self.word(p) for p in parts]
-                known = sum(x[0] for x in solved), tuple(i for x in solved for i in x[1])
-            else:
-                best, back = self.forward(word, 0, len(word))
-                known = best[-1], tuple(self.trace(word, back, 0, len(word)))
-            if len(word) <= _SHORT:                    # long words seldom come again
-                if len(self.words) >= _REMEMBERED:
-                    self.words.clear()
-                self.words[word] = known
-        return known
-
     def encode(self, normal: str, ids: array) -> float:
         """Appends the ids of a whole normalised text; returns its score."""
-        score, words, put = 0.0, self.words, ids.extend
-        for w in _WORD.findall(normal):
-            known = words.get(w) or self.word(w)
-            score += known[0]
-            put(known[1])
-        return score
+        found, _, scores = self.encode_all([normal])
+        ids.frombytes(found.tobytes())
+        return float(scores[0])
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of whole normalised texts, one after the other, with the count and the score of each text."""
+        done, at = [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= _TOGETHER:
+                size += len(texts[end])
+                end += 1
+            done.append(self._encode_together(texts[at:end]))
+            at = end
+        empty = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*(done or [empty])))
+
+    def _encode_together(self, texts: list[str]):
+        """All places of some texts in step. Pieces are looked up from every place at once; places that no
+        piece runs over cut the texts into segments, whose best paths do not depend on each other."""
+        flat = "\0".join(texts) + "\0"
+        n, reach = len(flat), self.reach
+        codes = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
+        stops = np.cumsum([len(t) + 1 for t in texts]) - 1
+        klass = self.klass[codes].astype(np.int64)
+        klass[stops] = 0
+        # gain[l - 1, i]: score of the piece of l characters from i
+        gain, piece, longest = np.full((reach, n), NEVER), np.full((reach, n), -1, np.int32), np.ones(n, np.int64)
+        at, node = np.arange(n), np.zeros(n, np.int64)
+        for length in range(1, reach + 1):
+            node = self._child(node, klass[at + length - 1])
+            at, node = at[node > 0], node[node > 0]         # a stop ends every walk before the end
+            ends = self.node_piece[node] >= 0
+            i, last = at[ends], node[ends]
+            gain[length - 1, i], piece[length - 1, i], longest[i] = self.node_score[last], self.node_piece[last], length
+            if not len(at):
+                break
+        gain[0, piece[0] < 0] = self.unknown
+        far = np.maximum.accumulate(np.arange(n) + longest)
+        start = np.flatnonzero(np.append(True, far[:-1] == np.arange(1, n)))
+        size = np.diff(np.append(start, n))
+        own = ~np.isin(start, stops, assume_unique=True)
+        start, size = start[own], size[own]
+        order = np.argsort(-size, kind="stable")
+        start, size = start[order], size[order]
+        long = int(np.searchsorted(-size, -_IN_STEP))        # those of more than _IN_STEP characters come first
+        chosen, total = np.zeros(n, np.int8), np.zeros(len(start))   # length of the piece that begins here
+        for s in range(long):
+            b, e = int(start[s]), int(start[s] + size[s])
+            best, back = self.forward(flat[b:e], 0, e - b)
+            total[s], j = best[-1], e - b
+            while j:
+                i = back[j][0]
+                chosen[b + i], j = j - i, i
+        s, size = start[long:], size[long:]
+        if len(s):
+            best, back = np.zeros(n), np.zeros(n, np.int8)   # of the paths that end with this character
+            for e in range(1, int(size[0]) + 1):
+                k = int(np.searchsorted(-size, -e, "right"))
+                end = s[:k] + e - 1
+                score, length = np.full(k, NEVER), np.zeros(k, np.int8)
+                for l in range(min(e, reach), 0, -1):        # the piece that begins first wins ties
+                    new = gain[l - 1, end - l + 1]
+                    if l < e:
+                        new += best[end - l]
+                    better = new > score
+                    score[better], length[better] = new[better], l
+                best[end], back[end] = score, length
+            total[long:] = best[s + size - 1]
+            end = s + size
+            while len(end):
+                length = back[end - 1]
+                end = end - length
+                chosen[end] = length
+                s, end = s[end > s], end[end > s]
+        of_text = lambda places: np.searchsorted(stops, places)
+        places = np.flatnonzero(chosen)
+        ids = piece[chosen[places] - 1, places]
+        count = np.ones(len(ids), np.int64)
+        outside = np.flatnonzero(ids < 0)                    # characters outside the vocabulary, as bytes
+        if len(outside):
+            raw = [[self.byte_ids.get(b, self.unknown_id) for b in flat[i].encode()] for i in places[outside].tolist()]
+            count[outside] = [len(r) for r in raw]
+            ids = np.repeat(ids, count)
+            ids[ids < 0] = np.fromiter((x for r in raw for x in r), np.int32)
+        counts = np.bincount(of_text(places), count, len(texts)).astype(np.int64)
+        return ids, counts, np.bincount(of_text(start), total, len(texts)).astype(float)
 
     def decode(self, ids) -> str:
         raw = self.raw
@@ -150,7 +254,7 @@ class Codec:
         cuts = self._cuts(text, n)
         if cuts:
             first, last = cuts
-            middle = sum(self.word(w)[0] for w in _WORD.findall(text[first:last]))
+            middle = float(self.encode_all([text[first:last]])[2][0])
             tail, _ = self.forward(text[last:], 0, n - last)
             ends = [middle + (tail[n - last + e] if n + e <= len(text) else NEVER) for e in range(self.reach)]
             for s in entries:
@@ -208,7 +312,7 @@ def states(matrices: list[np.ndarray], entry: int, exit_: int) -> list[int]:
     return out
 
 
-def _lists(flat: array, ends: list[int]) -> pa.Array:
+def _lists(flat: array | np.ndarray, ends) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if len(flat) else [], pa.int32()))
 
 
@@ -233,11 +337,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK_CHARS,
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                ids, ends, scores = array("i"), [0], []
-                for text in part.column("text"):
-                    scores.append(codec.encode(codec.normal(text.as_py() or ""), ids))
-                    ends.append(len(ids))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids, ends), pa.array(scores, pa.float64())],
+                ids, counts, scores = codec.encode_all([codec.normal(t or "") for t in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids, np.append(0, np.cumsum(counts))), pa.array(scores)],
                                                  names=["doc_id", "ids", "score"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,7 +426,9 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                texts = [None if not x.is_valid else codec.decode(x.as_py()) for x in part.column("ids")]
+                lists = part.column("ids")
+                ids, ends = lists.flatten().to_pylist(), np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))).tolist()
+                texts = [codec.decode(ids[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.select(others).columns, pa.array(texts, pa.string())], names=[*others, "decoded"])
 
     return encoded.select(*others).mapInArrow(run, schema)
