@@ -1,7 +1,12 @@
-"""SentencePiece encoding and decoding by a max-plus parallel scan.
+"""SentencePiece encoding and decoding: the library's ids, by the method of the model's own kind.
 
-Encoding is the segmentation into vocabulary pieces of greatest total score: the best path of the
-library's unigram lattice over the same pieces. Its dynamic programme is a chain of max-plus matrix products, so a giant
+BPE models merge by rank: of all neighbours whose join is a piece the best-scored join comes first, the
+leftmost among equals. Between two characters that stand side by side in no piece no merge can
+cross, so texts fall into segments that are merged by themselves: words are merged once per worker
+and then looked up, and a giant text is cut into chunks at such places, whose ids are joined.
+
+Unigram models take the segmentation into vocabulary pieces of greatest total score, by a max-plus
+parallel scan: the best path of the library's lattice. Its dynamic programme is a chain of max-plus matrix products, so a giant
 document is cut into chunks: a boundary state is the number of characters by which the last piece
 reaches over a boundary, a chunk yields the matrix of best scores from each entry state to each
 exit state, matrices are combined associatively in two levels, and with the states that come out
@@ -12,9 +17,12 @@ places that no piece runs over (the start of a space after another character is
 checked when a vocabulary is read) cut them into short segments that are solved in step."""
 from __future__ import annotations
 
+import heapq
 import re
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +37,9 @@ _TOGETHER = 1 << 16             # characters encoded at once; a longer text goes
 _IN_STEP = 32                   # longest segment solved in step with others
 _SLOT_BITS = 19
 _ROWS = 512                     # texts per result batch
+_CACHED = 1 << 22               # characters of the words whose ids a worker keeps
+_AT_ONCE = 1 << 20              # characters whose words are merged in step
+_WIDTHS = (8, 16, 32, 64)       # longest words of those merged in step; longer ones go by themselves
 NEVER = -np.inf
 
 
@@ -42,6 +53,218 @@ def read_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
     return [(p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size())]
 
 
+def is_bpe(path: str = MODEL) -> bool:
+    """Whether a model merges by rank (else it is of unigram kind). Other kinds and normalisations are refused."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+    model = pb.ModelProto()
+    with open(path, "rb") as f:
+        model.ParseFromString(f.read())
+    kind, rules, piece = model.trainer_spec.model_type, model.normalizer_spec, pb.ModelProto.SentencePiece
+    if kind not in (pb.TrainerSpec.BPE, pb.TrainerSpec.UNIGRAM):
+        raise ValueError("neither a BPE nor a unigram model")
+    if (rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.add_dummy_prefix
+            or not rules.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix):
+        raise ValueError("a model with a normalisation of its own")
+    if any(p.type in (piece.USER_DEFINED, piece.UNUSED) for p in model.pieces):
+        raise ValueError("a model with user-defined or unused pieces")
+    return kind == pb.TrainerSpec.BPE
+
+
+class Merges:
+    """The ids of a BPE model. A symbol is the id of a piece, or `size` and the code of a character that is none."""
+
+    def __init__(self, vocabulary):
+        normal = [(p, s, i) for i, (p, s, kind) in enumerate(vocabulary) if kind == "normal"]
+        self.id, self.size = {p: i for p, _, i in normal}, len(vocabulary)
+        self.pairs = {p[i:i + 2] for p in self.id for i in range(len(p) - 1)}
+        if any(a != SPACE and b == SPACE for a, b in self.pairs):
+            raise ValueError("a piece has a space after another character")
+        self.score = np.array([s for _, s, _ in vocabulary])
+        self.byte_ids = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(vocabulary) if kind == "byte"}
+        self.unknown_id = next((i for i, v in enumerate(vocabulary) if v[0] == "<unk>"), 0)
+        own = "" if any("\n" in p for p in self.pairs) else "\n"     # line ends stand alone if no piece has them
+        self.words = re.compile(f"{SPACE}+[^{SPACE}{own}]*|[^{SPACE}{own}]+" + (f"|{own}" if own else "")).findall
+        self._forget()
+        self._tables(normal)
+
+    def _forget(self) -> None:
+        """No words are known: places in `starts` and `counts` by word, and the ids there."""
+        self.known: dict[str, int] = {}
+        self.starts, self.counts, self.ids, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0
+
+    def _tables(self, normal) -> None:
+        """Joins as arrays: a table hashed by both symbols, whose slots are short runs of a sorted array. Its
+        last entry is that of pairs which don't join."""
+        self.pad = self.size + 0x110000                  # a symbol that joins with none
+        self.symbol = np.arange(self.size, self.pad)
+        ranks = {s: r for r, s in enumerate(sorted({s for _, s, _ in normal}, reverse=True))}
+        self.rank = {p: ranks[s] for p, s, _ in normal}
+        keys, rank, joined = [], [], []
+        for p, _, i in normal:
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+            for cut in range(1, len(p)):
+                left, right = (self.id.get(x, self.size + ord(x) if len(x) == 1 else None) for x in (p[:cut], p[cut:]))
+                if left is not None and right is not None:
+                    keys.append(left * (self.pad + 1) + right)
+                    rank.append(self.rank[p])
+                    joined.append(i)
+        keys = np.array(keys, np.int64)
+        slot = Codec._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        self.never = np.iinfo(np.int32).max
+        self.keys = np.append(keys[order], -1)
+        self.join_rank = np.append(np.array(rank, np.int32)[order], np.int32(self.never))
+        self.joined = np.append(np.array(joined, np.int64)[order], -1)
+        self.slots = np.searchsorted(slot[order], np.arange((1 << _SLOT_BITS) + 1))
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Entries of the table of joins."""
+        key = left * (self.pad + 1) + right
+        slot = Codec._slot(key)
+        at, end, none = self.slots[slot], self.slots[slot + 1], len(self.keys) - 1
+        hit = (self.keys[at] == key) & (at < end)
+        out = np.where(hit, at, none)
+        rest = np.flatnonzero(~hit & (at + 1 < end))
+        while len(rest):
+            at[rest] += 1
+            hit = self.keys[at[rest]] == key[rest]
+            out[rest[hit]] = at[rest[hit]]
+            rest = rest[~hit]
+            rest = rest[at[rest] + 1 < end[rest]]
+        return out
+
+    def normal(self, text: str) -> str:
+        return SPACE + text.replace(" ", SPACE) if text else ""
+
+    def _in_step(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, with the count of each. Merges words of `width` characters at most, one join in each word at a time. A row of the arrays
+        is a word with a pad at least behind it, so the pad before a row ends the row before."""
+        wide = width + 1
+        codes = np.frombuffer("".join([w.ljust(wide, "\0") for w in words]).encode("utf-32-le"), np.uint32)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        symbol = np.where((np.arange(wide) < sizes[:, None]).ravel(), self.symbol[codes], self.pad)
+        entry = np.append(self._join(symbol[:-1], symbol[1:]), len(self.keys) - 1)
+        rank = self.join_rank[entry]
+        table, rows = rank.reshape(-1, wide), np.arange(len(words))
+        after, before = np.arange(1, len(symbol) + 1), np.arange(-1, len(symbol) - 1)
+        while True:
+            at = rows * wide + table[rows].argmin(axis=1)            # the leftmost of equal rank
+            more = rank[at] < self.never
+            rows, at = rows[more], at[more]
+            if not len(at):
+                break
+            gone = after[at]
+            symbol[at], symbol[gone], rank[gone] = self.joined[entry[at]], self.pad, self.never
+            right, left = after[gone], before[at]
+            after[at], before[right] = right, at
+            for a, b in ((at, right), (left, at)):
+                entry[a] = found = self._join(symbol[a], symbol[b])
+                rank[a] = self.join_rank[found]
+        kept = symbol < self.pad
+        ids, counts = symbol[kept], kept.reshape(-1, wide).sum(axis=1)
+        outside = np.flatnonzero(ids >= self.size)                   # characters outside the vocabulary, as bytes
+        if len(outside):
+            raw = [self._bytes(chr(c)) for c in (ids[outside] - self.size).tolist()]
+            times = np.ones(len(ids), np.int64)
+            times[outside] = [len(r) for r in raw]
+            counts = np.bincount(np.repeat(np.arange(len(words)), counts), times, len(words)).astype(np.int64)
+            ids = np.repeat(ids, times)
+            ids[ids >= self.size] = list(chain.from_iterable(raw))
+        return ids, counts
+
+    def _bytes(self, character: str) -> list[int]:
+        return [self.byte_ids.get(b, self.unknown_id) for b in character.encode()]
+
+    def _alone(self, text: str) -> list[int]:
+        """Ids of a long word, segment by segment."""
+        at, out = 0, []
+        for i in range(1, len(text) + 1):
+            if i == len(text) or text[i - 1:i + 1] not in self.pairs:
+                for p in self._merged(text[at:i]):
+                    out += [self.id[p]] if p in self.id else self._bytes(p)
+                at = i
+        return out
+
+    def _merged(self, text: str) -> list[str]:
+        """With a heap of joins and linked neighbours: n log n."""
+        n = len(text)
+        parts, after, before = list(text), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, 2) for i in range(n - 1) if (r := self.rank.get(text[i:i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            if not parts[i] or j == n or len(parts[i]) + len(parts[j]) != size:
+                continue                                 # a neighbour has been merged meanwhile
+            parts[i] += parts[j]
+            parts[j] = ""
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (r := self.rank.get(parts[a] + parts[b])) is not None:
+                    heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
+        return [p for p in parts if p]
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts words and their ids among those known."""
+        words = sorted(words, key=len)
+        sizes = list(map(len, words))
+        found, at = [], 0
+        for width in _WIDTHS:
+            end = bisect_right(sizes, width)
+            if end > at:
+                found.append(self._in_step(words[at:end], width))
+            at = end
+        for w in words[at:]:
+            ids = self._alone(w)
+            found.append((ids, [len(ids)]))
+        counts = np.concatenate([self.counts, *[c for _, c in found]]).astype(np.int64)
+        self.known.update(zip(words, range(len(self.known), len(counts))))
+        self.starts, self.counts, self.held = np.cumsum(counts) - counts, counts, self.held + sum(sizes)
+        self.ids = np.concatenate([self.ids, *[i for i, _ in found]]).astype(np.int32)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of normalised texts or chunks, one after the other, with the count and the score of each."""
+        done, at = [], 0
+        while at < len(texts):
+            end, size = at + 1, len(texts[at])
+            while end < len(texts) and size + len(texts[end]) <= _AT_ONCE:
+                size += len(texts[end])
+                end += 1
+            words = [self.words(t) for t in texts[at:end]]
+            flat = list(chain.from_iterable(words))
+            self._learn(set(flat).difference(self.known))
+            place = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+            counts = self.counts[place]
+            ids = self.ids[np.repeat(self.starts[place] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+            counts = np.bincount(np.repeat(np.arange(end - at), list(map(len, words))), counts, end - at).astype(np.int64)
+            done.append((ids, counts, np.bincount(np.repeat(np.arange(end - at), counts), self.score[ids], end - at).astype(float)))
+            if self.held > _CACHED:
+                self._forget()
+            at = end
+        empty = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)
+        return tuple(np.concatenate(x) for x in zip(*(done or [empty])))
+
+    def chunks(self, text: str, size: int) -> Iterator[str]:
+        """Parts of a text that no merge crosses, of `size` characters at most where there is such a place."""
+        at, n, pairs = 0, len(text), self.pairs
+        crossed = lambda i: text[i - 1:i + 1] in pairs
+        while n - at > size:
+            end = at + size
+            while end > at and crossed(end):
+                end -= 1
+            if end == at:
+                end = at + size + 1
+                while end < n and crossed(end):
+                    end += 1
+            yield text[at:end]
+            at = end
+        if at < n:
+            yield text[at:]
+
+
 class Codec:
     """Best segmentation over a vocabulary, and back."""
 
@@ -285,14 +508,14 @@ class Codec:
         return score + best[n + exit_ - last]
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[tuple, Codec | Merges] = {}
 
 
-def _codec(shared) -> Codec:
-    key = id(shared.value)
+def _codec(shared, kind=Codec):
+    key = kind, id(shared.value)
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(shared.value)
+        _CODECS[key] = kind(shared.value)
     return _CODECS[key]
 
 
@@ -316,24 +539,9 @@ def _lists(flat: array | np.ndarray, ends) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if len(flat) else [], pa.int32()))
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK_CHARS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, ids array<int>, score double) for each row of `docs` (doc_id, text).
-
-    Null and empty texts have no ids and score 0. Characters outside the vocabulary become bytes.
-    Texts of more than `chunk_chars` characters go through the scan. Chunks begin at a word start
-    where one is near, so only in words longer than that can equally good segmentations differ from
-    those of one pass; the score never does. Repeated rows repeat their result; other columns are
-    not read; an empty table gives no rows."""
-    spark = docs.sparkSession
-    vocabulary = read_vocabulary(model)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    reach = Codec(vocabulary).reach
-    kind = dict(docs.dtypes)["doc_id"]
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
-    giant = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
-
+def _whole(shared, kind):
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = _codec(shared, kind)
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
@@ -341,6 +549,61 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK_CHARS,
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids, np.append(0, np.cumsum(counts))), pa.array(scores)],
                                                  names=["doc_id", "ids", "score"])
 
+    return whole
+
+
+def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK_CHARS, block: int = BLOCK,
+           bpe: bool | None = None) -> DataFrame:
+    """(doc_id, ids array<int>, score double) for each row of `docs` (doc_id, text); score is the sum
+    of the pieces' scores.
+
+    Null and empty texts have no ids and score 0. Characters outside the vocabulary become bytes.
+    Texts of more than `chunk_chars` characters are cut into chunks. `bpe` is the model's kind, read
+    from the model if None; `block` counts for unigram models only. Repeated rows repeat their result;
+    other columns are not read; an empty table gives no rows."""
+    bpe = is_bpe(model) if bpe is None else bpe
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))
+    kind = dict(docs.dtypes)["doc_id"]
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    giant = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
+    solved = (_merged_chunks(docs.where(giant), shared, chunk_chars) if bpe
+              else _scanned_chunks(docs.where(giant), shared, chunk_chars, block))
+    solved = solved.dropDuplicates(["row", "seq"]).groupBy("row").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "ids", "score"))).alias("parts"))
+    large = docs.where(giant).select("doc_id", "row").join(solved, "row").select(
+        "doc_id", F.flatten("parts.ids").alias("ids"),
+        F.aggregate("parts.score", F.lit(0.0), lambda a, x: a + x).alias("score"))
+    return docs.where(~giant).mapInArrow(_whole(shared, Merges if bpe else Codec),
+                                         f"doc_id {kind}, ids array<int>, score double").unionByName(large)
+
+
+def _merged_chunks(docs: DataFrame, shared, chunk_chars: int) -> DataFrame:
+    """(row, seq, ids, score) by merges. Chunks end where no merge crosses, and are dealt out one by one."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared, Merges)
+        for batch in batches:
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text")):
+                parts = list(codec.chunks(codec.normal(text.as_py()), chunk_chars))
+                yield pa.RecordBatch.from_arrays([pa.array([row] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int64()),
+                                                  pa.array(parts, pa.string())], names=["row", "seq", "piece"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared, Merges)
+        for batch in batches:
+            ids, counts, scores = codec.encode_all(batch.column("piece").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("seq"), _lists(ids, np.append(0, np.cumsum(counts))),
+                                              pa.array(scores)], names=["row", "seq", "ids", "score"])
+
+    return (docs.mapInArrow(split, "row bigint, seq bigint, piece string").repartition("row", "seq")
+            .mapInArrow(merge, "row bigint, seq bigint, ids array<int>, score double"))
+
+
+def _scanned_chunks(docs: DataFrame, shared, chunk_chars: int, block: int) -> DataFrame:
+    """(row, seq, ids, score) by the scan. Chunks begin at a word start where one is near, so only in
+    words longer than that can equally good segmentations differ from those of one pass; the score
+    never does."""
+    reach = Codec(shared.value).reach
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
@@ -398,20 +661,14 @@ def encode(docs: DataFrame, model: str = MODEL, chunk_chars: int = CHUNK_CHARS,
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("seq"), _lists(ids, ends), pa.array(scores, pa.float64())],
                                              names=["row", "seq", "ids", "score"])
 
-    chunks = docs.where(giant).mapInArrow(split, "row bigint, seq bigint, n bigint, clean boolean, piece string")
+    chunks = docs.mapInArrow(split, "row bigint, seq bigint, n bigint, clean boolean, piece string")
     matrices = (chunks.mapInArrow(transfer, "row bigint, seq bigint, matrix binary").dropDuplicates(["row", "seq"])
                 .withColumn("block", F.floor(F.col("seq") / block)))
     blocks = matrices.groupBy("row", "block").applyInArrow(combine, "row bigint, block bigint, matrix binary")
     edges = blocks.groupBy("row").applyInArrow(between, "row bigint, block bigint, entry int, exit int")
     known = (matrices.groupBy("row", "block").cogroup(edges.groupBy("row", "block"))
              .applyInArrow(inside, "row bigint, seq bigint, entry int, exit int"))
-    solved = (chunks.join(known, ["row", "seq"]).mapInArrow(solve, "row bigint, seq bigint, ids array<int>, score double")
-              .dropDuplicates(["row", "seq"]).groupBy("row")
-              .agg(F.array_sort(F.collect_list(F.struct("seq", "ids", "score"))).alias("parts")))
-    large = docs.where(giant).select("doc_id", "row").join(solved, "row").select(
-        "doc_id", F.flatten("parts.ids").alias("ids"),
-        F.aggregate("parts.score", F.lit(0.0), lambda a, x: a + x).alias("score"))
-    return docs.where(~giant).mapInArrow(whole, f"doc_id {kind}, ids array<int>, score double").unionByName(large)
+    return chunks.join(known, ["row", "seq"]).mapInArrow(solve, "row bigint, seq bigint, ids array<int>, score double")
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:

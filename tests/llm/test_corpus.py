@@ -217,6 +217,30 @@ def test_round_trip_and_scan(spark, codec):
     assert pieces.encode(docs.limit(0)).count() == 0
 
 
+def test_ids_are_those_of_the_library(spark, documents):
+    import sentencepiece
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = pieces.encode(spark.read.parquet(f"{SF}/documents.parquet")).collect()
+    assert len(rows) == len(documents)
+    for r in rows:
+        assert r.ids == library.encode(documents[r.doc_id] or "")
+        assert r.score == sum(map(library.get_score, r.ids))
+    odd = ["the in é日\U0001f600 xyz\n ab  cd\r;{}▁\0" * 60, "thein" * 300, " " * 500, "x" * 3000, "日本語" * 90, " a ", "", "naïve\t\n"]
+    docs = spark.createDataFrame(list(enumerate(odd)), DOCS)
+    for size in (17, 40, 10_000):                      # split into chunks, and whole
+        assert {r.doc_id: r.ids for r in pieces.encode(docs, chunk_chars=size).collect()} == dict(enumerate(map(library.encode, odd)))
+
+
+def test_scan_of_unigram_kind(spark, codec):
+    texts = ["the in é日\U0001f600 xyz\n ab  cd" * 60, "thein" * 300, "x" * 41]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    one, scan = ({r.doc_id: r for r in pieces.encode(docs, chunk_chars=c, block=3, bpe=False).collect()} for c in (10_000, 40))
+    for d, t in enumerate(texts):
+        ids = array("i")
+        assert codec.encode(codec.normal(t), ids) == pytest.approx(one[d].score) == pytest.approx(scan[d].score)
+        assert one[d].ids == list(ids) and codec.decode(scan[d].ids) == t
+
+
 def test_products_are_associative(codec):
     text = codec.normal("some words and anotherverylongwordwithoutspaces in between")
     cuts = [0, 17, 30, len(text)]
