@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut
-from .text import fold_ascii, gram_hashes, words
+from .text import gram_hashes, words
 
 # Upper ends of the document classes (shingles), and the hits that each asks for.
 CLASSES = ((1 << 10, 1), (1 << 14, 2), (None, 3))
@@ -32,21 +32,22 @@ def picks_needed(threshold: float, hits: int, miss: float) -> int:
 
 
 def _grams(text: Column, k: int, short: list[int], fold: bool) -> Column:
-    w = words(fold_ascii(text) if fold else text)
+    w = words(F.lower(text) if fold else text)
     # words are bound once by a one-element transform
     return F.get(F.transform(F.array(w), lambda x: F.array_distinct(
         F.concat(gram_hashes(x, k), *[gram_hashes(x, n) for n in short]))), 0)
 
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: float = 0.8, miss: float = 1e-6,
-                    fold_case: bool = False) -> DataFrame:
+                    fold_case: bool = True) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared) for each document that holds at least `threshold` of
     an item's distinct k-word shingles. An item of fewer words is one shingle: all its words.
+    Words are compared in lower case, that of all letters, unless `fold_case` is off.
 
     Null or empty texts and items match nothing. A repeated (doc_id, text) or (item_id, text) row
     counts once. Other columns are not read. Empty tables give no rows."""
     docs = docs.select("doc_id", "text").where("text is not null").withColumn("row", F.xxhash64("doc_id", "text"))
-    w = words(fold_ascii(F.col("text")) if fold_case else F.col("text"))
+    w = words(F.lower("text") if fold_case else F.col("text"))
     items = cut(items.select("item_id", "text").where("text is not null").distinct().withColumn("w", w)
                 .where("size(w) > 0").withColumn("n", F.least(F.size("w"), F.lit(k)))
                 .withColumn("item", F.xxhash64("item_id", "text")))
@@ -56,9 +57,9 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, threshold: fl
 
     hits = [h for _, h in CLASSES]
     picks = {h: picks_needed(threshold, h, miss) for h in hits}
-    chosen = F.array(*[F.array_min(F.transform("set", lambda s, j=j: F.struct(F.xxhash64(s, F.lit(j)).alias("r"),
-                                                                              s.alias("s"))))["s"]
-                       for j in range(max(picks.values()))])
+    # a lambda's second parameter, default or not, would be the place in the array, the same for all picks
+    pick = lambda j: F.array_min(F.transform("set", lambda s: F.struct(F.xxhash64(s, F.lit(j)).alias("r"), s.alias("s"))))["s"]
+    chosen = F.array(*[pick(j) for j in range(max(picks.values()))])
     anchors = sets.select("item", F.posexplode(chosen).alias("pick", "gram"))
     size = F.size("grams")
     level = lambda of: F.coalesce(*[F.when(size < end, F.lit(of[h])) for end, h in CLASSES if end],

@@ -136,6 +136,24 @@ def test_containment_odd_rows(spark):
     assert decontaminate.contained_items(docs, items.limit(0)).count() == 0
 
 
+def test_containment_in_other_case(spark):
+    item = " ".join(f"Été{i} ночь{i} añ{i}o" for i in range(8))
+    docs = spark.createDataFrame([(1, f"a {item.upper()} b"), (2, f"a {item.lower()} b"), (3, item.upper().replace("É", "E"))], DOCS)
+    items = spark.createDataFrame([(7, item), (8, "ÜBER Öl")], "item_id long, text string")
+    docs = docs.union(spark.createDataFrame([(4, "x über öl y")], DOCS))
+    got = sorted((r.doc_id, r.item_id, r.n_shared) for r in decontaminate.contained_items(docs, items).collect())
+    assert got == [(1, 7, 20), (2, 7, 20), (4, 8, 1)]
+    kept = {r.doc_id for r in decontaminate.contained_items(docs, items, fold_case=False).collect()}
+    assert not kept
+
+
+def test_containment_of_most_of_an_item(spark):
+    items = spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(29))) for i in range(100)], "item_id long, text string")
+    docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("other "), F.substring_index("text", " ", -24)).alias("text"))
+    got = decontaminate.contained_items(docs, items).collect()                # 20 of 25 shingles
+    assert {(r.doc_id, r.item_id, r.n_shared) for r in got} == {(i, i, 20) for i in range(100)}
+
+
 def brute_scores(texts, held, order, m):
     seqs = {d: ["<s>", *words(fold(t)), "</s>"] for d, t in texts.items()}
     grams, contexts = Counter(), Counter()
