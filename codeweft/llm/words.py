@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20            # bytes hashed at once; a longer text is a slice of its own
+SLICE_BYTES = 2 << 20            # bytes hashed at once; longer texts are cut at white space
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _GRAM = np.uint64(0xD1342543DE82EF95)
@@ -65,6 +65,25 @@ def _hash_slice(data: np.ndarray, starts_of_texts: np.ndarray, table: np.ndarray
     return hashes, np.searchsorted(begin, starts_of_texts)
 
 
+def _end_of_slice(data: np.ndarray, at: int, end: int) -> int:
+    """First white space at `at` or later, or `end`."""
+    for i in range(at, end, SLICE_BYTES):
+        found = np.flatnonzero(_SPACE[data[i:min(i + SLICE_BYTES, end)]])
+        if len(found):
+            return i + int(found[0])
+    return end
+
+
+def _hash_long(data: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Word hashes of one text, slice by slice."""
+    out, at = [], 0
+    while at < len(data):
+        end = _end_of_slice(data, min(at + SLICE_BYTES, len(data)), len(data))
+        out.append(_hash_slice(data[at:end], np.zeros(1, np.int64), table)[0])
+        at = end
+    return np.concatenate(out)
+
+
 def words_of(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
     """Word hashes of a string column; null is an empty text, `lower` folds A-Z only."""
     if isinstance(texts, pa.ChunkedArray):
@@ -80,7 +99,9 @@ def words_of(texts: pa.Array | pa.ChunkedArray, lower: bool = False) -> Words:
     table, hashes, offsets, done, i = _LOWER if lower else _BYTES, [], [np.zeros(1, np.int64)], 0, 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(at, at[i] + SLICE_BYTES, "right")) - 1)
-        if at[j] > at[i]:
+        if j == i + 1 and at[j] - at[i] > SLICE_BYTES:
+            part, before = _hash_long(data[at[i]:at[j]], table), np.zeros(1, np.int64)
+        elif at[j] > at[i]:
             part, before = _hash_slice(data[at[i]:at[j]], at[i:j] - at[i], table)
         else:
             part, before = np.zeros(0, np.uint64), np.zeros(j - i, np.int64)
