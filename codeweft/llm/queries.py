@@ -1,7 +1,8 @@
 """Registered queries of this package: name -> (query, DuckDB SQL or None)."""
 from __future__ import annotations
 
-from . import decontaminate, html, neardup, pieces, pii, quality, scoring, secrets, sharding, substrings
+from . import (decontaminate, html, importance, neardup, pieces, pii, quality, runs, scoring, secrets, sharding,
+               substrings, urls)
 
 # Where SQL is None, tests/llm holds the query against a brute-force version.
 QUERIES = {
@@ -15,4 +16,7 @@ QUERIES = {
     "op8_html_main_text": (html.op8, None),
     "op9_backoff_scoring": (scoring.op9, None),
     "op10_hypergeometric_shards": (sharding.op10, None),
+    "op11_periodic_runs": (runs.op11, None),
+    "op12_url_filter": (urls.op12, None),
+    "op13_importance_resampling": (importance.op13, importance.OP13_SQL),
 }
