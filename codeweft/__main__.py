@@ -29,13 +29,10 @@ def _index(spark, a):
         listed = json.load(fh)
     if a.only:
         listed = {r: v for r, v in listed.items() if r in set(a.only.split(","))}
-    trees = None
-    for repo, v in sorted(listed.items()):
-        tree = files.read_tree(spark, v["dir"], repo)
-        trees = tree if trees is None else trees.unionByName(tree)
-    if trees is None:
+    if not listed:
         print("no repositories listed", file=sys.stderr)
         return 1
+    trees = files.read_trees(spark, {repo: v["dir"] for repo, v in listed.items()})
     heads = spark.createDataFrame([(r, v["head"]) for r, v in listed.items()], "repo string, head string")
     stats = IndexStore(spark, a.root).refresh(trees, heads, upkeep.fastembed_model(),
                                               only=list(listed) if a.only else None)
@@ -48,8 +45,7 @@ def _merge(spark, a):
     merged = upkeep.merge_parts([{"chunks": p.chunks(), "repos": p.repos(), "meta": p.meta()} for p in parts])
     out = IndexStore(spark, a.root)
     out.set_meta("model", out.model)
-    out.put_chunks(merged["chunks"].withColumn("id", F.md5(F.concat_ws(
-        "\0", "repo", "path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "symbol"))))
+    out.put_chunks(merged["chunks"].withColumn("id", upkeep.chunk_id()))
     out.set_repo_commits(merged["repos"])
     return 0
 

@@ -43,9 +43,9 @@ def is_code_lang(lang: Column) -> Column:
 
 
 def analysable(repo: Column, path: Column, lang: Column, symbol: Column,
-               text_len: Column) -> Column:
-    """Chunks that take part in duplicate mining."""
-    return (is_code_lang(lang) & (text_len >= K.MIN_TEXT_LEN)
+               text_len: Column, min_len: int = 0) -> Column:
+    """Chunks that take part in duplicate mining; shorter ones than `min_len` do not."""
+    return (is_code_lang(lang) & (text_len >= min_len)
             & (F.coalesce(symbol, F.lit("")) != "")
             & ~excluded_path(F.concat_ws("/", repo, path)))
 
@@ -56,10 +56,11 @@ def indexable_change(status: Column, path: Column) -> Column:
             & ~excluded_path(path))
 
 
-def clean_query(subject: Column) -> Column:
-    """Commit subject without its pull-request suffix; NULL when it describes nothing."""
+def clean_query(subject: Column, min_chars: int = 1) -> Column:
+    """Commit subject without its pull-request suffix; NULL when it describes nothing or is shorter
+    than `min_chars`."""
     stripped = strip(F.regexp_replace(subject, "(?U)" + K.PR_SUFFIX_PATTERN, ""))
-    noise = stripped.rlike(K.NOISE_SUBJECT_PATTERN) | (F.length(stripped) < K.MIN_QUERY_CHARS)
+    noise = stripped.rlike(K.NOISE_SUBJECT_PATTERN) | (F.length(stripped) < min_chars)
     return F.when(~noise, stripped)
 
 
@@ -76,9 +77,9 @@ def location(repo: Column, path: Column, line: Column) -> Column:
     return F.concat(repo, F.lit("/"), path, F.lit(":"), line.cast("string"))
 
 
-def embed_text(repo: Column, path: Column, text: Column) -> Column:
-    return F.concat(repo, F.lit("/"), path, F.lit("\n"),
-                    F.substring(text, 1, K.EMBED_MAX_CHARS))
+def embed_text(repo: Column, path: Column, text: Column, max_chars: int | None = None) -> Column:
+    """What a chunk is embedded as; `max_chars` is what of the text a model reads."""
+    return F.concat(repo, F.lit("/"), path, F.lit("\n"), text if max_chars is None else F.substring(text, 1, max_chars))
 
 
 def text_hash(text: Column, model: str = K.MODEL_NAME) -> Column:

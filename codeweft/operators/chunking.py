@@ -11,13 +11,13 @@ _STRIDE = K.WINDOW_LINES - K.WINDOW_OVERLAP
 
 
 def _joined(lines: Column, first: Column, last: Column) -> Column:
-    """Lines first..last (0-based, inclusive) as text, cut to the stored size."""
-    return F.substring(F.array_join(F.slice(lines, first + 1, last - first + 1), "\n"),
-                       1, K.MAX_CHUNK_BYTES)
+    """Lines first..last (0-based, inclusive) as text."""
+    return F.array_join(F.slice(lines, first + 1, last - first + 1), "\n")
 
 
-def windows(lines: Column, first: Column, last: Column) -> Column:
-    """Overlapping windows over lines first..last that hold enough non-blank lines."""
+def windows(lines: Column, first: Column, last: Column, min_lines: int = 1) -> Column:
+    """Overlapping windows over lines first..last that hold `min_lines` non-blank lines or more; by
+    default only blank ones are left out, so that every line with text is in some window."""
     rest = F.greatest(last - first + 1 - K.WINDOW_LINES, F.lit(0))
     steps = F.sequence(F.lit(0), F.ceil(rest / F.lit(float(_STRIDE))).cast("int"))
 
@@ -32,7 +32,7 @@ def windows(lines: Column, first: Column, last: Column) -> Column:
                         _joined(lines, start, end).alias("text"),
                         filled.alias("filled"))
 
-    kept = F.filter(F.transform(steps, window), lambda w: w["filled"] >= K.MIN_CONTENT_LINES)
+    kept = F.filter(F.transform(steps, window), lambda w: w["filled"] >= min_lines)
     return F.transform(kept, lambda w: F.struct(w["start_line"], w["end_line"],
                                                 w["symbol"], w["text"]))
 

@@ -17,11 +17,11 @@ _TIE = 1e-9
 _TILE = 8 << 20
 
 
-def analysis_set(chunks: DataFrame) -> DataFrame:
-    """Substantial named code chunks; texts are measured, never carried."""
+def analysis_set(chunks: DataFrame, min_len: int = 0) -> DataFrame:
+    """Named code chunks of `min_len` characters or more; texts are measured, never carried."""
     length = F.length("text") if "text" in chunks.columns else F.col("text_len")
     return chunks.where(T.analysable(F.col("repo"), F.col("path"), F.col("lang"),
-                                     F.col("symbol"), length)) \
+                                     F.col("symbol"), length, min_len)) \
                  .select("id", "repo", "path", "start_line", "symbol", "embedding")
 
 

@@ -8,25 +8,27 @@ from ..functions import text as T
 from .ordering import carry_forward
 
 
-def collect_queries(commits: DataFrame, changes: DataFrame, since: int = 0,
-                    until: int | None = None) -> DataFrame:
+def collect_queries(commits: DataFrame, changes: DataFrame, since: int = 0, until: int | None = None,
+                    max_files: int | None = None, min_chars: int = 1) -> DataFrame:
     """commits(repo, sha, ts, subject, merge), changes(repo, sha, status, path)
     -> (repo, sha, ts, query, files), one per usable commit.
 
-    Commits that touch too many files are dropped by count before any list is built, so a
-    list never holds more than the limit.
+    `max_files` leaves out commits that touch more files, by count before any list is built;
+    `min_chars` leaves out shorter subjects. Both are off by default, and a list then is as long as
+    its commit.
     """
     window = F.col("ts") >= since
     if until is not None:
         window &= F.col("ts") <= until
     wanted = (commits.where(window & ~F.coalesce(F.col("merge"), F.lit(False)))
-              .withColumn("query", T.clean_query(F.col("subject"))).where("query IS NOT NULL")
+              .withColumn("query", T.clean_query(F.col("subject"), min_chars)).where("query IS NOT NULL")
               .select("repo", "sha", "ts", "query"))
     files = changes.where(T.indexable_change(F.col("status"), F.col("path"))) \
                    .select("repo", "sha", "path")
-    narrow = (files.groupBy("repo", "sha").count()
-              .where(F.col("count") <= K.MAX_COMMIT_FILES).drop("count"))
-    lists = (files.join(narrow, ["repo", "sha"], "left_semi").groupBy("repo", "sha")
+    if max_files is not None:
+        narrow = files.groupBy("repo", "sha").count().where(F.col("count") <= max_files)
+        files = files.join(narrow, ["repo", "sha"], "left_semi")
+    lists = (files.groupBy("repo", "sha")
              .agg(F.sort_array(F.collect_list("path")).alias("files")))
     return wanted.join(lists, ["repo", "sha"])
 

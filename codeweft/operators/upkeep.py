@@ -7,8 +7,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .. import constants as K
 from ..constants import MODEL_NAME
 from ..functions import text as T
+from ..session import cut
 from .ordering import rank_in_group
 
 
@@ -52,6 +54,12 @@ def apply_changes(chunks: DataFrame, changed: DataFrame, fresh: DataFrame) -> Da
     return without(chunks, changed, ["repo", "path"]).unionByName(fresh)
 
 
+def chunk_id() -> Column:
+    """Content-free id of a chunk: the same at every refresh that leaves it where it is."""
+    return F.md5(F.concat_ws("\0", "repo", "path", F.col("start_line").cast("string"),
+                             F.col("end_line").cast("string"), "symbol"))
+
+
 def stride_shard(chunks: DataFrame, shard: int, of: int) -> DataFrame:
     """Every `of`-th chunk of each repository, in (path, start_line, end_line, id) order."""
     if not 0 <= shard < of:
@@ -125,11 +133,12 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 
 def embed(chunks: DataFrame, make_model: Callable[[], Embedder], batch: int = 8,
-          raw: bool = False) -> DataFrame:
+          raw: bool = False, max_chars: int | None = K.EMBED_MAX_CHARS) -> DataFrame:
     """Run the model over chunks without a vector. One model per task, Arrow batches in.
 
     `make_model` is called on the worker, so the model itself is never shipped. `raw` embeds
-    the text as it is (queries) instead of prefixed and cut (chunks).
+    the text as it is (queries) instead of prefixed (chunks). Of a chunk `max_chars` are read, as much as the
+    default model takes in; hashes cover all of it.
     """
     @F.pandas_udf("array<float>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -140,16 +149,17 @@ def embed(chunks: DataFrame, make_model: Callable[[], Embedder], batch: int = 8,
                     for v in np.asarray(model(values[i:i + batch]), dtype=np.float32)]
             yield pd.Series([v.tolist() for v in rows])
 
-    text = F.col("text") if raw else T.embed_text(F.col("repo"), F.col("path"), F.col("text"))
+    text = F.col("text") if raw else T.embed_text(F.col("repo"), F.col("path"), F.col("text"), max_chars)
     return chunks.withColumn("embedding", run(text))
 
 
 def embed_missing(chunks: DataFrame, cache: DataFrame | None,
                   make_model: Callable[[], Embedder]) -> DataFrame:
-    """Vectors from the cache where known, from the model otherwise."""
+    """Vectors from the cache where known, from the model otherwise. What the cache says is written
+    once, so that chunks are not made anew for either part."""
     if cache is None:
         return embed(chunks, make_model)
-    split = split_by_cache(chunks, cache).drop("hash")
+    split = cut(split_by_cache(chunks, cache).drop("hash"))
     return split.where("embedding IS NOT NULL").unionByName(
         embed(split.where("embedding IS NULL").drop("embedding"), make_model))
 

@@ -1,11 +1,16 @@
 """Incremental upkeep, parts and caches."""
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
 from ..operators import upkeep as U
+from ..session import ensure_checkpoint_dir
+from ..sources.store import IndexStore
 from . import views as V
 
 
@@ -83,6 +88,54 @@ def delete_stale(spark, sf):
     return U.stale_repos(_stored(spark, sf), _heads(spark, sf)).select("repo", "commit_sha")
 
 
+def _numbered(generation):
+    """A stand-in model: the generation that embedded a text, and its length."""
+    def make():
+        return lambda texts: np.array([[generation, len(t)] for t in texts], dtype=np.float32)
+    return make
+
+
+def refresh_snapshot(spark, sf):
+    """The whole refresh of an index from one snapshot of many repositories to the next.
+
+    Documents are files, sources are repositories. Between the snapshots those labelled toxic were
+    added, those of quality 0 deleted, and those of quality 1 have a line more. The first source in
+    order is no longer listed, the last is still at its old head, so its files stay as they were."""
+    docs = V.files(spark, sf).join(V.table(spark, sf, "labels"), "doc_id", "left")
+    old = docs.where("coalesce(toxic, 0) = 0").select("repo", "path", "text")
+    text = F.when(F.col("quality") == 1, F.concat("text", F.lit("\none more line"))).otherwise(F.col("text"))
+    new = docs.where("coalesce(quality, 1) = 1").select("repo", "path", text.alias("text"))
+
+    def snapshot(files):
+        return files.select("repo", "path", F.encode("text", "utf-8").alias("content"), F.sha2("text", 256).alias("sha"))
+
+    ends = docs.agg(F.min("repo").alias("first"), F.max("repo").alias("last"))
+    names = docs.select("repo").distinct()
+    heads = names.join(ends, F.col("repo") > F.col("first")).select(
+        "repo", F.when(F.col("repo") == F.col("last"), "h1").otherwise("h2").alias("head"))
+    store = IndexStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}")
+    store.refresh(snapshot(old), names.withColumn("head", F.lit("h1")), _numbered(1), now="t1")
+    store.refresh(snapshot(new), heads, _numbered(2), now="t2")
+    return store.chunks().join(store.repos(), "repo").select(
+        "repo", "commit_sha", "path", "start_line", "end_line", F.md5("text").alias("digest"),
+        F.element_at("embedding", 1).cast("int").alias("embedded_by"))
+
+
+# chunks of both snapshots; a text that an old chunk of the same file has keeps its vector
+_REFRESH = f"""docs AS (
+  SELECT source AS repo, 'doc/' || d.doc_id || '.md' AS path, text, quality, toxic
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+both_files AS (
+  SELECT 1 AS gen, repo, path, text FROM docs WHERE coalesce(toxic, 0) = 0
+  UNION ALL
+  SELECT 2, repo, path, CASE WHEN quality = 1 THEN text || chr(10) || 'one more line' ELSE text END
+  FROM docs WHERE coalesce(quality, 1) = 1),
+{V.CHUNKS.replace(V.FILES, "files AS (SELECT gen || ' ' || repo AS repo, path, 0 AS doc_id, '' AS prose, text FROM both_files)")},
+old_c AS (SELECT substring(repo, 3) AS repo, path, start_line, end_line, text FROM chunks WHERE repo LIKE '1 %'),
+new_c AS (SELECT substring(repo, 3) AS repo, path, start_line, end_line, text FROM chunks WHERE repo LIKE '2 %'),
+ends AS (SELECT min(repo) AS first, max(repo) AS last FROM docs)"""
+
+
 def stride_shard(spark, sf):
     c = V.chunks(spark, sf).withColumn("id", F.col("doc_id"))
     return U.stride_shard(c, 3, 8).select("repo", "path", "start_line")
@@ -165,6 +218,13 @@ FROM chunks"""),
     "chunk_cache_reuse": (chunk_cache_reuse, f"""WITH {_CACHE}
 SELECT * FROM cache WHERE path IS NOT NULL AND (repo, commit_sha) IN (
   SELECT ('src' || n_nationkey, n_name) FROM nation WHERE n_regionkey < 3)"""),
+    "refresh_snapshot": (refresh_snapshot, f"""WITH {_REFRESH}
+SELECT repo, 'h2' AS commit_sha, path, start_line, end_line, md5(text) AS digest,
+       CASE WHEN EXISTS (SELECT 1 FROM old_c o WHERE o.repo = n.repo AND o.path = n.path AND o.text = n.text)
+            THEN 1 ELSE 2 END AS embedded_by
+FROM new_c n, ends WHERE repo NOT IN (first, last)
+UNION ALL
+SELECT repo, 'h1', path, start_line, end_line, md5(text), 1 FROM old_c, ends WHERE repo = last"""),
     "locations": (snapshot_locations, f"""WITH {V.SYMBOLS}
 SELECT id, repo || '/' || path AS file, repo || '/' || path || ':' || start_line AS location FROM symbols"""),
 }

@@ -96,7 +96,7 @@ _ANALYSED = V.VCHUNKS + """, analysed AS (
   SELECT id, repo, repo || '/' || path AS file, symbol, embedding,
          sqrt(list_inner_product(embedding, embedding)) + 1e-9 AS norm
   FROM vchunks
-  WHERE lang = 'rust' AND text_len >= 300 AND symbol <> ''
+  WHERE lang = 'rust' AND symbol <> ''
     AND NOT regexp_matches(repo || '/' || path, '/tests?/')),
 sims AS (
   SELECT a.id, b.id AS best_id, round(list_inner_product(a.embedding, b.embedding) / a.norm / b.norm, 9) AS sim,

@@ -56,6 +56,34 @@ def exclude_filter(spark, sf):
         T.file_key(F.col("repo"), F.col("path"))).alias("excluded"))
 
 
+_ROOTS = """roots AS (
+  SELECT DISTINCT 'site ' || host AS repo, host AS root FROM urls
+  UNION SELECT DISTINCT 'part ' || host || ' ' || lang, host || '/' || lang FROM urls WHERE lang IN ('en', 'de'))"""
+
+
+def paths_to_repos(spark, sf):
+    """Pages as files of their host's repository; two of its languages are repositories inside it."""
+    url = V.table(spark, sf, "pages").select(
+        "page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("path"))
+    parts = url.select(F.split("path", "/").alias("p")).select(F.col("p")[0].alias("host"), F.get("p", F.lit(1)).alias("lang"))
+    roots = parts.select(F.concat(F.lit("site "), "host").alias("repo"), F.col("host").alias("root")).distinct().unionByName(
+        parts.where(F.col("lang").isin("en", "de")).select(
+            F.concat(F.lit("part "), "host", F.lit(" "), "lang").alias("repo"), F.concat_ws("/", "host", "lang").alias("root")).distinct())
+    return sources.paths_to_repos(url, roots).select("page_id", "repo", "root", "path")
+
+
+def chunk_cover(spark, sf):
+    """For each file its lines with text, and how many of them stand in full in some chunk."""
+    files = V.files(spark, sf).withColumn("path", F.col("path"))
+    parts = chunking.chunk_files(files.select("repo", "path", "text"), "repo")
+    held = parts.select("path", "start_line", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")) \
+        .select("path", (F.col("start_line") + F.col("i")).alias("n"), "line").distinct()
+    lines = files.select("path", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")) \
+        .where(F.col("line").rlike(r"(?U)\S")).select("path", (F.col("i") + 1).alias("n"), "line")
+    return lines.join(held.withColumn("held", F.lit(1)), ["path", "n", "line"], "left").groupBy("path").agg(
+        F.count("*").alias("lines"), F.count("held").alias("covered"))
+
+
 def _change_rows(spark, sf):
     status = _pick(["A", "M", "D"], F.floor(F.col("doc_id") / 3))
     return _paths(spark, sf).withColumn("status", status)
@@ -232,10 +260,10 @@ kept AS (
   SELECT repo, sha, list_sort(list(path)) AS files FROM changes
   WHERE status <> 'D' AND {_WANTED} AND {_LANG} <> ''
     AND NOT regexp_matches(path, '{K.EXCLUDED_PATH_PATTERN}')
-  GROUP BY ALL HAVING count(*) <= 10)
+  GROUP BY ALL)
 SELECT c.repo, c.sha, ts, query, array_to_string(files, ',') AS files
 FROM commits c JOIN kept k ON k.repo = c.repo AND k.sha = c.sha
-WHERE NOT merge AND ts >= 883612800 AND length(query) >= 12
+WHERE NOT merge AND ts >= 883612800 AND length(query) >= 1
   AND NOT regexp_matches(query, '{K.NOISE_SUBJECT_PATTERN}')"""
 
 
@@ -269,12 +297,12 @@ WHERE status <> 'D' AND {_WANTED} AND {_LANG} <> ''
            '{K.PR_SUFFIX_PATTERN}', ''), '^\s+|\s+$', '', 'g') AS query
   FROM conversations)
 SELECT conv_id, turn, query FROM s
-WHERE length(query) >= 12 AND NOT regexp_matches(query, '{K.NOISE_SUBJECT_PATTERN}')"""),
+WHERE length(query) >= 1 AND NOT regexp_matches(query, '{K.NOISE_SUBJECT_PATTERN}')"""),
     "line_windows": (line_windows, f"""WITH {V.CHUNKS}
 SELECT repo, path, start_line, end_line, CAST(length(text) AS INTEGER) AS text_len, md5(text) AS digest FROM chunks"""),
     "embed_text_hash": (embed_text_hash, f"""WITH {V.CHUNKS}
 SELECT repo, path, start_line, sha256('{K.MODEL_NAME}' || chr(0) || repo || '/' || path || chr(10)
-       || substring(text, 1, 2000)) AS hash FROM chunks"""),
+       || text) AS hash FROM chunks"""),
     "snippet_head": (snippet_head, f"""WITH {V.FILES}, s AS (
   SELECT doc_id, array_to_string(string_split(text, chr(10))[1:25], chr(10)) AS t FROM files)
 SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS chars FROM s"""),
@@ -283,9 +311,18 @@ SELECT doc_id, md5(t) AS digest, CAST(length(t) AS INTEGER) AS chars FROM s"""),
 SELECT page_id, CAST(len(q) AS INTEGER) AS query_tokens, CAST(len(c) AS INTEGER) AS url_tokens,
        round(CASE WHEN len(q) = 0 OR len(c) = 0 THEN 0.0
                   ELSE len(list_intersect(q, c)) / len(c) END, 6) AS overlap FROM t"""),
-    "text_decode": (text_decode, """SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 300000
-  AND (doc_id % 5 <> 0 OR octet_length(encode(text)) >= 8192) THEN CAST(length(text) + (doc_id % 5 = 0)::INT AS INTEGER) END AS chars
+    "text_decode": (text_decode, """SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN CAST(length(text) AS INTEGER) END AS chars
 FROM documents"""),
+    "paths_to_repos": (paths_to_repos, f"""WITH urls AS (
+  SELECT page_id, path, split_part(path, '/', 1) AS host, split_part(path, '/', 2) AS lang
+  FROM (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS path FROM pages)), {_ROOTS}
+SELECT page_id, arg_max(repo, length(root)) AS repo, max_by(root, length(root)) AS root,
+       substring(any_value(path), max(length(root)) + 2) AS path
+FROM urls JOIN roots ON starts_with(path, root || '/') GROUP BY page_id"""),
+    "chunk_cover": (chunk_cover, rf"""WITH {V.FILES}, l AS (
+  SELECT path, unnest(string_split(text, chr(10))) AS line FROM files)
+SELECT path, count(*) AS lines, count(*) AS covered FROM l
+WHERE regexp_matches(line, '[^\s\v\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}]') GROUP BY path"""),
     "chunk_python_files": (chunk_python_files, _CHUNK_PYTHON),
     "added_ranges": (added_ranges, f"WITH {_DIFF} SELECT change, path, first, last FROM ranges"),
     "changed_chunks": (changed_chunks, f"""WITH {_DIFF}, pieces AS (

@@ -53,9 +53,9 @@ segs AS (
   FROM cuts),
 chunks AS (
   SELECT repo, path, doc_id, prose, start_line, end_line, '' AS symbol,
-         substring(array_to_string(seg, chr(10)), 1, 8000) AS text
+         array_to_string(seg, chr(10)) AS text
   FROM segs
-  WHERE len(list_filter(seg, lambda s: regexp_matches(s, '[^\s\v\p{Z}\x{1c}-\x{1f}\x{85}]'))) >= 3)"""
+  WHERE len(list_filter(seg, lambda s: regexp_matches(s, '[^\s\v\p{Z}\x{1c}-\x{1f}\x{85}]'))) >= 1)"""
 
 
 # -- chunks with vectors, from embeddings

@@ -1,12 +1,13 @@
 """The index on a shared file system.
 
-chunks/  parquet partitioned by repo; one repository is replaced at a time
-files/   parquet partitioned by repo: path and content digest of what was indexed
-repos/   append-only (repo, commit_sha, indexed_at, seq); the last row counts
+chunks/  copy-on-write table (versioned.py) in the order of (repo, path)
+files/   the same: path and content digest of what was indexed
+repos/   append-only (repo, commit_sha, indexed_at, version, seq); the last row counts
 meta/    append-only (key, value, seq); the last row counts
 
 A repository's commit row is appended after its chunks are in place, so a run that dies in
-between leaves the old commit and the next run does that repository again.
+between leaves the old commit and the next run does that repository again. Repositories are told
+by tables throughout: no list of names reaches the driver.
 """
 from __future__ import annotations
 
@@ -21,11 +22,18 @@ from ..operators import upkeep as U
 from ..operators.chunking import chunk_files
 from ..session import cut
 from .files import texts
+from .versioned import VersionedTable
+
+
+FILES = "path string, sha string, repo string"
+_REPO_LOG = schemas.REPOS + ", version long, seq long"
 
 
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str, model: str = MODEL_NAME):
         self.spark, self.root, self.model = spark, root.rstrip("/"), model
+        self.chunk_table = VersionedTable(spark, self._path("chunks"), schemas.CHUNKS)
+        self.file_table = VersionedTable(spark, self._path("files"), FILES)
 
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
@@ -43,15 +51,18 @@ class IndexStore:
 
     # -- reads
     def chunks(self) -> DataFrame:
-        return self._read("chunks", schemas.CHUNKS)
+        return self.chunk_table.read()
 
     def files(self) -> DataFrame:
-        return self._read("files", "path string, sha string, repo string")
+        return self.file_table.read()
 
-    def repos(self) -> DataFrame:
-        log = self._read("repos", schemas.REPOS + ", seq long")
+    def _heads(self) -> DataFrame:
+        log = self._read("repos", _REPO_LOG)
         return U.upsert_latest(log, ["repo"], "seq").where("commit_sha IS NOT NULL").drop("seq")
 
+    def repos(self) -> DataFrame:
+        return self._heads().drop("version")
+
     def meta(self) -> DataFrame:
         log = self._read("meta", schemas.META + ", seq long")
         return U.upsert_latest(log, ["key"], "seq").where("value IS NOT NULL").drop("seq")
@@ -76,54 +87,46 @@ class IndexStore:
         self._append("meta", self.spark.createDataFrame([(key, value)], schemas.META))
 
     def set_repo_commits(self, rows: DataFrame) -> None:
-        self._append("repos", rows.select("repo", "commit_sha", "indexed_at"))
-
-    def _replace(self, table: str, rows: DataFrame) -> None:
-        """Swap in the given repositories. The rebalance splits a dominant repository into
-        several files and packs small ones together."""
-        (rows.hint("rebalance", "repo").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("repo")
-         .parquet(self._path(table)))
-
-    def delete_repos(self, names: list[str]) -> None:
-        """Drop whole repositories; the caller's list is one of names, not of rows."""
-        from urllib.parse import quote
-        for table in ("chunks", "files"):
-            for name in names:
-                fs, p = self._fs(f"{self._path(table)}/repo={quote(name, safe=' ')}")
-                if fs.exists(p):
-                    fs.delete(p, True)
-        if names:
-            self.set_repo_commits(self.spark.createDataFrame(
-                [(n, None, None) for n in names], schemas.REPOS))
+        """Record (repo, commit_sha, indexed_at) and, where there is one, the version of the commit."""
+        version = F.col("version") if "version" in rows.columns else F.lit(None).cast("long")
+        self._append("repos", rows.select("repo", "commit_sha", "indexed_at", version.alias("version")))
+
+    def delete_repos(self, gone: DataFrame | list[str]) -> None:
+        """Drop whole repositories, given as a table with `repo` or as a list."""
+        if isinstance(gone, list):
+            gone = self.spark.createDataFrame([(n,) for n in gone], "repo string")
+        for table in (self.chunk_table, self.file_table):
+            table.change(gone, on=["repo"])
+        self.set_repo_commits(gone.select("repo", F.lit(None).cast("string").alias("commit_sha"),
+                                          F.lit(None).cast("string").alias("indexed_at")))
 
     def delete_path(self, repo: str, path: str) -> int:
         """Drop one file of a repository, its digest too, so that a refresh finds it new; returns
         how many chunks it had."""
-        gone = 0
-        for table, rows in (("files", self.files()), ("chunks", self.chunks())):
-            mine = cut(rows.where(F.col("repo") == repo))
-            kept = mine.where(F.col("path") != path)
-            gone = mine.count() - kept.count()
-            if kept.isEmpty():
-                from urllib.parse import quote
-                fs, p = self._fs(f"{self._path(table)}/repo={quote(repo, safe=' ')}")
-                if fs.exists(p):
-                    fs.delete(p, True)
-            else:
-                self._replace(table, kept)
-        return gone
+        gone = self.spark.createDataFrame([(repo, path)], "repo string, path string")
+        held = self.chunk_table.files_with(gone)
+        n = self.chunk_table.matching(gone, held).count()
+        self.file_table.change(gone)
+        self.chunk_table.change(gone, files=held)
+        return n
 
     def put_chunks(self, chunks: DataFrame) -> None:
-        """Replace the repositories that occur in `chunks`."""
-        self._replace("chunks", chunks)
+        """Replace the repositories that occur in `chunks`. Their files get a digest that no content
+        has, so that a refresh takes each of them as changed."""
+        chunks = cut(chunks)
+        repos = chunks.select("repo").distinct()
+        self.chunk_table.change(repos, chunks, on=["repo"])
+        self.file_table.change(repos, chunks.select("path", F.lit("").alias("sha"), "repo").distinct(), on=["repo"])
 
     def refresh(self, snapshot: DataFrame, heads: DataFrame, make_model, only=None,
-                now: str | None = None) -> dict:
-        """Bring the index to a snapshot(repo, path, content, sha) pinned at heads(repo, head).
-
-        Unchanged repositories are skipped, changed ones are diffed by content digest, and
-        only new texts reach the model: the index itself is the vector cache.
+                now: str | None = None, partial: bool = False) -> dict:
+        """Bring the index to a snapshot(repo, path, content, sha) pinned at heads(repo, head[, version]).
+
+        Unchanged repositories are skipped, changed ones are diffed by content digest, and only new
+        texts reach the model: the old rows of changed files are the vector cache. Repositories that
+        `heads` does not list are dropped, unless it is `partial` or `only` names a few. Of heads
+        with a version, those older than the recorded one are passed over. A stale repository, a
+        deleted and a changed file are all keys of one change to the table.
         """
         now = now or datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds")
         if not self.model_matches():
@@ -132,39 +135,34 @@ class IndexStore:
                 if fs.exists(p):
                     fs.delete(p, True)
         self.set_meta("model", self.model)
-        stored = cut(self.repos())
+        stored = cut(self._heads())
+        if "version" not in heads.columns:
+            heads = heads.withColumn("version", F.lit(None).cast("long"))
         if only:
             heads = heads.where(F.col("repo").isin(list(only)))
-        else:
-            self.delete_repos([r["repo"] for r in U.stale_repos(stored, heads).select("repo").collect()])
-        work = cut(U.repo_plan(heads, stored).where("action <> 'skip'"))
+        late = (heads.join(stored.select("repo", F.col("version").alias("_v")), "repo")
+                .where("version < _v").select("repo"))
+        work = cut(U.repo_plan(heads.join(late, "repo", "left_anti"), stored).where("action <> 'skip'"))
+        stale = U.stale_repos(stored, heads).select("repo")
+        stale = cut(stale.limit(0) if only or partial else stale)
         todo = work.select("repo")
         new_files = snapshot.join(todo, "repo", "left_semi")
-        # files that only the chunks know (after a merge) count as old, with a digest none has
-        unlisted = (self.chunks().select("repo", "path").distinct()
-                    .join(self.files().select("repo", "path"), ["repo", "path"], "left_anti").withColumn("sha", F.lit("")))
-        old_files = cut(self.files().select("repo", "path", "sha").unionByName(unlisted).join(todo, "repo", "left_semi"))
+        old_files = self.files().join(todo.unionByName(stale), "repo", "left_semi")
         changed = cut(U.change_set(old_files, new_files))
         fresh_text = texts(new_files.join(changed.where("status <> 'D'"), ["repo", "path"], "left_semi"))
-        old_chunks = cut(self.chunks().join(todo, "repo", "left_semi"))
-        fresh = chunk_files(fresh_text.drop("sha"), "repo").withColumn("id", F.md5(F.concat_ws(
-            "\0", "repo", "path", F.col("start_line").cast("string"),
-            F.col("end_line").cast("string"), "symbol")))
-        cache = U.vector_cache(old_chunks) if not old_chunks.isEmpty() else None
+        fresh = chunk_files(fresh_text.drop("sha"), "repo").withColumn("id", U.chunk_id())
+        touched = self.chunk_table.files_with(changed)
+        cache = U.vector_cache(self.chunk_table.matching(changed, touched)) if touched else None
         embedded = cut(U.embed_missing(fresh, cache, make_model))
-        order = ["id", "path", "start_line", "end_line", "symbol", "lang", "text", "embedding", "repo"]
-        after = cut(U.apply_changes(old_chunks.select(*order), changed, embedded.select(*order)))
-        emptied = todo.join(after.select("repo").distinct(), "repo", "left_anti")
-        self.delete_repos([r["repo"] for r in emptied.collect()])
-        if not after.isEmpty():
-            self._replace("chunks", after)
-        if not new_files.isEmpty():
-            self._replace("files", new_files.select("path", "sha", "repo"))
-        self.set_repo_commits(work.select("repo", F.col("head").alias("commit_sha"),
-                                          F.lit(now).alias("indexed_at")))
+        if not changed.isEmpty():
+            self.chunk_table.change(changed, embedded, touched)
+            live = new_files.join(changed, ["repo", "path"], "left_semi").select("path", "sha", "repo")
+            self.file_table.change(changed, live)
+        self.set_repo_commits(work.select("repo", F.col("head").alias("commit_sha"), F.lit(now).alias("indexed_at"), "version")
+                              .unionByName(stale.select("repo", *[F.lit(None).cast(t).alias(c) for c, t in (
+                                  ("commit_sha", "string"), ("indexed_at", "string"), ("version", "long"))])))
         self.set_meta("updated_at", now)
-        return {"repos_updated": work.count(), "chunks_added": embedded.count(),
-                "total": self.chunks().count()}
+        return {"repos_updated": work.count(), "chunks_added": embedded.count(), "total": self.chunks().count()}
 
 
 class CallGraphStore:
@@ -183,8 +181,9 @@ class CallGraphStore:
         """Replace the graph's repositories; commits(repo, commit_sha, tool)."""
         from ..constants import SCHEMA_VERSION
         now = now or datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds")
-        self._s._replace("symbols", graph.symbols)
-        self._s._replace("refs", graph.refs)
+        for table, rows in (("symbols", graph.symbols), ("refs", graph.refs)):
+            (rows.hint("rebalance", "repo").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("repo").parquet(self._s._path(table)))
         self._s._append("repos", commits.select("repo", "commit_sha", F.lit(now).alias("indexed_at"), "tool"))
         for key, value in (("generator", "codeweft.scip"), ("schema_version", SCHEMA_VERSION),
                            ("updated_at", now)):

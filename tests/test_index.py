@@ -140,12 +140,45 @@ def test_shards_partition_every_repo(spark):
 
 
 def test_stream_of_snapshots(spark, tmp_path):
+    """Two heads in one batch, in either order, and one that comes late."""
     from codeweft.streaming.ingest import SNAPSHOT, follow_snapshots
     store, landing = IndexStore(spark, str(tmp_path / "ix")), str(tmp_path / "in")
-    for head, text in (("1", TEXT), ("2", "c" + TEXT)):
-        spark.createDataFrame([("o/a", head, "x.md", text.encode())], SNAPSHOT).write.mode("append").parquet(landing)
+    batches = [[("o/a", "1", "x.md", TEXT, 1)],
+               [("o/a", "9", "x.md", "b" + TEXT, 2), ("o/a", "2", "x.md", "c" + TEXT, 3), ("o/a", "9", "old.md", TEXT, 2),
+                ("o/b", "7", "y.md", TEXT, None)],
+               [("o/a", "5", "x.md", "d" + TEXT, 2), ("o/b", "8", "y.md", "e" + TEXT, 1)]]
+    for rows in batches:
+        spark.createDataFrame([(r, h, p, t.encode(), q) for r, h, p, t, q in rows], SNAPSHOT).write.mode("append").parquet(landing)
         follow_snapshots(spark, landing, store, toy_model, str(tmp_path / "ck")).awaitTermination(120)
-    assert _state(store) == {("o/a", "x.md"): "caaa bb"} and store.get_repo_commit("o/a") == "2"
+    assert _state(store) == {("o/a", "x.md"): "caaa bb", ("o/b", "y.md"): "eaaa bb"}
+    assert store.get_repo_commit("o/a") == "2" and store.get_repo_commit("o/b") == "8"
+
+
+def test_copy_on_write_touches_few_files(spark, tmp_path):
+    from codeweft.sources.versioned import VersionedTable
+    table = VersionedTable(spark, str(tmp_path / "t"), "repo string, path string, n int")
+    assert table.read().count() == 0 and table.files() == []
+    rows = lambda *xs: spark.createDataFrame(list(xs), "repo string, path string, n int")
+    nothing = rows().select("repo", "path")
+    for repo in ("a", "b", "c"):
+        table.change(nothing, rows((repo, "p", 1), (repo, "q", 2)))
+    before = set(table.files())
+    gone = rows(("b", "p", 0), ("b", "new", 0), ("zz", "p", 0))
+    assert len(table.files_with(gone)) == 1
+    table.change(gone, rows(("b", "p", 7)))
+    after = set(table.files())
+    assert len(before - after) == 1 and len(before & after) == len(before) - 1
+    assert sorted(tuple(r) for r in table.read().collect()) == [
+        ("a", "p", 1), ("a", "q", 2), ("b", "p", 7), ("b", "q", 2), ("c", "p", 1), ("c", "q", 2)]
+    assert table.read(table.versions()[-2]).where("n = 7").count() == 0
+    table.change(rows(("a", "", 0), ("c", "", 0)), on=["repo"])
+    assert {r.repo for r in table.read().collect()} == {"b"}
+    table.compact()
+    assert table.read().count() == 2 and len(table.files()) <= 3
+    table.vacuum(1)
+    assert table.read().count() == 2 and len(table.versions()) == 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.createDataFrame([("x",)], "file string").write.parquet(f"{table.root}/log/{table.versions()[-1]:012d}")
 
 
 def test_command_line(spark, tmp_path, capsys):

@@ -30,7 +30,7 @@ def test_paths(spark):
 def test_clean_query(spark):
     assert _map(spark, ["  speed up the parser (#7) ", "MERGE branch into main", "bump all the versions", "WIP",
                         "wip on the parser", "short one", "Reverting is a verb too"], T.clean_query) == \
-        ["speed up the parser", None, None, None, "wip on the parser", None, None]
+        ["speed up the parser", None, None, None, "wip on the parser", "short one", None]
 
 
 def test_tokens(spark):
@@ -44,7 +44,7 @@ def test_embed_text_and_hash(spark):
     row = spark.createDataFrame([(text,)], "t string").select(
         T.embed_text(F.lit("o/r"), F.lit("p"), F.col("t")).alias("e"),
         F.hex(T.text_hash(T.embed_text(F.lit("o/r"), F.lit("p"), F.col("t")))).alias("h")).first()
-    assert row["e"] == "o/r/p\n" + "é" * 2000
+    assert row["e"] == "o/r/p\n" + text
     assert row["h"].lower() == hashlib.sha256((K.MODEL_NAME + "\0" + row["e"]).encode()).hexdigest()
 
 
@@ -53,8 +53,8 @@ def _brute_windows(lines, first, last):
     while start <= last:
         end = min(start + 79, last)
         part = lines[start:end + 1]
-        if sum(bool(x.strip()) for x in part) >= 3:
-            out.append((start + 1, end + 1, "", "\n".join(part)[:8000]))
+        if sum(bool(x.strip()) for x in part) >= 1:
+            out.append((start + 1, end + 1, "", "\n".join(part)))
         if end == last:
             break
         start = end - 14
@@ -93,7 +93,7 @@ def _brute_chunks(text, spans):
         if s["start"] > seen + 1:
             out += _brute_windows(lines, seen + 1, s["start"] - 1)
         if s["end"] > seen:
-            out.append((s["start"] + 1, s["end"] + 1, s["symbol"], "\n".join(lines[s["start"]:s["end"] + 1])[:8000]))
+            out.append((s["start"] + 1, s["end"] + 1, s["symbol"], "\n".join(lines[s["start"]:s["end"] + 1])))
             seen = s["end"]
     if seen + 1 < len(lines):
         out += _brute_windows(lines, seen + 1, len(lines) - 1)
@@ -151,9 +151,33 @@ def test_tree_is_read(spark, tmp_path):
     (tmp_path / "src/big.rs").write_bytes(b"x" * 300_001)
     (tmp_path / "node_modules/c.js").write_text("x")
     (tmp_path / "notes.bin").write_text("x")
+    (tmp_path / "src/late.rs").write_bytes(b"x" * 9_000 + b"\0")
     tree = files.read_tree(spark, str(tmp_path), "o/r")
-    assert {r["path"] for r in tree.collect()} == {"src/a.py", "src/b.rs"}
-    assert [(r["path"], r["text"]) for r in files.texts(tree).collect()] == [("src/a.py", "ok � tail")]
+    assert {r["path"] for r in tree.collect()} == {"src/a.py", "src/b.rs", "src/big.rs", "src/late.rs"}
+    assert {(r["path"], r["text"]) for r in files.texts(tree).collect()} == {("src/a.py", "ok � tail"), ("src/big.rs", "x" * 300_001)}
+
+
+def test_many_trees_are_one_scan(spark, tmp_path):
+    """Nested folders, one whose name begins like another's, and twenty more: one scan in the plan."""
+    dirs = {"o/a": "a", "o/in": "a/sub/in", "o/ab": "a-b", **{f"o/r{i}": f"r{i}" for i in range(20)}}
+    for repo, d in dirs.items():
+        (tmp_path / d / "src").mkdir(parents=True)
+        (tmp_path / d / "src/f.py").write_text(repo)
+    (tmp_path / "a/sub/top.py").write_text("o/a")
+    tree = files.read_trees(spark, {r: str(tmp_path / d) for r, d in dirs.items()})
+    got = {(r["repo"], r["path"]): bytes(r["content"]).decode() for r in tree.collect()}
+    assert got == {**{(r, "src/f.py"): r for r in dirs}, ("o/a", "sub/top.py"): "o/a"}
+    plan = tree._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("binaryFile") == 1 and "Union" not in plan
+
+
+def test_paths_to_repos(spark):
+    roots = [("x", "a/b"), ("y", "a/b/c"), ("w", "a/b"), ("z", "q"), (None, "a/b/n"), ("v", None)]
+    paths = ["a/b/1.py", "a/b/c/2.py", "a/b/c/d/3.py", "a/b", "a/bc/4.py", "q/5.py", "6.py", None, "a/b/n/7.py"]
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path string, i int")
+    got = {(r["i"], r["repo"], r["path"]) for r in files.paths_to_repos(df, spark.createDataFrame(roots, "repo string, root string")).collect()}
+    assert got == {(0, "w", "1.py"), (1, "y", "2.py"), (2, "y", "d/3.py"), (5, "z", "5.py"), (8, None, "7.py")}
+    assert files.paths_to_repos(df, spark.createDataFrame([], "repo string, root string")).count() == 0
 
 
 def test_listing_and_clones(spark, tmp_path):
