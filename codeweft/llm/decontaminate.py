@@ -87,15 +87,16 @@ def op7(spark, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
+    """Pipeline stage: documents that hold a benchmark item go, all rows with their doc_id. Null and empty
+    texts hold nothing and stay; a null doc_id is an id like any other."""
     bad = contained_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
 
 
 OP7_SQL = """
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
            FROM documents WHERE text IS NOT NULL),
-b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+b AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
       FROM benchmark WHERE text IS NOT NULL),
 s AS (SELECT item_id, least(len(w), 5) AS k, unnest(list_distinct(list_transform(range(1, len(w) - least(len(w), 5) + 2),
              lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' ')))) AS g FROM b WHERE len(w) > 0),

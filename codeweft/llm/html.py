@@ -55,14 +55,14 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
     Markup may be broken: an end tag closes back to its start tag if one is open, else nothing; a
     tag that the page ends in is dropped; script and style text ends at its own end tag only."""
     out, pieces, linked = [], [], 0
-    open_: list[tuple[str, bool, bool, bool]] = []     # name, article, furniture, silent
+    open_: list[tuple[str, bool, bool, bool, bool]] = []     # name, article, furniture, silent, link
 
     def close_block():
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
             n = len(text.split())
-            _, article, furniture, _ = open_[-1] if open_ else ("", False, False, False)
+            _, article, furniture, _, _ = open_[-1] if open_ else ("", False, False, False, False)
             out.append((text, n, min(linked, n), article, furniture))
         pieces.clear()
         linked = 0
@@ -73,7 +73,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             return
         text = entities.unescape(raw)
         pieces.append(text)
-        if any(o[0] == "a" for o in open_[-8:]):
+        if open_ and open_[-1][4]:
             linked += len(text.split())
 
     at = 0
@@ -100,11 +100,12 @@ def blocks_of(page: str) -> list[tuple[str, int, int, bool, bool]]:
             depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] not in INLINE), None)
             if depth is not None and open_[depth][0] == "p":
                 del open_[depth:]
-        _, article, furniture, silent = open_[-1] if open_ else ("", False, False, False)
+        _, article, furniture, silent, link = open_[-1] if open_ else ("", False, False, False, False)
         marks = " ".join(x for a in _ATTR.findall(m[3]) for x in a if x)
         furniture = (furniture or bool(marks and name not in ("html", "body", "article", "main") and MARKED.search(marks))
                      or (name in FURNITURE and not (name == "header" and article)))
-        open_.append((name, article or name in ("article", "main"), furniture, silent or name in SILENT))
+        open_.append((name, article or name in ("article", "main"), furniture, silent or name in SILENT,
+                      link or name == "a"))
         if name in RAW:
             end = re.compile(f"</{name}[\\s>/]", re.I).search(page, at)
             at = end.start() if end else len(page)

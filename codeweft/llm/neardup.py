@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 from .components import components
+from .text import fresh
 from .words import mix, shingle_sets, words_of
 
 BATCH = 24                      # signature values compared at once
@@ -199,7 +200,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     Documents are linked if 100 * intersection >= percent * union of their distinct k-word shingles
     (A-Z folded; a shorter text is one shingle). component_id is the least doc_id reachable, kept
     marks it. Texts that are null, empty or without words have no shingles and stay alone, kept.
-    Repeated rows of one doc_id repeat its result; other columns are not read. An empty table
+    Repeated rows of one doc_id repeat its result, that of the one whose set has the least key; other columns are not read. An empty table
     gives no rows. A row whose doc_id is null is alone, with a null component, and kept."""
     threshold = percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -207,8 +208,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     linkable = sets.where("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy("key").agg(F.min("doc_id").alias("rep"))
     # one row for each class: its least document
-    reps = (linkable.join(classes.select(F.col("rep").alias("doc_id"), F.col("key").alias("rep_key")), "doc_id", "left_semi")
-            .dropDuplicates(["doc_id"]))
+    reps = linkable.join(classes.select(F.col("rep").alias("doc_id"), F.col("key").alias("rep_key")), "doc_id", "left_semi")
+    rest = [c for c in reps.columns if c != "doc_id"]
+    reps = reps.groupBy("doc_id").agg(F.min_by(F.struct(*rest), "key").alias("one")).select("doc_id", "one.*")
     reps = cut(reps.drop("key"))
     members = reps.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     hubs = (members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_shingles")).alias("hub"), F.count("*").alias("n"))
@@ -271,9 +273,13 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def neardup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near copies (5 words, 0.8) the least doc_id stays. Of rows
-    that repeat a doc_id one stays."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    """Pipeline stage: of each group of near copies (5 words, 0.8) the least doc_id stays. Of rows that
+    repeat a doc_id the one of least text stays (null first). Rows with a null doc_id, and texts that
+    are null or without words, are copies of nothing and stay."""
+    (row,) = fresh(docs.columns, "row")
+    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    nulls = left.where("doc_id is null")
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(nulls)
+    one = left.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*[
+        c for c in docs.columns if c != "doc_id"]), F.struct("text")).alias(row))
+    return one.select(*[F.col(c) if c == "doc_id" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns]).unionByName(
+        left.where("doc_id is null"))

@@ -14,12 +14,21 @@ from .text import SPACES, count_of, fresh, gram_hashes, has_word, without, words
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»«›‹•·>"
-# Fixed phrases of licence, consent and navigation lines.
+# Fixed phrases of licence, consent and navigation lines, by language.
 BOILERPLATE = (
     "all rights reserved", "licensed under", "released under the", "is licensed under", "terms of service",
     "privacy policy", "cookie policy", "we use cookies", "accept cookies", "subscribe to our newsletter",
     "sign up for our", "click here to", "powered by", "copyright (c)", "javascript is disabled",
     "enable javascript", "share on facebook", "share on twitter", "skip to content", "back to top",
+    "alle rechte vorbehalten", "lizenziert unter", "nutzungsbedingungen", "datenschutzerklärung", "wir verwenden cookies",
+    "cookies akzeptieren", "newsletter abonnieren", "hier klicken", "zum inhalt springen", "nach oben scrollen",
+    "bereitgestellt von", "javascript ist deaktiviert", "auf facebook teilen", "auf twitter teilen",
+    "tous droits réservés", "sous licence", "conditions d'utilisation", "politique de confidentialité",
+    "nous utilisons des cookies", "accepter les cookies", "abonnez-vous à notre", "cliquez ici", "aller au contenu",
+    "haut de page", "propulsé par", "javascript est désactivé", "partager sur facebook", "partager sur twitter",
+    "todos los derechos reservados", "bajo licencia", "condiciones de uso", "política de privacidad",
+    "usamos cookies", "utilizamos cookies", "aceptar cookies", "suscríbete a nuestro", "haz clic aquí", "saltar al contenido",
+    "volver arriba", "desarrollado por", "javascript está desactivado", "compartir en facebook", "compartir en twitter",
 )
 
 
@@ -47,13 +56,15 @@ def repeat_words(hashes: Column) -> Column:
 
 
 def line_fails(line: Column, line_words: Column, max_symbols: float = 0.05, max_marks: float = 0.3,
-               max_separators: float = 0.15, min_unique: float = 0.3, long_line: int = 10) -> Column:
+               max_separators: float = 0.15, min_unique: float = 0.3, long_line: int = 10, phrase_line: int = 30) -> Column:
     """True for a line that fails one of the rules:
 
     punctuation: symbols above `max_symbols` of its characters, or "!!"/"??" for more than
     `max_marks` of its words; navigation: separators for more than `max_separators` of its words
-    (three or more of them); boilerplate: a fixed phrase, or in a line of `long_line` words or
-    more fewer than `min_unique` distinct words among all."""
+    (three or more of them); boilerplate: a fixed phrase in a line of `phrase_line` words at most, or
+    in a line of `long_line` words or more fewer than `min_unique` distinct 3-word windows among all.
+    The share of distinct windows hardly falls with the length of clean text, as that of words does,
+    and a phrase somewhere in a long line says little about the line."""
     n = F.size(line_words)
     marks = sum(F.length(line) - F.length(F.replace(line, F.lit(m), F.lit(""))) for m in ("!!", "??")) / 2
     separators = count_of(line, SEPARATORS)
@@ -62,8 +73,10 @@ def line_fails(line: Column, line_words: Column, max_symbols: float = 0.05, max_
     return ((line.rlike(f"[{SYMBOLS}]") & (count_of(line, SYMBOLS) > max_symbols * F.length(line)))
             | (line.rlike("!!|\\?\\?") & (marks > max_marks * n))
             | (line.rlike(f"[{SEPARATORS}]") & (separators >= 3) & (separators > max_separators * n))
-            | ((n >= long_line) & (F.size(F.array_distinct(line_words)) < min_unique * n))
-            | reduce(or_, (line.contains(p[1:]) for p in BOILERPLATE)))
+            # a line has two words more than windows at most, so few windows are few words
+            | ((n >= long_line) & (F.size(F.array_distinct(line_words)) < min_unique * (n - 2) + 3)
+               & (F.size(F.array_distinct(gram_hashes(line_words, 3))) < min_unique * (n - 2)))
+            | ((n <= phrase_line) & reduce(or_, (line.contains(p[1:]) for p in BOILERPLATE))))
 
 
 def clean_lines(docs: DataFrame, text: str = "text", max_loss: float = 0.5, **rules) -> DataFrame:
@@ -73,7 +86,7 @@ def clean_lines(docs: DataFrame, text: str = "text", max_loss: float = 0.5, **ru
 
     A text in which no line fails or repeats is returned as it is. Null and empty texts give
     cleaned "", no loss. Rows are treated one by one: repeated rows give repeated results, and
-    other columns pass through whatever their names, except one called line_rules."""
+    other columns pass through whatever their names, except one called line_rules, which is replaced."""
     # arrays are columns of their own, as a field of a struct would be worked out again at each use
     lines, kept, cleaned, chars = fresh(docs.columns, "lines", "kept", "cleaned", "chars")
     body = F.coalesce(F.col(text), F.lit(""))
@@ -100,7 +113,7 @@ def judge(docs: DataFrame, text: str = "text", min_words: int = 50, max_repeat:
     n_repeat_words (long), base_failed (too few words, or too many inside repeated 3-word windows),
     kept (not base_failed and the line rules leave enough), cleaned, n_lines, n_kept_lines, lost_chars.
 
-    A null or empty text has no words: base_failed. See clean_lines for lines and other columns."""
+    A column called quality is replaced. A null or empty text has no words: base_failed. See clean_lines for lines and other columns."""
     w, hashes, repeated, n_words = fresh(docs.columns, "words", "hashes", "repeated", "n_words")
     body = F.coalesce(F.col(text), F.lit(""))
     failed = (F.col(n_words) < min_words) | (100 * F.col(repeated) > 100 * max_repeat * F.col(n_words))
@@ -126,7 +139,8 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go, kept ones lose the lines that failed (n_chars follows)."""
+    """Pipeline stage: rejected documents go, kept ones lose the lines that failed (n_chars follows). Null
+    and empty texts have no words and go; repeated rows are judged each for themselves, with one result."""
     (row,) = fresh(docs.columns, "row")
     # one row through explode: a filter cannot move below it and work the rules out twice
     judged = judge(docs).select(*[c for c in docs.columns if c not in ("text", "n_chars")],

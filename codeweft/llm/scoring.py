@@ -11,8 +11,10 @@ to 1 over the V known words and one unknown, so scores are log probabilities.
 
 A traversal needs only the counts of the grams and contexts on its way. So a chunk of documents
 (chunks.py) sends each distinct gram once, with how often its training texts have it; buckets
-return corpus counts in the order of the question; the chunk walks its texts over its part of
-the automaton. The model is never whole in one place and grows with the corpus."""
+return corpus counts in the order of the question. The chunk does not build states and arcs as
+objects: as each token's n-gram is an arc and its context a state, the weights on the path of every
+token follow from the fetched counts at once, level by level, with the failure weight where an arc
+is not there. The model is never whole in one place and grows with the corpus."""
 from __future__ import annotations
 
 import numpy as np

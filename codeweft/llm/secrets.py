@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import fresh
+from ..session import cut
+from .text import bound, fresh, running_starts
 
 # Fixed patterns: kind, pattern, group that holds the value, least length of that group.
 BASE = (
@@ -32,20 +33,18 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
     """Spans (start, rank, end, kind, value) of one kind; offsets in code points, end exclusive."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    rows = F.arrays_zip(whole.alias("m"), value.alias("v"), F.split(text, pattern, -1).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    # the last gap has no match after it
+    rows = F.filter(F.arrays_zip(whole.alias("m"), value.alias("v"), F.split(text, pattern, -1).alias("gap")),
+                    lambda r: r["m"].isNotNull())
 
-    def step(s, r):
-        begin = s["at"] + F.length(r["gap"])
-        end = begin + F.length(r["m"])
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"),
-                        F.lit(kind).alias("kind"), r["v"].alias("value"))
-        ok = F.length(r["v"]) >= least
-        return F.struct(F.coalesce(end, s["at"]).alias("at"),      # the last gap has no match after it
-                        F.when(ok, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+    def placed(rows: Column) -> Column:
+        starts = running_starts(F.transform(rows, lambda r: F.length(r["gap"]) + F.length(r["m"])))
+        spans = F.zip_with(rows, starts, lambda r, s: F.struct(
+            (s + F.length(r["gap"])).alias("start"), F.lit(rank).alias("rank"),
+            (s + F.length(r["gap"]) + F.length(r["m"])).alias("end"), F.lit(kind).alias("kind"), r["v"].alias("value")))
+        return F.filter(spans, lambda s: F.length(s["value"]) >= least)
 
-    found = F.aggregate(rows, start, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), bound(rows, placed)).otherwise(F.array().cast(SPAN))
 
 
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -74,14 +73,14 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", tex
 
     A value is live-looking if at most `max_live_owners` owners and `max_live_repositories`
     repositories hold it, else it is a widely copied example. Rows without spans never shuffle;
-    repeated rows are kept and count once per (owner, repository). Empty tables give no rows."""
-    found = find_spans(docs, text).drop(text)
-    row, one = fresh(found.columns, "row", "one")
-    found = found.withColumn(row, F.xxhash64(*[F.col(c).cast("string") for c in found.columns if c != "spans"],
-                                             F.col("spans").cast("string")))
+    repeated rows are kept and count once per (owner, repository). A column called spans is replaced.
+    Empty tables give no rows."""
+    row, one = fresh([*docs.columns, "spans"], "row", "one")
+    # texts are read and matched once; what is written is narrow, and rows get a number of their own
+    found = cut(find_spans(docs, text).drop(text).withColumn(row, F.monotonically_increasing_id()))
     some, none = found.where("size(spans) > 0"), found.where("size(spans) = 0 or spans is null")
     counts = ownership(some, owner, repository)
-    each = (some.dropDuplicates([row]).select(F.col(row), F.explode("spans").alias(one))
+    each = (some.select(F.col(row), F.explode("spans").alias(one))
             .withColumn("secret", F.sha2(F.col(f"{one}.value"), 256)).join(counts, "secret")
             .select(row, F.struct(
                 f"{one}.start", f"{one}.rank", f"{one}.end", f"{one}.kind", "secret", "n_owners", "n_repositories",

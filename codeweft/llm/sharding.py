@@ -20,6 +20,37 @@ def _key(seed: int, salt: str, ids: list[str]) -> Column:
     return F.xxhash64(F.lit(f"{salt}:{seed}"), *ids)
 
 
+SMALL = 10**9 - 1               # numpy draws from populations below this
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of `n` draws without replacement are good, for counts of any size.
+
+    All items lie at uniform places and the n lowest are drawn. The place of the middle good item is
+    a beta variable, the number of bad ones below it a binomial; either all of these are drawn or
+    only items below it are, and what is left is the same question with half the good items."""
+    drawn = 0
+    while n and good and good + bad >= SMALL:
+        middle = (good + 1) // 2
+        below = int(rng.binomial(bad, rng.beta(middle, good - middle + 1)))
+        if middle + below <= n:
+            drawn, good, bad, n = drawn + middle, good - middle, bad - below, n - middle - below
+        else:
+            good, bad = middle - 1, below
+    return drawn + (int(rng.hypergeometric(good, bad, n)) if n and good else 0)
+
+
+def _dealt(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """How many of `n` draws come from each of the classes of sizes `left`: halves of the classes, then
+    halves of these."""
+    if len(left) == 1:
+        return np.array([n], np.int64)
+    half = len(left) // 2
+    first, second = left[:half], left[half:]
+    k = hypergeometric(rng, int(first.sum()), int(second.sum()), n)
+    return np.concatenate((_dealt(rng, first, k), _dealt(rng, second, n - k)))
+
+
 def communication_matrix(part_sizes, shards: int, seed: int) -> np.ndarray:
     """Counts (part, shard) of a uniform permutation: rows sum to the part sizes, columns to shard
     sizes that differ by one at most. One multivariate hypergeometric draw per part."""
@@ -28,7 +59,8 @@ def communication_matrix(part_sizes, shards: int, seed: int) -> np.ndarray:
     rng = np.random.Generator(np.random.PCG64(seed))
     out = np.zeros((len(part_sizes), shards), np.int64)
     for i, n in enumerate(part_sizes):
-        out[i] = rng.multivariate_hypergeometric(left, int(n), method="marginals")
+        out[i] = (rng.multivariate_hypergeometric(left, int(n), method="marginals") if left.sum() < SMALL
+                  else _dealt(rng, left, int(n)))
         left -= out[i]
     return out
 

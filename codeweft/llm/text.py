@@ -41,6 +41,30 @@ def gram_hashes(words_col: Column, k: int) -> Column:
                   ).otherwise(F.array().cast("array<bigint>"))
 
 
+def bound(value: Column, use) -> Column:
+    """`use(value)` with the value worked out once, as the argument of a one-element transform."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def running_starts(lengths: Column, block: int = 512) -> Column:
+    """For each of some non-negative ints the sum of those before it. Sums run inside blocks and then
+    over blocks, as an array that grows element by element is copied each time."""
+    def sums(values: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(values, start, lambda s, x: F.struct(
+            (s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))
+
+    def joined(parts: Column) -> Column:
+        before = sums(F.transform(parts, lambda p: p["at"]))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p["out"], lambda x: x + b)))
+
+    def split(values: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / block).cast("int"), F.lit(0)))
+        return bound(F.transform(blocks, lambda b: sums(F.slice(values, b * block + 1, block))), joined)
+
+    return bound(lengths, split)
+
+
 def fresh(taken, *names: str) -> list[str]:
     """Column names built from `names` that no column of `taken` has (in any case)."""
     used = {c.lower() for c in taken}

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from conftest import SF, words
 from pyspark.sql import functions as F
@@ -177,3 +178,58 @@ def test_communication_matrix_is_uniform():
     assert (draws.sum(axis=1) == [3, 3, 3, 3]).all() and (draws.sum(axis=2) == [3, 5, 4]).all()
     # mean of a hypergeometric count: part * shard / total
     assert abs(draws.mean(axis=0) - np.outer([3, 5, 4], [3, 3, 3, 3]) / 12).max() < 0.05
+
+
+def test_communication_matrix_beyond_a_billion_rows():
+    """Margins are exact for any counts, and counts lie where a uniform permutation puts them."""
+    for sizes in ([10**9 + 5], [3 * 10**9, 7, 0, 10**9], [10**12, 10**12 + 1]):
+        got = sharding.communication_matrix(sizes, 24, 3)
+        total = sum(sizes)
+        assert got.min() >= 0 and got.sum(axis=1).tolist() == sizes
+        assert got.sum(axis=0).tolist() == [total // 24 + (j < total % 24) for j in range(24)]
+        for n, row in zip(sizes, got):
+            assert np.all(np.abs(row - n / 24) <= 6 * np.sqrt(n / 24) + 6)
+
+
+def test_own_hypergeometric_is_numpys(monkeypatch):
+    """With the limit lowered the halving draws have the same law as the library's."""
+    monkeypatch.setattr(sharding, "SMALL", 3)
+    rng = np.random.Generator(np.random.PCG64(1))
+    for good, bad, n in ((30, 50, 20), (5, 200, 60), (200, 5, 60), (7, 7, 14), (0, 9, 3), (9, 0, 3), (4, 4, 0)):
+        mine = np.array([sharding.hypergeometric(rng, good, bad, n) for _ in range(4_000)])
+        theirs = rng.hypergeometric(good, bad, n, 4_000) if n else np.zeros(4_000)
+        assert mine.min() >= max(0, n - bad) and mine.max() <= min(n, good)
+        assert abs(mine.mean() - theirs.mean()) < 0.15 and abs(mine.std() - theirs.std()) < 0.15
+
+
+def test_many_secrets_in_one_text(spark):
+    """Time grows with the number of matches, and offsets stay right over many blocks."""
+    import time
+    n = 40_000
+    text = " ".join(f"token={i:08d}" for i in range(n))
+    df = spark.createDataFrame([(1, "s", text), (2, "s", "é token: \"abcdefgh\"")], "doc_id long, source string, text string")
+    begin = time.time()
+    spans = secrets.find_spans(df).where("doc_id = 1").select("spans").first()[0]
+    assert time.time() - begin < 30
+    assert [(s.start, s.end) for s in spans] == [(i * 15, i * 15 + 14) for i in range(n)]
+    other = secrets.find_spans(df).where("doc_id = 2").select("spans").first()[0]
+    assert [(s.start, s.end, s.value) for s in other] == [(2, 18, "abcdefgh")]
+
+
+def test_link_words_at_any_depth():
+    for depth in (1, 3, 9, 40):
+        page = "<p><a href=x>" + "<b>" * depth + "four words of link" + "</b>" * depth + "</a> and text</p>"
+        (block,) = html.blocks_of(page)
+        assert block[1:3] == (6, 4)
+
+
+def test_long_one_line_texts_are_clean(spark):
+    """Length alone fails no rule, nor does a phrase somewhere in a long line; loops and short notices do."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    natural = " ".join(f"w{k}" for k in rng.zipf(1.3, 20_000) % 3_000)        # words repeat as in language
+    rows = [(1, " ".join(f"w{i}" for i in range(20_000)) + " powered by us"), (2, natural), (3, "one two three four " * 5_000),
+            (4, "Tous droits réservés 2024\n" + " ".join(f"mot{i}" for i in range(60)))]
+    got = {r.doc_id: r.quality for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept and got[1].lost_chars == 0 and got[2].lost_chars == 0
+    assert got[3].lost_chars > 0 and not got[3].kept
+    assert got[4].kept and "droits" not in got[4].cleaned
