@@ -10,11 +10,8 @@ MAX_CHUNK_BYTES = 8000
 EMBED_MAX_CHARS = 2000
 WINDOW_LINES = 80
 WINDOW_OVERLAP = 15
-MIN_CONTENT_LINES = 3
 
 # file selection
-MAX_FILE_BYTES = 300_000
-NUL_PROBE_BYTES = 8192
 EXCLUDED_DIRS = [
     "node_modules", ".git", "target", "dist", "build", "out", "vendor",
     "third_party", ".next", ".nuxt", "coverage", "__pycache__", ".gradle",
@@ -55,7 +52,6 @@ CODE_LANGS = ["rust", "typescript", "tsx", "javascript", "python", "go",
 EXCLUDED_PATH_PATTERN = (
     r"(/tests?/|(^|/)test_|\.test\.|_test\.|\.spec\."
     r"|\.d\.ts$|/docs/|/fixtures/|/examples?/)")
-MIN_TEXT_LEN = 300
 SIM_THRESHOLD = 0.93
 FOREIGN_POOL = 20
 
@@ -63,8 +59,6 @@ FOREIGN_POOL = 20
 NOISE_SUBJECT_PATTERN = (
     r"(?i)^(merge |revert|bump |chore\(deps\)|initial commit|wip$|update readme$)")
 PR_SUFFIX_PATTERN = r"\s*\(#\d+\)\s*$"
-MAX_COMMIT_FILES = 10
-MIN_QUERY_CHARS = 12
 
 # ranking features, in contract order
 FEATURES = [

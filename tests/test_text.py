@@ -208,8 +208,11 @@ def test_commit_mining(spark):
                                      [("1", "a.py"), ("2", "b.py"), ("2", "a.py"), ("2", "x.png"), ("4", "a.py"), ("5", "a.py")]
                                      + [("3", f"f{i}.py") for i in range(11)]],
                                     "repo string, sha string, status string, path string")
-    got = history.collect_queries(commits, changes, since=6).collect()
-    assert [(r["sha"], r["query"], r["files"]) for r in got] == [("2", "answer with both halves", ["a.py", "b.py"])]
+    got = {r["sha"]: (r["query"], r["files"]) for r in history.collect_queries(commits, changes, since=6).collect()}
+    two = ("answer with both halves", ["a.py", "b.py"])
+    assert got == {"2": two, "3": ("touch more files than allowed", sorted(f"f{i}.py" for i in range(11)))}
+    got = history.collect_queries(commits, changes, since=6, max_files=10, min_chars=12).collect()
+    assert [(r["query"], r["files"]) for r in got] == [two]
 
 
 DIFF = """diff --git a/f.py b/f.py
