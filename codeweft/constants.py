@@ -53,7 +53,6 @@ EXCLUDED_PATH_PATTERN = (
     r"(/tests?/|(^|/)test_|\.test\.|_test\.|\.spec\."
     r"|\.d\.ts$|/docs/|/fixtures/|/examples?/)")
 SIM_THRESHOLD = 0.93
-FOREIGN_POOL = 20
 
 # history mining
 NOISE_SUBJECT_PATTERN = (

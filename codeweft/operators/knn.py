@@ -5,7 +5,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..constants import FOREIGN_POOL
 from ..functions import text as T
 from ..functions.vectors import (arrow_schema, as_matrix, batch_of, cos_from_distance,
                                  l2_distance)
@@ -40,10 +39,13 @@ def search(chunks: DataFrame, query, k: int = 20, id_col: str = "id") -> DataFra
 
 
 def post_filtered(chunks: DataFrame, query, repo: str, k: int = 8,
-                  carry: tuple[str, ...] = ()) -> DataFrame:
-    """The k nearest of one repo out of the max(8k, 50) nearest overall; may give fewer."""
-    pool = top_k(chunks, query, max(8 * k, 50), carry=("repo", *carry))
-    return pool.where(F.col("repo") == repo).orderBy("distance", "id").limit(k)
+                  carry: tuple[str, ...] = (), pool: int | None = None) -> DataFrame:
+    """The k nearest of one repo. With `pool`, only those among the so many nearest overall, which may
+    give fewer."""
+    if pool is None:
+        return pre_filtered(chunks, query, repo, k, carry)
+    near = top_k(chunks, query, pool, carry=("repo", *carry))
+    return near.where(F.col("repo") == repo).orderBy("distance", "id").limit(k)
 
 
 def pre_filtered(chunks: DataFrame, query, repo: str, k: int = 8,
@@ -56,8 +58,9 @@ def pre_filtered(chunks: DataFrame, query, repo: str, k: int = 8,
 _TILE = 4 << 20
 
 
-def _nearest(qids, q, ids, v, k):
-    """The k nearest rows of v for every row of q, as (qid, id, distance) arrays.
+def _nearest(qids, q, own, ids, v, repo, k):
+    """The k nearest rows of v for every row of q, as (qid, id, distance) arrays; with repository keys
+    `own` and `repo`, only of others than a row's own.
 
     ids ascend, so settling equal (quantised) distances by column settles them by id.
     """
@@ -67,8 +70,10 @@ def _nearest(qids, q, ids, v, k):
     for s in range(0, len(q), step):
         tile = q[s:s + step]
         d2 = np.round(np.maximum((tile * tile).sum(1)[:, None] + norms - 2.0 * (tile @ v.T), 0.0), 12)
+        if own is not None:
+            d2[own[s:s + step, None] == repo[None, :]] = np.inf
         edge = np.partition(d2, k - 1, axis=1)[:, k - 1:k] if k < len(v) else np.inf
-        rows, cols = np.nonzero(d2 <= edge)
+        rows, cols = np.nonzero((d2 <= edge) & (d2 < np.inf))
         order = np.lexsort((cols, d2[rows, cols], rows))
         rows, cols = rows[order], cols[order]
         keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
@@ -77,25 +82,45 @@ def _nearest(qids, q, ids, v, k):
     return [np.concatenate(x) for x in zip(*parts)]
 
 
-def _sorted_block(table, id_name, vec_name):
-    ids = np.asarray(table.column(table.schema.get_field_index(id_name)))
-    rows = as_matrix(table.column(table.schema.get_field_index(vec_name)))
+def _sorted_block(table, id_name, vec_name, key_name):
+    """(ids, vectors, repository keys or None) of a batch, by id."""
+    column = lambda name: table.column(table.schema.get_field_index(name))
+    ids = np.asarray(column(id_name))
+    rows = as_matrix(column(vec_name))
     order = np.argsort(ids, kind="stable")
-    return ids[order], (rows[order] if len(rows) else rows)
+    keys = np.asarray(column(key_name))[order] if key_name in table.schema.names else None
+    return ids[order], (rows[order] if len(rows) else rows), keys
+
+
+def best_k(found: DataFrame, k: int, tasks: int) -> DataFrame:
+    """The k best of (qid, id, distance) rows as `rank` 0 to k - 1, merged in two levels: first those of
+    about the root of all tasks together, then the k of each such group. Both are windows that Spark
+    limits to k rows before it shuffles."""
+    groups = max(1, round(tasks ** 0.5))
+    order = ("distance", "id")
+    if groups > 1:
+        some = W.partitionBy("qid", "_group").orderBy(*order)
+        found = (found.withColumn("_group", F.spark_partition_id() % groups)
+                 .withColumn("_n", F.row_number().over(some)).where(F.col("_n") <= k).drop("_n", "_group"))
+    return (found.withColumn("_n", F.row_number().over(W.partitionBy("qid").orderBy(*order)))
+            .where(F.col("_n") <= k).withColumn("rank", F.col("_n") - 1).drop("_n"))
 
 
 def batch_top_k(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
                 id_col: str = "id", broadcast_bytes: int = MAX_BROADCAST_BYTES,
-                cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """(qid, id, distance, rank) for every query, nearest first.
+                cell_bytes: int = CELL_BYTES, foreign: bool = False) -> DataFrame:
+    """(qid, id, distance, rank) for every query, nearest first; with `foreign`, only chunks whose
+    `repo` is not the query's `own_repo` (told by 64-bit hashes; nulls are one repository).
 
     Queries that fit the broadcast bound are held by every task while the chunks stream
     past them: nothing is shuffled but k rows per query and task. Otherwise both sides are
     hashed into blocks of bounded size and every pair of blocks is one task. Either way a
-    task gives at most k rows per query, and a window picks the best k of those.
+    task gives at most k rows per query, and `best_k` merges those.
     """
-    q = queries.select(F.col(qid).alias("qid"), F.col("embedding").alias("qv"))
-    c = chunks.select(F.col(id_col).alias("id"), F.col("embedding").alias("v"))
+    q = queries.select(F.col(qid).alias("qid"), F.col("embedding").alias("qv"),
+                       *([F.xxhash64("own_repo").alias("own")] if foreign else []))
+    c = chunks.select(F.col(id_col).alias("id"), F.col("embedding").alias("v"),
+                      *([F.xxhash64("repo").alias("repo")] if foreign else [])).where("v IS NOT NULL")
     size = q.agg(F.count("*").alias("n"), F.max(F.size("qv")).alias("d")).first()
     if not size["n"]:
         size = {"n": 0, "d": 1}
@@ -104,26 +129,26 @@ def batch_top_k(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
     row_bytes = 8 * max(size["d"] or 1, 1)
     if size["n"] * row_bytes <= broadcast_bytes:
         found = _against_broadcast(q, c, k, fields)
+        tasks = c.rdd.getNumPartitions()
     else:
-        found = _against_grid(q, c, k, fields, size["n"], row_bytes, cell_bytes)
-    w = W.partitionBy("qid").orderBy("distance", "id")
-    return (found.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k))
+        blocks = blocks_for(c.count(), row_bytes, cell_bytes)
+        found, tasks = _against_grid(q, c, k, fields, size["n"], row_bytes, cell_bytes, blocks), blocks
+    return best_k(found, k, tasks)
 
 
 def _against_broadcast(q, c, k, fields):
     table = q.toArrow()
-    qids, rows = _sorted_block(table, "qid", "qv") if table.num_rows else (np.empty(0), np.empty((0, 0)))
-    held = q.sparkSession.sparkContext.broadcast((qids, rows))
+    asked = _sorted_block(table, "qid", "qv", "own") if table.num_rows else (np.empty(0), np.empty((0, 0)), None)
+    held = q.sparkSession.sparkContext.broadcast(asked)
     result = arrow_schema(fields)
 
     def scan(batches):
-        ids_q, mat_q = held.value
+        ids_q, mat_q, own = held.value
         best = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, v = _sorted_block(batch, "id", "v")
-            part = _nearest(ids_q, mat_q, ids, v, k)
+            part = _nearest(ids_q, mat_q, own, *_sorted_block(batch, "id", "v", "repo"), k)
             if best is not None:
                 part = [np.concatenate(x) for x in zip(best, part)]
                 order = np.lexsort((part[1], part[2], part[0]))
@@ -141,8 +166,8 @@ def blocks_for(n: int, row_bytes: int, cell_bytes: int) -> int:
     return max(1, -(-n * row_bytes // cell_bytes))
 
 
-def _against_grid(q, c, k, fields, n, row_bytes, cell_bytes):
-    qb, cb = blocks_for(n, row_bytes, cell_bytes), blocks_for(c.count(), row_bytes, cell_bytes)
+def _against_grid(q, c, k, fields, n, row_bytes, cell_bytes, cb):
+    qb = blocks_for(n, row_bytes, cell_bytes)
 
     result = arrow_schema(fields)
 
@@ -153,27 +178,76 @@ def _against_grid(q, c, k, fields, n, row_bytes, cell_bytes):
     cs = c.withColumn("cb", block("id", cb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
 
     def cell(left, right):
-        out = _nearest(*_sorted_block(left, "qid", "qv"), *_sorted_block(right, "id", "v"), k)
+        out = _nearest(*_sorted_block(left, "qid", "qv", "own"), *_sorted_block(right, "id", "v", "repo"), k)
         return pa.Table.from_batches([batch_of(out, result)])
 
     qs, cs = (side.repartition(qb * cb, "qb", "cb") for side in (qs, cs))
     return qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb")).applyInArrow(cell, fields)
 
 
-def nearest_foreign(queries: DataFrame, chunks: DataFrame, threshold: float | None = None,
-                    pool: int = FOREIGN_POOL) -> DataFrame:
-    """Best match outside the query's own repo among its `pool` nearest, if there is one.
+def nearest_foreign(queries: DataFrame, chunks: DataFrame, threshold: float | None = None, **kw) -> DataFrame:
+    """Best match outside the query's own repo, if there is one.
 
-    queries(qid, own_repo, embedding).
+    queries(qid, own_repo, embedding). The kernel leaves out the own repository, so near copies in it
+    hide nothing; only the one row per query that is found is joined to its columns.
     """
-    near = batch_top_k(queries, chunks, pool)
-    owners = queries.select("qid", "own_repo")
+    best = batch_top_k(queries, chunks, 1, foreign=True, **kw).drop("rank") \
+        .withColumn("cos", cos_from_distance(F.col("distance")))
+    if threshold is not None:
+        best = best.where(F.col("cos") >= threshold)
     meta = chunks.select("id", "repo", "path", "start_line", "end_line", "symbol")
-    foreign = near.join(owners, "qid").join(meta, "id").where("repo <> own_repo")
-    w = W.partitionBy("qid").orderBy("rank")
-    best = (foreign.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-            .withColumn("cos", cos_from_distance(F.col("distance"))))
-    return best if threshold is None else best.where(F.col("cos") >= threshold)
+    return best.join(queries.select("qid", "own_repo"), "qid").join(meta, "id")
+
+
+def quantised(chunks: DataFrame, id_col: str = "id", embedding: str = "embedding") -> DataFrame:
+    """(id, codes, scale, error): each vector in one signed byte a place, and how far at most that is
+    from the vector itself. A table to be stored beside the chunks; rows without a vector have none."""
+    kind = chunks.schema[id_col].dataType.simpleString()
+    fields = f"id {kind}, codes binary, scale double, error double"
+    result = arrow_schema(fields)
+
+    def pack(batches):
+        for batch in batches:
+            rows = as_matrix(batch.column(1))
+            if not len(rows):
+                continue
+            scale = np.abs(rows).max(axis=1) / 127.0
+            codes = np.rint(rows / np.where(scale > 0, scale, 1.0)[:, None]).astype(np.int8)
+            off = np.linalg.norm(rows - codes * scale[:, None], axis=1)
+            # one part in 10**12 above it, for the rounding of later sums
+            yield batch_of([batch.column(0), [c.tobytes() for c in codes], scale, off + 1e-12 * (1 + np.linalg.norm(rows, axis=1))], result)
+
+    return chunks.where(F.col(embedding).isNotNull()).select(F.col(id_col).alias("id"), embedding).mapInArrow(pack, fields)
+
+
+# Candidates up to this number go into the scan's filter, more of them into a join.
+MAX_PUSHED = 1000
+
+
+def bounded_top_k(chunks: DataFrame, codes: DataFrame, query, k: int = 20, embedding: str = "embedding",
+                  carry: tuple[str, ...] = ()) -> DataFrame:
+    """`top_k` by way of a `quantised` table: exact, but full vectors are read for candidates only.
+
+    The k-th least upper bound on a distance limits the answer; rows whose lower bound is within it
+    are the candidates, few more than k unless many distances are alike. Up to MAX_PUSHED of their
+    ids are pushed into the scan of the chunks, so that files in the order of ids are skipped."""
+    target = np.asarray(query, dtype=np.float64)
+
+    @F.arrow_udf("struct<low double, high double>")
+    def bounds(packed: pa.Array, scale: pa.Array, error: pa.Array) -> pa.Array:
+        rows = np.frombuffer(b"".join(x.as_py() for x in packed), np.int8).reshape(len(packed), -1)
+        near = np.linalg.norm(rows * scale.to_numpy()[:, None] - target, axis=1)
+        off = error.to_numpy() + 1e-12 * (1 + near)
+        return pa.StructArray.from_arrays([pa.array(np.maximum(near - off, 0.0)), pa.array(near + off)], names=["low", "high"])
+
+    bounded = codes.select("id", bounds("codes", "scale", "error").alias("b")).select("id", "b.low", "b.high")
+    limit = bounded.orderBy("high").limit(k).agg(F.max("high")).first()[0]
+    if limit is None:
+        return top_k(chunks.where("false"), query, k, embedding=embedding, carry=carry)
+    near = bounded.where(F.col("low") <= limit).select("id")
+    ids = [r[0] for r in near.limit(MAX_PUSHED + 1).collect()]
+    some = (chunks.where(F.col("id").isin(ids)) if len(ids) <= MAX_PUSHED else chunks.join(near, "id", "left_semi"))
+    return top_k(some, query, k, embedding=embedding, carry=carry)
 
 
 def annotate_duplicates(found: DataFrame, ledger: DataFrame) -> DataFrame:

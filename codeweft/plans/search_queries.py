@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cos_from_distance
 from ..operators import duplicates as D, knn
+from ..session import cut
 from . import views as V
 
 _R = 6
@@ -42,6 +43,13 @@ def knn_repo_postfilter(spark, sf):
     return _with_cos(knn.post_filtered(V.vchunks(spark, sf), V.query_vector(spark, sf), "org/repo3", 8, ("path",)))
 
 
+def knn_bounded(spark, sf):
+    """knn_topk by way of a stored table of quantised vectors."""
+    c = V.vchunks(spark, sf)
+    found = knn.bounded_top_k(c, cut(knn.quantised(c)), V.query_vector(spark, sf), 20, carry=("repo", "path", "symbol"))
+    return _with_cos(found)
+
+
 def knn_repo_prefilter(spark, sf):
     return _with_cos(knn.pre_filtered(V.vchunks(spark, sf), V.query_vector(spark, sf), "org/repo3", 8, ("path",)))
 
@@ -77,6 +85,21 @@ def dup_pairs(spark, sf):
     return D.find_pairs(_analysed(spark, sf), CUT)
 
 
+def ledger_delta(spark, sf):
+    """The ledger after a change, from the best matches before it. Fourth chunks of files are new, first
+    ones of one repository are gone, second ones of another have a new vector (that of the next chunk)."""
+    now = V.vchunks(spark, sf)
+    after = now.select("id", F.col("embedding").alias("next")).withColumn("id", F.col("id") - 1)
+    moved = (F.col("repo") == "org/repo2") & (F.col("start_line") == 41)
+    old = D.analysis_set(now.where("start_line < 121"))
+    gone = (F.col("repo") == "org/repo3") & (F.col("start_line") == 1)
+    new = D.analysis_set(now.join(after, "id", "left").withColumn(
+        "embedding", F.when(moved, F.coalesce("next", "embedding")).otherwise(F.col("embedding"))).where(~gone))
+    added = new.where((F.col("start_line") == 121) | moved)
+    best = cut(D.best_foreign(old, CUT))
+    return D.pairs_of(D.refreshed_best(best, old, old.where(gone | moved), added, CUT), new)
+
+
 def dup_new_vs_baseline(spark, sf):
     return D.new_pairs(dup_pairs(spark, sf), D.find_pairs(_analysed(spark, sf), CUT + 0.05))
 
@@ -113,6 +136,11 @@ def _pairs_sql(name, cut):
   FROM best WHERE sim >= {cut} GROUP BY ALL)"""
 
 
+_DELTA = _ANALYSED.replace("analysed AS (", """changed AS (
+  SELECT c.* REPLACE (CASE WHEN c.repo = 'org/repo2' AND c.start_line = 41 THEN coalesce(n.embedding, c.embedding)
+                      ELSE c.embedding END AS embedding)
+  FROM vchunks c LEFT JOIN vchunks n ON n.id = c.id + 1 WHERE NOT (c.repo = 'org/repo3' AND c.start_line = 1)),
+analysed AS (""").replace("  FROM vchunks\n  WHERE lang", "  FROM changed\n  WHERE lang")
 _PAIRS = f"{_ANALYSED}, {_pairs_sql('pairs', CUT)}"
 _LEDGER = _PAIRS + """, ledger AS (
   SELECT a AS file, b AS other, n, max_sim FROM pairs UNION ALL
@@ -125,22 +153,26 @@ FROM near ORDER BY near.distance, id LIMIT 20"""),
     "knn_wide_hits": (knn_wide_hits, f"""WITH {_NEAR}
 SELECT id, repo, path, lang, text_len, round(distance, 6) AS distance, {_COS}
 FROM near ORDER BY near.distance, id LIMIT 50"""),
-    "knn_repo_postfilter": (knn_repo_postfilter, f"""WITH {_NEAR}, pool AS (
-  SELECT * FROM near ORDER BY distance, id LIMIT 64)
+    "knn_bounded": (knn_bounded, f"""WITH {_NEAR}
+SELECT id, repo, path, symbol, round(distance, 6) AS distance, {_COS}
+FROM near ORDER BY near.distance, id LIMIT 20"""),
+    "knn_repo_postfilter": (knn_repo_postfilter, f"""WITH {_NEAR}
 SELECT id, repo, path, round(distance, 6) AS distance, {_COS}
-FROM pool WHERE repo = 'org/repo3' ORDER BY pool.distance, id LIMIT 8"""),
+FROM near WHERE repo = 'org/repo3' ORDER BY near.distance, id LIMIT 8"""),
     "knn_repo_prefilter": (knn_repo_prefilter, f"""WITH {_NEAR}
 SELECT id, repo, path, round(distance, 6) AS distance, {_COS}
 FROM near WHERE repo = 'org/repo3' ORDER BY near.distance, id LIMIT 8"""),
     "knn_batch_topk": (knn_batch_topk, f"""WITH {V.CANDIDATES}
 SELECT qid, id, round(distance, 6) AS distance, rank FROM candidates WHERE rank < 10"""),
-    "nearest_foreign": (nearest_foreign, f"""WITH {V.CANDIDATES}
-SELECT qid, query_repo AS own_repo, repo, path, symbol, round(score, 6) AS cos FROM candidates
-WHERE rank < 20 AND repo <> query_repo
-QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rank) = 1 AND score >= 0.35"""),
+    "nearest_foreign": (nearest_foreign, f"""WITH {V.VCHUNKS}, other AS (
+  SELECT q.id AS qid, q.repo AS own_repo, c.repo, c.path, c.symbol, list_distance(q.embedding, c.embedding) AS d, c.id
+  FROM vchunks q JOIN vchunks c ON c.repo <> q.repo)
+SELECT qid, own_repo, repo, path, symbol, round(1 - d * d / 2, 6) AS cos FROM other
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) = 1 AND 1 - d * d / 2 >= 0.35"""),
     "best_foreign_match": (best_foreign_match, f"""WITH {_ANALYSED}
 SELECT id, best_id, round(sim, 6) AS sim FROM best"""),
     "dup_pairs": (dup_pairs, f"WITH {_PAIRS} SELECT * FROM pairs"),
+    "ledger_delta": (ledger_delta, f"""WITH {_DELTA}, {_pairs_sql('pairs', CUT)} SELECT * FROM pairs"""),
     "dup_new_vs_baseline": (dup_new_vs_baseline, f"""WITH {_PAIRS}, {_pairs_sql('known', CUT + 0.05)}
 SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.a = p.a AND k.b = p.b)"""),
     "ledger_symmetric": (ledger_symmetric, f"WITH {_LEDGER} SELECT * FROM ledger"),

@@ -96,17 +96,81 @@ def test_filters_before_and_after(chunks):
     pre = [r["id"] for r in knn.pre_filtered(chunks, q, repo, 3).collect()]
     want = [j for j in _nearest(8, N) if REPO[j] == repo][:3]
     assert pre == want
+    assert [r["id"] for r in knn.post_filtered(chunks, q, repo, 3).collect()] == want
     pool = _nearest(8, 50)
-    assert [r["id"] for r in knn.post_filtered(chunks, q, repo, 3).collect()] == \
+    assert [r["id"] for r in knn.post_filtered(chunks, q, repo, 3, pool=50).collect()] == \
         [j for j in pool if REPO[j] == repo][:3]
 
 
-def test_nearest_foreign_skips_own_repo(chunks):
+@pytest.mark.parametrize("path", [{}, {"broadcast_bytes": 0, "cell_bytes": 8 * DIM * 37}])
+def test_nearest_foreign_skips_own_repo(chunks, path):
+    """However many of the nearest are the query's own."""
     asked = chunks.select(F.col("id").alias("qid"), F.col("repo").alias("own_repo"), "embedding")
-    got = {r["qid"]: r["id"] for r in knn.nearest_foreign(asked, chunks).collect()}
+    got = {r["qid"]: r["id"] for r in knn.nearest_foreign(asked, chunks, **path).collect()}
     for i in range(N):
-        want = next((j for j in _nearest(i, 20) if REPO[j] != REPO[i]), None)
-        assert got.get(i) == want
+        assert got.get(i) == next((j for j in _nearest(i, N) if REPO[j] != REPO[i]), None)
+
+
+def test_merge_is_limited_before_its_shuffles(chunks):
+    found = chunks.select(F.lit(1).alias("qid"), "id", F.col("start_line").cast("double").alias("distance"))
+    best = knn.best_k(found.repartition(9), 4, 9)
+    assert [(r["id"], r["rank"]) for r in best.orderBy("rank").collect()] == [(i, i) for i in range(4)]
+    plan = best._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
+
+
+@pytest.mark.parametrize("pushed", [1000, 3])
+def test_bounded_search_is_exact(spark, chunks, monkeypatch, pushed):
+    monkeypatch.setattr(knn, "MAX_PUSHED", pushed)
+    codes = knn.quantised(chunks).cache()
+    rng = np.random.default_rng(1)
+    for q in [_unit()[45], rng.normal(size=DIM), np.zeros(DIM)]:
+        q = [float(x) for x in q]
+        want = [tuple(r) for r in knn.top_k(chunks, q, 9).collect()]
+        assert [tuple(r) for r in knn.bounded_top_k(chunks, codes, q, 9).collect()] == want
+    assert knn.bounded_top_k(chunks.where("false"), codes.where("false"), q, 9).count() == 0
+    row = codes.where("id = 3").first()
+    v = np.frombuffer(row["codes"], np.int8) * row["scale"]
+    assert np.linalg.norm(v - _unit()[3]) <= row["error"] + 1e-7
+
+
+def test_bounded_search_reads_candidates_only(spark, chunks, tmp_path):
+    chunks.write.parquet(str(tmp_path / "c"))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    found = knn.bounded_top_k(stored, knn.quantised(stored).cache(), [float(x) for x in _unit()[8]], 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(id" in plan
+
+
+def test_clustered_vectors_skip_pairs_of_blocks(spark):
+    """Thirty far clusters, one of them with a third of all rows: fewer pairs than all, same answer."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, DIM))
+    which = np.where(rng.random(900) < 0.33, 0, rng.integers(0, 30, 900))
+    rows = centres[which] + 0.01 * rng.normal(size=(900, DIM))
+    df = spark.createDataFrame([(i, f"r{i % 5}", [float(x) for x in v]) for i, v in enumerate(rows)],
+                               "id long, repo string, embedding array<float>")
+    v = D._keyed(df)
+    n, row_bytes = D._row_bytes(v)
+    pruned = D.Pruned(v, v, n, row_bytes, -1.0, "id bigint, best_id bigint, sim double", row_bytes * 40)
+    got = sorted(map(tuple, pruned.answer().collect()))
+    assert got == sorted(map(tuple, D.best_foreign(df).collect())) and len(got) == 900
+    assert pruned.pairs_met < pruned.all_pairs() / 3
+    assert pruned.parts.max() > 5                          # the large cluster is several blocks
+
+
+@pytest.mark.parametrize("path", [{}, {"broadcast_bytes": 0, "cell_bytes": 8 * DIM * 37}])
+@pytest.mark.parametrize("threshold", [-1.0, 0.4])
+def test_best_matches_after_a_change(spark, chunks, path, threshold):
+    """Removed, changed and added chunks, copies among them: as from scratch."""
+    old = chunks.where("id < 130")
+    removed = chunks.where("id % 7 = 0 AND id < 130 OR id = 45")
+    changed = chunks.where("id = 45").withColumn("embedding", F.reverse("embedding"))
+    added = chunks.where("id >= 130").unionByName(changed)
+    now = old.join(removed.select("id"), "id", "left_anti").select(*chunks.columns).unionByName(added)
+    best = D.best_foreign(old, threshold)
+    got = D.refreshed_best(best, old, removed, added, threshold, **path)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, D.best_foreign(now, threshold).collect()))
 
 
 def test_rendered_answer(chunks):
