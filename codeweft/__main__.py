@@ -124,10 +124,15 @@ def _calls(spark, a):
     except ValueError as e:
         print(e, file=sys.stderr)
         return 2
-    print(json.dumps({"targets": [t.asDict() for t in answer.targets],
-                      "callers": [c.asDict() for c in answer.callers], "truncated": answer.truncated,
-                      "repos": [r.asDict() for r in answer.freshness], "meta": answer.meta}))
-    return 0 if answer.targets else 1
+    print(json.dumps({"truncated": answer.truncated, "meta": answer.meta}))
+    found = False
+    for part, rows in (("target", answer.targets.orderBy("via_impl", "repo", "path", "start_line", "id")),
+                       ("caller", answer.callers.orderBy("repo", "path", "line", "name")),
+                       ("repo", answer.freshness.orderBy("repo"))):
+        for row in rows.toLocalIterator():
+            found = True
+            print(json.dumps({"part": part, **row.asDict()}))
+    return 0 if found else 1
 
 
 def _dataset(spark, a):

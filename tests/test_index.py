@@ -195,10 +195,11 @@ def test_command_line(spark, tmp_path, capsys):
     assert CallGraphStore(spark, root).tables()["refs"].count() == 1
     capsys.readouterr()
     assert run("calls", "--root", root, "--symbol", "g") == 0
-    out = capsys.readouterr().out
-    answer = json.loads(out)
-    assert [(c["path"], c["line"], c["name"], c["target_name"]) for c in answer["callers"]] == [("a.rs", 3, "f", "g")]
-    assert answer["repos"][0]["commit_sha"] == "c0ffee"
+    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert rows[0]["truncated"] is False
+    callers = [r for r in rows[1:] if r["part"] == "caller"]
+    assert [(c["path"], c["line"], c["name"], c["target_name"]) for c in callers] == [("a.rs", 3, "f", "g")]
+    assert [r["commit_sha"] for r in rows[1:] if r["part"] == "repo"] == ["c0ffee"]
     assert run("calls", "--root", root, "--symbol", "nothing") == 1
     assert run("calls", "--root", root) == 2
     assert run("calls", "--root", root, "--path", "a.rs", "--lines", "x") == 2
