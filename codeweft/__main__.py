@@ -59,7 +59,7 @@ def _shard(spark, a):
 def _caches(spark, a):
     store = IndexStore(spark, a.root)
     upkeep.chunk_cache(store.repos(), store.chunks()).write.mode("overwrite").partitionBy("repo").parquet(a.chunks)
-    upkeep.vector_cache(store.chunks()).write.mode("overwrite").parquet(a.vectors)
+    upkeep.store_cache(upkeep.vector_cache(store.chunks()), a.vectors)
     return 0
 
 

@@ -1,16 +1,17 @@
 """Incremental index upkeep: what changed, what to drop, what to embed, how parts merge."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .. import constants as K
+from .. import constants as K, schemas
 from ..constants import MODEL_NAME
 from ..functions import text as T
-from ..session import cut
+from ..session import cut, parallelism
 from .ordering import rank_in_group
 
 
@@ -107,9 +108,31 @@ def vector_cache(chunks: DataFrame) -> DataFrame:
     return with_hash(chunks).groupBy("hash").agg(F.max_by("embedding", "id").alias("embedding"))
 
 
-def split_by_cache(chunks: DataFrame, cache: DataFrame) -> DataFrame:
-    """Chunks with the cached vector, NULL where the model has to be run."""
-    return with_hash(chunks.drop("embedding")).join(cache, "hash", "left")
+def store_cache(cache: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """Write a vector cache bucketed and sorted by hash, one file a bucket, and open it. Joined on the
+    hash it is neither shuffled nor sorted again, as long as `buckets` are no fewer than the shuffle
+    partitions of the session that joins (by default those of this one)."""
+    spark = cache.sparkSession
+    buckets = buckets or parallelism(spark)
+    name = f"vector_cache_{uuid.uuid4().hex}"
+    (cache.select("hash", "embedding").repartition(buckets, "hash").write.mode("overwrite").format("parquet")
+     .bucketBy(buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name))
+    return spark.table(name)
+
+
+def open_cache(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """A cache that `store_cache` wrote with so many buckets, in another session."""
+    name = f"vector_cache_{uuid.uuid4().hex}"
+    where = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} ({schemas.VECTOR_CACHE.replace('array<float>', 'ARRAY<FLOAT>')}) USING parquet "
+              f"CLUSTERED BY (hash) SORTED BY (hash) INTO {buckets} BUCKETS LOCATION '{where}'")
+    return spark.table(name)
+
+
+def split_by_cache(chunks: DataFrame, cache: DataFrame, stored: bool = False) -> DataFrame:
+    """Chunks with the cached vector, NULL where the model has to be run. Of a `stored` cache only the
+    chunks' side is shuffled."""
+    return with_hash(chunks.drop("embedding")).join(cache.hint("merge") if stored else cache, "hash", "left")
 
 
 def chunk_cache(repos: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -121,6 +121,32 @@ def refresh_snapshot(spark, sf):
         F.element_at("embedding", 1).cast("int").alias("embedded_by"))
 
 
+def refresh_after_merge(spark, sf):
+    """Two parts of an index, made apart, are merged; the merged one is refreshed. What neither part
+    lists as a file is taken anew, with the vectors that it has."""
+    docs = V.files(spark, sf).join(V.table(spark, sf, "labels"), "doc_id", "left")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/merge-{uuid.uuid4().hex}"
+
+    def snapshot(text):
+        return docs.select("repo", "path", "prose", F.encode(text, "utf-8").alias("content"), F.sha2(text, 256).alias("sha"))
+
+    names = docs.select("repo").distinct()
+    parts = []
+    for i, cond in enumerate(("prose = 'en'", "prose <> 'en'")):
+        part = IndexStore(spark, f"{base}/{i}")
+        part.refresh(snapshot(F.col("text")).where(cond).drop("prose"), names.withColumn("head", F.lit("h1")), _numbered(1), now=f"t{i}")
+        parts.append({"chunks": part.chunks(), "repos": part.repos(), "meta": part.meta()})
+    merged, store = U.merge_parts(parts), IndexStore(spark, f"{base}/merged")
+    store.set_meta("model", store.model)
+    store.put_chunks(merged["chunks"])
+    store.set_repo_commits(merged["repos"])
+    text = F.when(F.col("quality") == 1, F.concat("text", F.lit("\none more line"))).otherwise(F.col("text"))
+    store.refresh(snapshot(text).drop("prose"), names.withColumn("head", F.lit("h2")), _numbered(2), now="t2")
+    return store.chunks().join(store.repos(), "repo").select(
+        "repo", "commit_sha", "path", "start_line", "end_line", F.md5("text").alias("digest"),
+        F.element_at("embedding", 1).cast("int").alias("embedded_by"))
+
+
 # chunks of both snapshots; a text that an old chunk of the same file has keeps its vector
 _REFRESH = f"""docs AS (
   SELECT source AS repo, 'doc/' || d.doc_id || '.md' AS path, text, quality, toxic
@@ -136,6 +162,10 @@ new_c AS (SELECT substring(repo, 3) AS repo, path, start_line, end_line, text FR
 ends AS (SELECT min(repo) AS first, max(repo) AS last FROM docs)"""
 
 
+# the same without the files that come or go
+_MERGED = _REFRESH.replace("FROM docs WHERE coalesce(toxic, 0) = 0", "FROM docs").replace("FROM docs WHERE coalesce(quality, 1) = 1", "FROM docs")
+
+
 def stride_shard(spark, sf):
     c = V.chunks(spark, sf).withColumn("id", F.col("doc_id"))
     return U.stride_shard(c, 3, 8).select("repo", "path", "start_line")
@@ -163,8 +193,9 @@ def vector_cache_split(spark, sf):
     vec = F.array(F.length("text").cast("float"), F.col("start_line").cast("float"))
     cache = U.vector_cache(c.where("prose = 'en'").withColumn("embedding", vec)
                            .withColumn("id", F.struct("doc_id", "start_line")))
-    return U.split_by_cache(c, cache).select("repo", "path", "start_line",
-                                             F.element_at("embedding", 1).cast("int").alias("cached_len"))
+    stored = U.store_cache(cache, f"{ensure_checkpoint_dir(spark).rstrip('/')}/cache-{uuid.uuid4().hex}")
+    return U.split_by_cache(c, stored, stored=True).select("repo", "path", "start_line",
+                                                           F.element_at("embedding", 1).cast("int").alias("cached_len"))
 
 
 def chunk_cache_build(spark, sf):
@@ -225,6 +256,11 @@ SELECT repo, 'h2' AS commit_sha, path, start_line, end_line, md5(text) AS digest
 FROM new_c n, ends WHERE repo NOT IN (first, last)
 UNION ALL
 SELECT repo, 'h1', path, start_line, end_line, md5(text), 1 FROM old_c, ends WHERE repo = last"""),
+    "refresh_after_merge": (refresh_after_merge, f"""WITH {_MERGED}
+SELECT repo, 'h2' AS commit_sha, path, start_line, end_line, md5(text) AS digest,
+       CASE WHEN EXISTS (SELECT 1 FROM old_c o WHERE o.repo = n.repo AND o.path = n.path AND o.text = n.text)
+            THEN 1 ELSE 2 END AS embedded_by
+FROM new_c n"""),
     "locations": (snapshot_locations, f"""WITH {V.SYMBOLS}
 SELECT id, repo || '/' || path AS file, repo || '/' || path || ':' || start_line AS location FROM symbols"""),
 }

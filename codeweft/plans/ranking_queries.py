@@ -1,11 +1,15 @@
 """Features, forest scores and metrics over candidate lists."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..constants import FEATURES
-from ..operators import features as G, metrics as M
+from ..operators import features as G, history, metrics as M
 from ..operators.forest import Forest, package
+from ..session import cut, ensure_checkpoint_dir
+from ..sources import files
 from . import views as V
 from .text_queries import _sql_tokens
 
@@ -121,6 +125,35 @@ def split_conditions(spark, sf):
     return M.conditions(rows)
 
 
+def _parts(spark, sf):
+    """Queries split by age into train and test; a query's id stands for its time."""
+    groups = V.table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), F.col("vec_id").alias("ts"),
+                                                     F.format_string("%012d", "vec_id").alias("sha"))
+    return M.time_split(groups).select("qid", (F.col("part") == "test").alias("is_test"))
+
+
+def evaluate_split(spark, sf):
+    """A cut tuned on the older queries, everything else measured on the newer ones."""
+    rows = cut(V.scored(spark, sf).join(_parts(spark, sf), "qid"))
+    found = M.evaluate(rows.where("NOT is_test"), rows.where("is_test"))
+    return spark.createDataFrame([tuple(found.values())], list(found))
+
+
+def dataset_groups(spark, sf):
+    """Query groups written as JSON, read back and taken apart into candidates."""
+    repo = F.format_string("org/repo%d", "label")
+    queries = V.table(spark, sf, "embeddings").select(
+        repo.alias("repo"), F.col("vec_id").cast("string").alias("sha"), (F.col("vec_id") * 100).alias("ts"),
+        F.format_string("change of s%d", "vec_id").alias("query"))
+    rows = V.scored(spark, sf).withColumn("qid", F.concat(F.col("query_repo"), F.lit("@"), F.col("qid").cast("string")))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/groups-{uuid.uuid4().hex}"
+    history.build_groups(queries, rows).write.json(path)
+    back = files.read_groups(spark, path)
+    return history.explode_groups(back, False, "n_pos").select(
+        "qid", "ts", "n_pos", F.col("id").alias("place"), "repo", "path", "start_line", "symbol", "text_len", "label",
+        F.round("distance", 6).alias("distance"), F.size("query_tokens").alias("tokens"))
+
+
 def _ap_sql(rows):
     return f"""{rows}, g AS (
   SELECT score, sum(label) AS h, count(*) AS n FROM rows GROUP BY score),
@@ -142,18 +175,38 @@ SELECT cut AS threshold, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE
 FROM f ORDER BY f1 DESC, cut LIMIT 1"""
 
 
-def _ndcg_sql(score):
+def _ndcg_sql(score, rows="candidates", head=f"WITH {V.CANDIDATES}, "):
     def disc(n, k):
         return (f"coalesce((SELECT sum(1 / log2(i + 2)) FROM range({k}) t(i) WHERE i < {n}), 0)")
     cols = ", ".join(f"round(avg(d{k} / {disc('pos', k)}), 4) AS ndcg_at_{k}" for k in (5, 10))
     gains = ", ".join(f"sum(CASE WHEN rn <= {k} THEN g / log2(rn + 1) ELSE 0 END) AS d{k}" for k in (5, 10))
-    return f"""WITH {V.CANDIDATES}, r AS (
+    return f"""{head}r AS (
   SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY {score} DESC) AS rn,
-         avg(label) OVER (PARTITION BY qid, {score}) AS g FROM candidates),
+         avg(label) OVER (PARTITION BY qid, {score}) AS g FROM {rows}),
 per AS (SELECT qid, least(sum(label), 10) AS pos, {gains} FROM r GROUP BY qid)
 SELECT {cols} FROM per"""
 
 
+_EVALUATE = f"""WITH {V.CANDIDATES}, parts AS (
+  SELECT vec_id AS qid, row_number() OVER (ORDER BY vec_id) > floor((SELECT count(*) FROM embeddings) * 0.8) AS is_test FROM embeddings),
+train AS (SELECT c.* FROM candidates c JOIN parts USING (qid) WHERE NOT is_test),
+test AS (SELECT c.* FROM candidates c JOIN parts USING (qid) WHERE is_test),
+best AS ({_best_sql("WITH rows AS (SELECT * FROM train)")}),
+found AS (
+  SELECT count_if(label = 1 AND score >= threshold) AS tp, count_if(label = 0 AND score >= threshold) AS fp,
+         count_if(label = 1 AND score < threshold) AS fn FROM test, best),
+ap AS ({_ap_sql("WITH rows AS (SELECT * FROM test)")}),
+ndcg AS ({_ndcg_sql("score", "test", "WITH ")}),
+at_k AS (
+  WITH r AS (SELECT qid, label, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS rn,
+                    count(*) OVER (PARTITION BY qid) AS n FROM test),
+  per AS (SELECT qid, sum(CASE WHEN rn <= 5 THEN label ELSE 0 END) / least(5, max(n)) AS a,
+                 sum(CASE WHEN rn <= 10 THEN label ELSE 0 END) / least(10, max(n)) AS b FROM r GROUP BY qid)
+  SELECT round(avg(a), 4) AS p_at_5, round(avg(b), 4) AS p_at_10 FROM per)
+SELECT threshold, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall,
+       round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 4) AS f1,
+       tp + fp AS selected, pr_auc, ndcg_at_5, ndcg_at_10, p_at_5, p_at_10
+FROM best, found, ap, ndcg, at_k"""
 _ROWS = f"WITH {V.CANDIDATES}, rows AS (SELECT * FROM candidates)"
 
 QUERIES = {
@@ -186,6 +239,11 @@ per AS (SELECT qid, sum(CASE WHEN rn <= 5 THEN label ELSE 0 END) / least(5, max(
 SELECT round(avg(a), 4) AS p_at_5, round(avg(b), 4) AS p_at_10 FROM per"""),
     "ndcg_at_k": (ndcg_at_k, _ndcg_sql("score")),
     "ndcg_tied_scores": (ndcg_tied_scores, _ndcg_sql("floor(score * 20)")),
+    "evaluate_split": (evaluate_split, _EVALUATE),
+    "dataset_groups": (dataset_groups, f"""WITH {V.CANDIDATES}
+SELECT query_repo || '@' || qid AS qid, qid * 100 AS ts, CAST(sum(label) OVER (PARTITION BY qid) AS INTEGER) AS n_pos,
+       CAST(rank AS INTEGER) AS place, repo, path, start_line, symbol, text_len, label, round(distance, 6) AS distance, 2 AS tokens
+FROM candidates"""),
     "time_split": (time_split, """WITH n AS (SELECT count(*) AS n FROM orders), c AS (
   SELECT CAST(floor(n * 0.8) AS BIGINT) AS cut, CAST(floor(floor(n * 0.8) * 0.85) AS BIGINT) AS fit FROM n)
 SELECT sha, CASE WHEN pos < fit THEN 'fit' WHEN pos < cut THEN 'valid' ELSE 'test' END AS part FROM (

@@ -1,12 +1,15 @@
 """Nearest-neighbour search and cross-repository duplicates."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cos_from_distance
-from ..operators import duplicates as D, knn
-from ..session import cut
-from . import views as V
+from ..operators import duplicates as D, history, knn
+from ..session import cut, ensure_checkpoint_dir
+from ..sources import files
+from . import text_queries, views as V
 
 _R = 6
 
@@ -68,6 +71,16 @@ def nearest_foreign(spark, sf):
     return _rounded(found, "cos").select("qid", "own_repo", "repo", "path", "symbol", "cos")
 
 
+def similar_end_to_end(spark, sf):
+    """From the lines that a change adds to the nearest foreign chunk of each chunk it touches."""
+    c = V.vchunks(spark, sf)
+    pieces = c.select((F.col("id") % 50).alias("change"), F.format_string("src/%d.rs", F.col("id") % 5).alias("path"),
+                      "start_line", "end_line", F.col("id").alias("chunk"))
+    touched = history.changed_chunks(pieces, history.added_ranges(text_queries.diff_lines(spark, sf))).select(F.col("chunk").alias("qid")).distinct()
+    found = knn.nearest_foreign(_queries(spark, sf).join(touched, "qid", "left_semi"), c, 0.35)
+    return _rounded(found, "cos").select("qid", F.concat_ws("/", "repo", "path").alias("other"), "symbol", "cos")
+
+
 # Vectors are random here, so the best foreign cosine stays near 0.5: the cut is lowered from
 # its default to where pairs exist.
 CUT = 0.30
@@ -108,6 +121,13 @@ def ledger_symmetric(spark, sf):
     return D.both_directions(dup_pairs(spark, sf))
 
 
+def ledger_round_trip(spark, sf):
+    """The ledger as it is stored, read back and seen from either file."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    D.in_report_order(dup_pairs(spark, sf)).write.json(path)
+    return D.both_directions(files.read_ledger(spark, path))
+
+
 def dup_ledger_lookup(spark, sf):
     c = V.vchunks(spark, sf)
     found = knn.top_k(c, V.query_vector(spark, sf), 200, carry=("repo", "path"))
@@ -175,6 +195,15 @@ SELECT id, best_id, round(sim, 6) AS sim FROM best"""),
     "ledger_delta": (ledger_delta, f"""WITH {_DELTA}, {_pairs_sql('pairs', CUT)} SELECT * FROM pairs"""),
     "dup_new_vs_baseline": (dup_new_vs_baseline, f"""WITH {_PAIRS}, {_pairs_sql('known', CUT + 0.05)}
 SELECT * FROM pairs p WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.a = p.a AND k.b = p.b)"""),
+    "ledger_round_trip": (ledger_round_trip, f"WITH {_LEDGER} SELECT * FROM ledger"),
+    "similar_end_to_end": (similar_end_to_end, f"""WITH {text_queries.DIFF}, {V.VCHUNKS}, touched AS (
+  SELECT DISTINCT v.* FROM vchunks v JOIN ranges r ON r.change = v.id % 50 AND r.path = 'src/' || (v.id % 5) || '.rs'
+    AND r.first <= v.end_line AND r.last >= v.start_line),
+other AS (
+  SELECT q.id AS qid, c.repo, c.path, c.symbol, list_distance(q.embedding, c.embedding) AS d, c.id
+  FROM touched q JOIN vchunks c ON c.repo <> q.repo)
+SELECT qid, repo || '/' || path AS other, symbol, round(1 - d * d / 2, 6) AS cos FROM other
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), id) = 1 AND 1 - d * d / 2 >= 0.35"""),
     "ledger_symmetric": (ledger_symmetric, f"WITH {_LEDGER} SELECT * FROM ledger"),
     "dup_ledger_lookup": (dup_ledger_lookup, f"""WITH {_LEDGER}, near AS (
   SELECT c.id, c.repo || '/' || c.path AS file

@@ -185,7 +185,7 @@ SELECT p_partkey, 'python', s, e, '',
                  ELSE (e - s + 1) * 10 - 1 END AS INTEGER) FROM win"""
 
 
-def _diff_lines(spark, sf):
+def diff_lines(spark, sf):
     e = V.events(spark, sf)
     n = F.floor(F.col("value")).cast("int")
     line = (F.when(F.col("event_type") == "view", F.concat(F.lit("+++ b/src/"), (n % 5).cast("string"), F.lit(".rs")))
@@ -196,7 +196,7 @@ def _diff_lines(spark, sf):
     return e.select(F.col("user_id").alias("change"), F.col("event_id").alias("line_no"), line.alias("line"))
 
 
-_DIFF = """diff AS (
+DIFF = """diff AS (
   SELECT user_id AS change, event_id AS line_no, event_type AS kind, CAST(floor(value) AS INTEGER) AS n,
          CASE event_type WHEN 'view' THEN 'src/' || (CAST(floor(value) AS INTEGER) % 5) || '.rs'
                          WHEN 'error' THEN '' END AS header
@@ -211,7 +211,7 @@ ranges AS (
 
 
 def added_ranges(spark, sf):
-    return history.added_ranges(_diff_lines(spark, sf))
+    return history.added_ranges(diff_lines(spark, sf))
 
 
 def changed_chunks(spark, sf):
@@ -324,8 +324,8 @@ FROM urls JOIN roots ON starts_with(path, root || '/') GROUP BY page_id"""),
 SELECT path, count(*) AS lines, count(*) AS covered FROM l
 WHERE regexp_matches(line, '[^\s\v\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}]') GROUP BY path"""),
     "chunk_python_files": (chunk_python_files, _CHUNK_PYTHON),
-    "added_ranges": (added_ranges, f"WITH {_DIFF} SELECT change, path, first, last FROM ranges"),
-    "changed_chunks": (changed_chunks, f"""WITH {_DIFF}, pieces AS (
+    "added_ranges": (added_ranges, f"WITH {DIFF} SELECT change, path, first, last FROM ranges"),
+    "changed_chunks": (changed_chunks, f"""WITH {DIFF}, pieces AS (
   SELECT p_partkey % 50 AS change, 'src/' || (p_partkey % 5) || '.rs' AS path, p_size AS start_line,
          p_size + p_partkey % 7 AS end_line, p_partkey AS chunk FROM part)
 SELECT change, path, chunk FROM pieces p WHERE EXISTS (

@@ -131,6 +131,19 @@ def test_caches(spark):
     assert U.reusable(flat, spark.createDataFrame([("r1", "moved")], "repo string, commit_sha string")).count() == 0
 
 
+def test_stored_cache_is_not_shuffled(spark, tmp_path):
+    """Only the chunks' side has an exchange, when the cache is written and when another session opens it."""
+    rows = _chunk_rows(spark, [("r1", f"{i}.rs", 1, f"fn f{i}") for i in range(50)])
+    asked = _chunk_rows(spark, [("r1", f"{i}.rs", 1, f"fn f{i}") for i in range(40, 60)])
+    stored = U.store_cache(U.vector_cache(rows), str(tmp_path / "cache"), 8)
+    for cache in (stored, U.open_cache(spark, str(tmp_path / "cache"), 8)):
+        split = U.split_by_cache(asked, cache, stored=True)
+        assert split.where("embedding IS NOT NULL").count() == 10 and split.count() == 20
+        plan = split._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    assert U.store_cache(U.vector_cache(asked), str(tmp_path / "cache"), 8).count() == 20
+
+
 def test_shards_partition_every_repo(spark):
     rows = _chunk_rows(spark, [(f"r{i % 3}", f"f{i % 7}.rs", i, "t") for i in range(40)])
     seen = [r["id"] for s in range(4) for r in U.stride_shard(rows, s, 4).collect()]
