@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..constants import FEATURES
-from ..operators import features as G, history, metrics as M
+from ..operators import boosting, features as G, history, metrics as M
 from ..operators.forest import Forest, package
 from ..session import cut, ensure_checkpoint_dir
 from ..sources import files
@@ -154,6 +154,14 @@ def dataset_groups(spark, sf):
         F.round("distance", 6).alias("distance"), F.size("query_tokens").alias("tokens"))
 
 
+def boosted_margins(spark, sf):
+    """Margins of a leaf-wise boosted model, learned from the older queries' candidates and applied to all."""
+    labelled = V.candidates(spark, sf).withColumn("label", (F.col("label") == F.col("query_label")).cast("int"))
+    rows = cut(G.group_features(labelled).join(_parts(spark, sf), "qid"))
+    model = boosting.train(rows, FEATURES, boosting.Options(rounds=8, rate=0.2, refresh=4), validation="is_test")
+    return Forest.of(model).apply(rows).select("qid", "id", "label", F.round("raw", 6).alias("raw"))
+
+
 def _ap_sql(rows):
     return f"""{rows}, g AS (
   SELECT score, sum(label) AS h, count(*) AS n FROM rows GROUP BY score),
@@ -240,6 +248,7 @@ SELECT round(avg(a), 4) AS p_at_5, round(avg(b), 4) AS p_at_10 FROM per"""),
     "ndcg_at_k": (ndcg_at_k, _ndcg_sql("score")),
     "ndcg_tied_scores": (ndcg_tied_scores, _ndcg_sql("floor(score * 20)")),
     "evaluate_split": (evaluate_split, _EVALUATE),
+    "boosted_margins": (boosted_margins, None),
     "dataset_groups": (dataset_groups, f"""WITH {V.CANDIDATES}
 SELECT query_repo || '@' || qid AS qid, qid * 100 AS ts, CAST(sum(label) OVER (PARTITION BY qid) AS INTEGER) AS n_pos,
        CAST(rank AS INTEGER) AS place, repo, path, start_line, symbol, text_len, label, round(distance, 6) AS distance, 2 AS tokens
