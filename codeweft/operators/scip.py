@@ -5,7 +5,8 @@ whole after the read. `at` orders occurrences inside one repository: (document,
 """
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -28,13 +29,6 @@ class Flat:
     documents: DataFrame
 
 
-@dataclass
-class Graph:
-    symbols: DataFrame
-    refs: DataFrame
-    stats: DataFrame
-
-
 def flatten_documents(docs: DataFrame) -> Flat:
     """docs(repo, doc, relative_path, symbols, occurrences) -> flat frames."""
     path = F.coalesce("relative_path", F.lit("")).alias("path")
@@ -173,31 +167,68 @@ def relation_refs(relations: DataFrame, defined: DataFrame) -> DataFrame:
             .select("repo", "symbol", "target", "role", "s.path", "s.line"))
 
 
+class Graph:
+    """The whole graph of the repositories in a Flat. Every part is worked out when it is first asked
+    for, and what several need is written once: symbols alone never resolve a reference."""
+
+    def __init__(self, flat: Flat):
+        self._given = flat
+
+    @cached_property
+    def flat(self) -> Flat:
+        return replace(self._given, occurrences=cut(self._given.occurrences))
+
+    @cached_property
+    def slices(self) -> DataFrame:
+        return cut(body_slices(self.flat.occurrences))
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        return references(self.flat.occurrences, self.slices)
+
+    @cached_property
+    def defined(self) -> DataFrame:
+        return cut(definitions(self.flat, self.slices))
+
+    @cached_property
+    def _parsed(self) -> DataFrame:
+        flat = self.flat
+        mentioned = (flat.occurrences.where("NOT is_def").select("repo", "symbol").distinct()
+                     .unionByName(flat.relations.select("repo", "symbol"))
+                     .unionByName(flat.relations.select("repo", F.col("target").alias("symbol"))))
+        return cut(intern_symbols(self.defined, mentioned, parsed=True))
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return self._parsed.drop("_d")
+
+    @cached_property
+    def stated(self) -> DataFrame:
+        return relation_refs(self.flat.relations, self.defined)
+
+    @cached_property
+    def derived(self) -> DataFrame:
+        return derive_impl_edges(self._parsed)
+
+    @cached_property
+    def refs(self) -> DataFrame:
+        def rows(df, symbol, enclosing, role):
+            return df.select(S.symbol_id(F.col("repo"), F.col(symbol)).alias("symbol_id"), "repo",
+                             "path", F.col("line").cast("int").alias("line"),
+                             S.symbol_id(F.col("repo"), F.col(enclosing)).alias("enclosing_symbol_id"),
+                             role.alias("role"))
+
+        return (rows(self.calls.withColumn("line", F.col("line") + 1), "symbol", "enclosing", F.lit("reference"))
+                .unionByName(rows(self.stated, "target", "symbol", F.col("role")))
+                .unionByName(rows(self.derived.where("target IS NOT NULL"), "target", "symbol", F.lit("implementation"))))
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return _stats(self.flat, self.symbols, self.calls, self.stated, self.derived)
+
+
 def ingest(flat: Flat) -> Graph:
-    """The whole graph of the repositories in `flat`."""
-    flat = Flat(cut(flat.occurrences), flat.infos, flat.relations, flat.documents)
-    slices = cut(body_slices(flat.occurrences))
-    calls = references(flat.occurrences, slices)
-    defined = cut(definitions(flat, slices))
-    mentioned = (flat.occurrences.where("NOT is_def").select("repo", "symbol").distinct()
-                 .unionByName(flat.relations.select("repo", "symbol"))
-                 .unionByName(flat.relations.select("repo", F.col("target").alias("symbol"))))
-    symbols = cut(intern_symbols(defined, mentioned, parsed=True))
-    stated = relation_refs(flat.relations, defined)
-    derived = derive_impl_edges(symbols)
-
-    def rows(df, symbol, enclosing, role):
-        return df.select(S.symbol_id(F.col("repo"), F.col(symbol)).alias("symbol_id"), "repo",
-                         "path", F.col("line").cast("int").alias("line"),
-                         S.symbol_id(F.col("repo"), F.col(enclosing)).alias("enclosing_symbol_id"),
-                         role.alias("role"))
-
-    refs = (rows(calls.withColumn("line", F.col("line") + 1), "symbol", "enclosing",
-                 F.lit("reference"))
-            .unionByName(rows(stated, "target", "symbol", F.col("role")))
-            .unionByName(rows(derived.where("target IS NOT NULL"), "target", "symbol",
-                              F.lit("implementation"))))
-    return Graph(symbols.drop("_d"), refs, _stats(flat, symbols, calls, stated, derived))
+    return Graph(flat)
 
 
 def _stats(flat: Flat, symbols, calls, stated, derived) -> DataFrame:

@@ -62,11 +62,15 @@ def chunk_id() -> Column:
 
 
 def stride_shard(chunks: DataFrame, shard: int, of: int) -> DataFrame:
-    """Every `of`-th chunk of each repository, in (path, start_line, end_line, id) order."""
+    """Every `of`-th chunk of each repository, in (path, start_line, end_line, id) order. Only these keys
+    are ordered; texts and vectors meet the chosen ones in one join. Keys tell chunks apart; null ones
+    belong to no shard."""
     if not 0 <= shard < of:
         raise ValueError(f"bad shard {shard}/{of}")
-    ranked = rank_in_group(chunks, ["repo"], ["path", "start_line", "end_line", "id"], "_at")
-    return ranked.where(F.col("_at") % of == shard).drop("_at")
+    keys = ["repo", "path", "start_line", "end_line", "id"]
+    ranked = rank_in_group(chunks.select(*keys), ["repo"], keys[1:], "_at")
+    mine = ranked.where(F.col("_at") % of == shard).select(*keys).distinct()
+    return chunks.join(mine, keys, "left_semi")
 
 
 def sha_conflicts(repos: DataFrame) -> DataFrame:
@@ -141,9 +145,11 @@ def chunk_cache(repos: DataFrame, chunks: DataFrame) -> DataFrame:
     Kept flat and joined on (repo, commit_sha): a repository is never folded into one value.
     """
     cols = ["path", "start_line", "end_line", "symbol", "lang", "text"]
-    return (repos.select("repo", "commit_sha")
-            .join(chunks.select("repo", *cols), "repo", "full")
-            .withColumn("commit_sha", F.coalesce("commit_sha", F.lit(""))))
+    pins = repos.select("repo", "commit_sha")
+    held = chunks.select("repo", *cols).join(pins, "repo", "left")       # a hot repository can be split here
+    empty = pins.join(chunks.select("repo").distinct(), "repo", "left_anti").select(
+        "repo", *[F.lit(None).cast(chunks.schema[c].dataType).alias(c) for c in cols], "commit_sha")
+    return held.unionByName(empty).select("repo", F.coalesce("commit_sha", F.lit("")).alias("commit_sha"), *cols)
 
 
 def reusable(cache: DataFrame, pins: DataFrame) -> DataFrame:
