@@ -160,7 +160,7 @@ def chunk_python_files(spark, sf):
 
 
 # The class (and with it its body lines) is one chunk until it has more than 250 lines or
-# 8000 bytes; then only its method is, and the rest falls into windows.
+# 8000 bytes; then only its method is, and the rest falls into windows. The import is one of its own.
 _CHUNK_PYTHON = r"""WITH p AS (
   SELECT p_partkey, p_size * 8 AS b,
          p_size * 8 + 3 <= 250 AND 42 + length(p_partkey::VARCHAR) + p_size * 80 <= 8000 AS whole
@@ -175,6 +175,8 @@ win AS (
 SELECT p_partkey, 'python' AS lang, 3 AS start_line, 5 AS end_line, 'f_' || p_partkey AS symbol,
        CAST(31 + length(p_partkey::VARCHAR) AS INTEGER) AS text_len FROM p
 UNION ALL
+SELECT p_partkey, 'python', 1, 2, '', 10 FROM p
+UNION ALL
 SELECT p_partkey, 'python', 7, CAST(9 + b AS INTEGER), 'C' || p_partkey,
        CAST(42 + length(p_partkey::VARCHAR) + b * 10 AS INTEGER) FROM p WHERE whole
 UNION ALL
