@@ -17,10 +17,12 @@ BUCKET_BYTES = 24 << 20
 
 
 def dealt(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """`docs` plus `chunk`, and the number of buckets that their texts call for."""
+    """`docs` plus `chunk`, and the number of buckets that their texts call for. Rows without doc_id are
+    dealt by their text."""
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     chunks = max(1, -(-total // chunk_bytes))
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))), max(1, -(-total // bucket_bytes))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    return docs.withColumn("chunk", F.pmod(key, F.lit(chunks))), max(1, -(-total // bucket_bytes))
 
 
 def by_doc_id(table: pa.Table) -> pa.Table:

@@ -11,16 +11,16 @@ to 1 over the V known words and one unknown, so scores are log probabilities.
 
 A traversal needs only the counts of the grams and contexts on its way. So a chunk of documents
 (chunks.py) sends each distinct gram once, with how often its training texts have it; buckets
-return corpus counts in the order of the question. The chunk does not build states and arcs as
-objects: as each token's n-gram is an arc and its context a state, the weights on the path of every
-token follow from the fetched counts at once, level by level, with the failure weight where an arc
-is not there. The model is never whole in one place and grows with the corpus."""
+return corpus counts in the order of the question. From them the chunk builds the part of the
+automaton that its texts can reach and traverses it (automaton.py). The model is never whole in one
+place and grows with the corpus."""
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .automaton import build, traverse
 from .chunks import bucket_runs, dealt, runs, unpack
 from .words import Words, mix, words_of
 
@@ -179,23 +179,15 @@ def score(docs: DataFrame, order: int = 2, prior: float = 200.0, chunk_bytes: in
         first = np.zeros(len(tokens.hashes), bool)
         first[tokens.offsets[:-1]] = True
         known = counts[at[0]]
-        p = (known + 1) / (n + v + 1)
-        base = np.log10(p)
-        state = np.concatenate(([0.0], known[:-1]))         # count of the context, level by level
-        state[first] = counts[start_at]
-        for level in range(1, order):
-            seen = counts[at[level]]
-            deeper = levels[level] != levels[level - 1]
-            # c(h) is 0 where the state does not exist: its failure arc then costs nothing
-            p = np.where(deeper, (seen + prior * p) / (state + prior), p)
-            state = np.concatenate(([0.0], seen[:-1]))
-            state[first] = 0
+        base = np.log10((known + 1) / (n + v + 1))
+        deeper = [np.ones(len(first), bool)] + [a != b for a, b in zip(levels[1:], levels)]
+        model = build(at, deeper, first, counts, start_at, n, v, prior)
         ends = tokens.offsets[:-1]
         total = lambda x: np.add.reduceat(x, ends) if len(ends) else np.zeros(0)
         return pa.table({
             "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": pa.array(tokens.counts, pa.int64()),
             "n_known": pa.array(total((known > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array([n] * table.num_rows, pa.int64()),
-            "base_score": pa.array(total(base), pa.float64()), "score": pa.array(total(np.log10(p)), pa.float64())})
+            "base_score": pa.array(total(base), pa.float64()), "score": pa.array(traverse(model, at[0], tokens.offsets), pa.float64())})
 
     chunks = docs.groupBy("chunk")
     counted = chunks.applyInArrow(ask, _REQUEST).groupBy("bucket").applyInArrow(add_up, _ANSWER)

@@ -6,11 +6,13 @@ from array import array
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, fold, words
 from pyspark.sql import functions as F
 
-from codeweft.llm import decontaminate, neardup, pieces, scoring, substrings
+from codeweft.llm import automaton, chunks, decontaminate, neardup, pieces, scoring, substrings
 from codeweft.llm.components import components
 
 DOCS = "doc_id long, text string"
@@ -178,7 +180,7 @@ def brute_scores(texts, held, order, m):
     return out
 
 
-@pytest.mark.parametrize("order,sizes", [(2, {}), (3, {"chunk_bytes": 20_000, "bucket_bytes": 30_000})])
+@pytest.mark.parametrize("order,sizes", [(2, {}), (1, {}), (4, {"chunk_bytes": 20_000}), (3, {"chunk_bytes": 20_000, "bucket_bytes": 30_000})])
 def test_scores(spark, documents, order, sizes):
     texts = documents | {900001: None, 900002: "", 900003: "never seen-before wordz"}
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in texts}
@@ -190,6 +192,30 @@ def test_scores(spark, documents, order, sizes):
     assert scoring.score(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+@pytest.mark.parametrize("segment", [1, 3, 7, 512])
+def test_lanes_of_a_traversal(order, segment):
+    texts = {i: " ".join("abcd"[(i * j * j + j // 3) % 4] for j in range(5 * i)) for i in range(12)} | {99: "a b never c d a"}
+    held = {d: d % 3 == 0 for d in texts}
+    want = brute_scores(texts, held, order, 2.0)
+    table = pa.table({"text": list(texts.values()), "held_out": pa.chunked_array([pa.array(list(held.values()))])})
+    tokens, levels, grams, _, at, start = scoring._chunk_grams(table, order, 1)
+    counts = scoring._train_counts(table, tokens, levels, grams, at, start).astype(float)
+    first = np.zeros(len(tokens.hashes), bool)
+    first[tokens.offsets[:-1]] = True
+    taught = [w for d, t in texts.items() if not held[d] for w in [*words(t), "</s>"]]
+    model = automaton.build(at, [levels[0] == levels[0]] + [a != b for a, b in zip(levels[1:], levels)], first, counts, start,
+                            len(taught), len(set(taught)), 2.0)
+    assert automaton.traverse(model, at[0], tokens.offsets, segment) == pytest.approx([want[d][5] for d in texts])
+
+
+def test_rows_without_id_are_dealt_by_text(spark):
+    docs = spark.createDataFrame([(None, f"text {i} of many") for i in range(200)], DOCS)
+    assert chunks.dealt(docs, chunk_bytes=100)[0].select("chunk").distinct().count() > 20
+    got = scoring.score(docs.withColumn("held_out", F.lit(None).cast("boolean")), chunk_bytes=100).collect()
+    assert len(got) == 200 and {(r.doc_id, r.held_out, r.n_known, r.train_tokens) for r in got} == {(None, False, 5, 1000)}
+
+
 def test_model_sums_to_one_and_beats_its_root(spark):
     rows = scoring.op9(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).head()
     assert rows[0] > rows[1]
