@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .text import fresh
+
 # Fixed element names.
 SILENT = set("script style noscript template iframe object svg math head title textarea select button option canvas audio video".split())
 FURNITURE = set("nav header footer aside form menu dialog fieldset".split())
@@ -156,12 +158,13 @@ def extract(pages: DataFrame, html: str = "html", tree=None) -> DataFrame:
     called text, n_blocks or n_main are replaced); an empty table gives no rows."""
     tree = tree or train_tree(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html, "text", "n_blocks", "n_main")]
+    (page_html,) = fresh(pages.columns, "html")
     schema = pages.select(*keep).schema.add("text", "string").add("n_blocks", "integer").add("n_main", "integer")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, all_, main = [], [], []
-            for page in batch.column("__html"):
+            for page in batch.column(page_html):
                 blocks = blocks_of(page.as_py() or "")
                 good = [b[0] for b, f in zip(blocks, features_of(blocks)) if is_main(tree, f)]
                 texts.append(" ".join(good))
@@ -171,7 +174,7 @@ def extract(pages: DataFrame, html: str = "html", tree=None) -> DataFrame:
                 [*(batch.column(c) for c in keep), pa.array(texts, pa.string()), pa.array(all_, pa.int32()), pa.array(main, pa.int32())],
                 names=[*keep, "text", "n_blocks", "n_main"])
 
-    return pages.select(*keep, pages[html].alias("__html")).mapInArrow(run, schema)
+    return pages.select(*keep, pages[html].alias(page_html)).mapInArrow(run, schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

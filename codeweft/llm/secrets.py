@@ -49,7 +49,8 @@ def _spans(text: Column, rank: int, kind: str, pattern: str, group: int, least:
 
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` plus `spans`: every span of every kind, by start, then kind in the order of KINDS.
-    A null or empty text has none. One row in, one row out; other columns pass through."""
+    A null or empty text has none. One row in, one row out; other columns pass through, but one called
+    spans is replaced."""
     body = F.coalesce(F.col(text), F.lit(""))
     parts = fresh(docs.columns, *(k for k, *_ in KINDS))
     for rank, (name, kind) in enumerate(zip(parts, KINDS)):

@@ -68,7 +68,7 @@ def communication_matrix(part_sizes, shards: int, seed: int) -> np.ndarray:
 def shuffle_to_shards(rows: DataFrame, ids: list[str], shards: int, seed: int = 0) -> DataFrame:
     """`rows` plus `shard` (0 to shards - 1) and `slot` (gapless from 0 in each shard).
 
-    `ids` should tell rows apart; rows equal in all of them are interchangeable, so which of them
+    Columns of these names are replaced. `ids` should tell rows apart; rows equal in all of them are interchangeable, so which of them
     gets which place has no meaning. Null ids are an id like any other. Shard sizes differ by one
     at most; fewer rows than shards leave some shards empty; an empty table gives an empty result.
     Parts and blocks hold about ROWS_PER_BLOCK rows however large the table is; the driver holds

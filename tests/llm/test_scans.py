@@ -134,6 +134,9 @@ def test_pages(spark):
     got = sorted((r.page_id, r.text) for r in html.extract(docs).collect())
     assert got == [(1, "Head & line One bold word . Two".replace(" .", ".")), (2, ""), (3, ""), (3, ""), (4, "cut <")]
     assert html.extract(docs.limit(0)).count() == 0
+    named = html.extract(docs.select("page_id", "html", F.col("url").alias("__html"), F.lit(7).alias("n_main")))
+    assert named.columns == ["page_id", "__html", "text", "n_blocks", "n_main"]
+    assert sorted((r.page_id, r["__html"], r.n_main) for r in named.collect() if r.page_id == 1) == [(1, "u", 3)]
 
 
 def test_articles_of_table(spark):
