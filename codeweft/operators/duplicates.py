@@ -9,10 +9,12 @@ from ..constants import SIM_THRESHOLD
 from ..functions import text as T
 from ..functions.vectors import arrow_schema, as_matrix, batch_of, normalised
 from ..session import MAX_BROADCAST_BYTES, cut
-from .knn import CELL_BYTES, blocks_for
+from .knn import blocks_for
 
 # Similarities are rounded once, where they are made; equal ones are settled by the smaller id.
 _PLACES = 9
+# Bytes of float64 vectors per side of one pair of blocks.
+CELL_BYTES = 64 << 20
 # Similarities held at once by one task.
 _TILE = 8 << 20
 # Vectors that pivots are chosen from, and pivots at most.

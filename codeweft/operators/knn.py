@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import text as T
 from ..functions.vectors import (arrow_schema, as_matrix, batch_of, cos_from_distance,
                                  l2_distance)
-from ..session import MAX_BROADCAST_BYTES
 
-# Bytes of float64 vectors per side of one grid cell.
-CELL_BYTES = 64 << 20
+# Bytes of queries, vectors and best rows, that one task holds.
+HELD_BYTES = 32 << 20
+# Pairs of vectors from which on a few partitions are dealt to all cores.
+_SPREAD_PAIRS = 1 << 26
 
 
 def top_k(chunks: DataFrame, query, k: int = 20, id_col: str = "id",
@@ -55,31 +56,68 @@ def pre_filtered(chunks: DataFrame, query, repo: str, k: int = 8,
 
 
 # Distances held at once by one task.
-_TILE = 4 << 20
+_TILE = 1 << 20
+# Rows per query and best row that a task keeps, with what their merging takes for a moment.
+_KEPT_BYTES = 48
 
 
-def _nearest(qids, q, own, ids, v, repo, k):
-    """The k nearest rows of v for every row of q, as (qid, id, distance) arrays; with repository keys
-    `own` and `repo`, only of others than a row's own.
+class Nearest:
+    """The k nearest rows so far of a block of queries, while chunks pass in batches of any order; with
+    repository keys `own`, only rows of other repositories than a query's own.
 
-    ids ascend, so settling equal (quantised) distances by column settles them by id.
+    A row enters only if it is no farther than the k-th so far, so after the first batches little is
+    sorted. Equal (quantised) distances are settled by id.
     """
-    if not len(q) or not len(v):
-        return qids[:0], ids[:0], np.empty(0)
-    parts, step, norms = [], max(1, _TILE // len(v)), (v * v).sum(1)
-    for s in range(0, len(q), step):
-        tile = q[s:s + step]
-        d2 = np.round(np.maximum((tile * tile).sum(1)[:, None] + norms - 2.0 * (tile @ v.T), 0.0), 12)
-        if own is not None:
-            d2[own[s:s + step, None] == repo[None, :]] = np.inf
-        edge = np.partition(d2, k - 1, axis=1)[:, k - 1:k] if k < len(v) else np.inf
-        rows, cols = np.nonzero((d2 <= edge) & (d2 < np.inf))
-        order = np.lexsort((cols, d2[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-        rows, cols = rows[keep], cols[keep]
-        parts.append((qids[s + rows], ids[cols], np.sqrt(d2[rows, cols])))
-    return [np.concatenate(x) for x in zip(*parts)]
+
+    def __init__(self, ids, rows, own, k):
+        self.ids, self.rows, self.own, self.k = ids, rows, own, k
+        self.norms = (rows * rows).sum(1)
+        self.d2, self.found = np.full((len(rows), k), np.inf), None
+
+    def add(self, ids, v, repo):
+        if not len(self.ids) or not len(v):
+            return
+        if self.found is None:
+            self.found = np.zeros(self.d2.shape, ids.dtype)
+        norms, step = (v * v).sum(1), max(1, _TILE // len(v))
+        for s in range(0, len(self.ids), step):
+            here = slice(s, s + step)
+            d2 = self.rows[here] @ v.T
+            d2 *= -2.0
+            d2 += norms
+            d2 += self.norms[here, None]
+            if self.own is not None:
+                d2[self.own[here, None] == repo[None, :]] = np.inf
+            edge = self.d2[here, -1]
+            if self.k < len(v) and np.isinf(edge).any():
+                edge = np.minimum(edge, np.partition(d2, self.k - 1, axis=1)[:, self.k - 1])
+            # a margin above the quantum, which is met again below
+            at, col = np.nonzero(d2 <= (np.maximum(edge, 0.0) + 1e-11)[:, None])
+            near = np.round(np.maximum(d2[at, col], 0.0), 12)
+            keep = np.flatnonzero((near <= self.d2[here, -1][at]) & (near < np.inf))
+            if len(keep):
+                self._merge(s + at[keep], near[keep], ids[col[keep]])
+
+    def _merge(self, at, near, ids):
+        rows = np.unique(at)
+        owner = np.concatenate((np.repeat(rows, self.k), at))
+        near = np.concatenate((self.d2[rows].ravel(), near))
+        ids = np.concatenate((self.found[rows].ravel(), ids))
+        order = np.lexsort((ids, near, owner))
+        owner = owner[order]
+        order = order[np.arange(len(order)) - np.searchsorted(owner, owner) < self.k]
+        self.d2[rows], self.found[rows] = near[order].reshape(-1, self.k), ids[order].reshape(-1, self.k)
+
+    def batches(self, schema):
+        """The answer as (query id, id, distance) rows, a part of the queries at a time."""
+        step = max(1, _TILE // (8 * self.k))
+        for s in range(0, len(self.ids) if self.found is not None else 0, step):
+            at, col = np.nonzero(self.d2[s:s + step] < np.inf)
+            yield batch_of((self.ids[s + at], self.found[s + at, col], np.sqrt(self.d2[s + at, col])), schema)
+
+
+def _pieces(batch, rows):
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
 def _sorted_block(table, id_name, vec_name, key_name):
@@ -107,15 +145,16 @@ def best_k(found: DataFrame, k: int, tasks: int) -> DataFrame:
 
 
 def batch_top_k(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
-                id_col: str = "id", broadcast_bytes: int = MAX_BROADCAST_BYTES,
-                cell_bytes: int = CELL_BYTES, foreign: bool = False) -> DataFrame:
+                id_col: str = "id", broadcast_bytes: int = HELD_BYTES,
+                cell_bytes: int = HELD_BYTES, foreign: bool = False) -> DataFrame:
     """(qid, id, distance, rank) for every query, nearest first; with `foreign`, only chunks whose
     `repo` is not the query's `own_repo` (told by 64-bit hashes; nulls are one repository).
 
-    Queries that fit the broadcast bound are held by every task while the chunks stream
-    past them: nothing is shuffled but k rows per query and task. Otherwise both sides are
-    hashed into blocks of bounded size and every pair of blocks is one task. Either way a
-    task gives at most k rows per query, and `best_k` merges those.
+    A task holds a block of queries with the k best of each, `cell_bytes` at most, while chunks stream
+    past in batches: its memory depends on neither side's size. Queries that are one such block
+    (`broadcast_bytes`) are held by every task and the chunks stay where they are; otherwise each block
+    meets the chunks in as few parts as keep all cores busy. Either way a task gives at most k rows per
+    query, and `best_k` merges those.
     """
     q = queries.select(F.col(qid).alias("qid"), F.col("embedding").alias("qv"),
                        *([F.xxhash64("own_repo").alias("own")] if foreign else []))
@@ -127,62 +166,85 @@ def batch_top_k(queries: DataFrame, chunks: DataFrame, k: int, qid: str = "qid",
     fields = f"qid {q.schema['qid'].dataType.simpleString()}, " \
              f"id {c.schema['id'].dataType.simpleString()}, distance double"
     row_bytes = 8 * max(size["d"] or 1, 1)
-    if size["n"] * row_bytes <= broadcast_bytes:
-        found = _against_broadcast(q, c, k, fields)
+    held_bytes, n = row_bytes + k * _KEPT_BYTES, c.count()
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    rows = max(1, cell_bytes // row_bytes)
+    if size["n"] * held_bytes <= broadcast_bytes:
         tasks = c.rdd.getNumPartitions()
+        if tasks < cores and size["n"] * n > _SPREAD_PAIRS:
+            tasks, c = cores, c.repartition(cores)
+        found = _against_broadcast(q, c, k, fields, rows)
     else:
-        blocks = blocks_for(c.count(), row_bytes, cell_bytes)
-        found, tasks = _against_grid(q, c, k, fields, size["n"], row_bytes, cell_bytes, blocks), blocks
+        blocks = blocks_for(size["n"], held_bytes, cell_bytes)
+        parts = max(1, min(-(-4 * cores // blocks), blocks_for(n, row_bytes, cell_bytes // 16)))
+        found, tasks = _against_grid(q, c, k, fields, blocks, parts, rows), parts
     return best_k(found, k, tasks)
 
 
-def _against_broadcast(q, c, k, fields):
+def _against_broadcast(q, c, k, fields, rows):
     table = q.toArrow()
     asked = _sorted_block(table, "qid", "qv", "own") if table.num_rows else (np.empty(0), np.empty((0, 0)), None)
     held = q.sparkSession.sparkContext.broadcast(asked)
     result = arrow_schema(fields)
 
     def scan(batches):
-        ids_q, mat_q, own = held.value
-        best = None
+        best = Nearest(*held.value, k)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = _nearest(ids_q, mat_q, own, *_sorted_block(batch, "id", "v", "repo"), k)
-            if best is not None:
-                part = [np.concatenate(x) for x in zip(best, part)]
-                order = np.lexsort((part[1], part[2], part[0]))
-                part = [x[order] for x in part]
-                first = np.searchsorted(part[0], part[0])
-                part = [x[np.arange(len(order)) - first < k] for x in part]
-            best = part
-        if best is not None:
-            yield batch_of(best, result)
+            for piece in _pieces(batch, rows):
+                best.add(*_sorted_block(piece, "id", "v", "repo"))
+        yield from best.batches(result)
 
     return c.mapInArrow(scan, fields)
 
 
 def blocks_for(n: int, row_bytes: int, cell_bytes: int) -> int:
-    return max(1, -(-n * row_bytes // cell_bytes))
-
+    return max(1, -(-n * row_bytes // max(cell_bytes, 1)))
 
-def _against_grid(q, c, k, fields, n, row_bytes, cell_bytes, cb):
-    qb = blocks_for(n, row_bytes, cell_bytes)
 
+def _against_grid(q, c, k, fields, blocks, parts, rows):
+    """Every block of queries against every part of the chunks, each pair a task's stream: first the
+    queries, which are held, then the chunks, which pass."""
     result = arrow_schema(fields)
 
-    def block(col, total):
+    def dealt(col, total):
         return F.pmod(F.xxhash64(col), F.lit(total)).cast("int")
 
-    qs = q.withColumn("qb", block("qid", qb)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
-    cs = c.withColumn("cb", block("id", cb)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    def copies(total):
+        return F.explode(F.sequence(F.lit(0), F.lit(total - 1)))
+
+    qs = (q.withColumn("_part", copies(parts)).withColumn("cell", dealt("qid", blocks) * parts + F.col("_part"))
+          .drop("_part").withColumn("passes", F.lit(False)))
+    cs = (c.withColumn("_block", copies(blocks)).withColumn("cell", F.col("_block") * parts + dealt("id", parts))
+          .drop("_block").withColumn("passes", F.lit(True)))
+    stream = (qs.unionByName(cs, allowMissingColumns=True).repartition(blocks * parts, "cell")
+              .sortWithinPartitions("cell", "passes"))
 
-    def cell(left, right):
-        out = _nearest(*_sorted_block(left, "qid", "qv", "own"), *_sorted_block(right, "id", "v", "repo"), k)
-        return pa.Table.from_batches([batch_of(out, result)])
+    def scan(batches):
+        at, asked, best = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, passes = (np.asarray(batch.column(x)) for x in ("cell", "passes"))
+            turns = np.flatnonzero((cell[1:] != cell[:-1]) | (passes[1:] != passes[:-1])) + 1
+            for start, stop in zip([0, *turns], [*turns, len(cell)]):
+                if cell[start] != at:
+                    if best is not None:
+                        yield from best.batches(result)
+                    at, asked, best = cell[start], [], None
+                part = batch.slice(start, stop - start)
+                if not passes[start]:
+                    asked.append(part)
+                    continue
+                if asked:
+                    best = Nearest(*_sorted_block(pa.Table.from_batches(asked), "qid", "qv", "own"), k)
+                    asked = []
+                if best is not None:
+                    for piece in _pieces(part, rows):
+                        best.add(*_sorted_block(piece, "id", "v", "repo"))
+        if best is not None:
+            yield from best.batches(result)
 
-    qs, cs = (side.repartition(qb * cb, "qb", "cb") for side in (qs, cs))
-    return qs.groupBy("qb", "cb").cogroup(cs.groupBy("qb", "cb")).applyInArrow(cell, fields)
+    return stream.mapInArrow(scan, fields)
 
 
 def nearest_foreign(queries: DataFrame, chunks: DataFrame, threshold: float | None = None, **kw) -> DataFrame:

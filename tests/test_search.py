@@ -1,4 +1,6 @@
 """Neighbours and duplicates against brute force, on both execution paths."""
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +191,21 @@ def test_ledger_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect())) == rows
     assert D.new_pairs(ledger, back).count() == 0
     assert files.read_ledger(spark, str(tmp_path / "nothing")) is None
+
+
+def test_nearest_memory_is_that_of_its_queries():
+    rng = np.random.default_rng(8)
+    q, v = rng.normal(size=(3000, 16)), np.round(rng.normal(size=(60_000, 16)), 1)
+    v[30_000:] = v[:30_000]                               # ties that pass in other batches
+    ids = rng.permutation(60_000)
+    tracemalloc.start()
+    best = knn.Nearest(np.arange(3000), q, None, 30)
+    for s in range(0, 60_000, 6000):
+        best.add(ids[s:s + 6000], v[s:s + 6000], None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    for i in range(0, 3000, 97):
+        d2 = np.round(np.maximum((q[i] ** 2).sum() + (v ** 2).sum(1) - 2 * v @ q[i], 0), 12)
+        assert np.allclose(best.d2[i], np.sort(d2)[:30], atol=2e-12)
+        assert best.found[i].tolist() == ids[np.lexsort((ids, np.round(d2, 9)))[:30]].tolist()
