@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, functions as F
 from ..constants import SIM_THRESHOLD
 from ..functions import text as T
 from ..functions.vectors import arrow_schema, as_matrix, batch_of, normalised
-from ..session import MAX_BROADCAST_BYTES, cut
-from .knn import blocks_for
+from ..session import cut
+from .knn import blocks_for, pieces
 
 # Similarities are rounded once, where they are made; equal ones are settled by the smaller id.
 _PLACES = 9
-# Bytes of float64 vectors per side of one pair of blocks.
-CELL_BYTES = 64 << 20
+# Bytes of float64 vectors per side of one pair of blocks, and of those that every task holds.
+CELL_BYTES = 16 << 20
 # Similarities held at once by one task.
-_TILE = 8 << 20
+_TILE = 1 << 20
 # Vectors that pivots are chosen from, and pivots at most.
 PIVOT_SAMPLE, MAX_PIVOTS = 20_000, 4096
 
@@ -77,13 +77,13 @@ def best_foreign(vectors: DataFrame, threshold: float = -1.0, **kw) -> DataFrame
 
 
 def best_match(left: DataFrame, right: DataFrame, threshold: float = -1.0,
-               broadcast_bytes: int = MAX_BROADCAST_BYTES, cell_bytes: int = CELL_BYTES) -> DataFrame:
+               broadcast_bytes: int = CELL_BYTES, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """(id, best_id, sim) for rows of `left` with a row of `right` from another repo that reaches the
     threshold: the most similar one, of equals (to nine places) the one of smaller id.
 
-    While `right` fits the broadcast bound it is multiplied against each partition of `left` in place.
-    Beyond that both are dealt into blocks and `Pruned` leaves out pairs of blocks that can't hold a
-    better match.
+    A task holds two blocks of CELL_BYTES at most. While `right` is one such block it is multiplied
+    against each partition of `left` in place. Beyond that both are dealt into blocks and `Pruned`
+    leaves out pairs of blocks that can't hold a better match.
     """
     l, r = _keyed(left), _keyed(right)  # noqa: E741
     n, row_bytes = _row_bytes(r)
@@ -134,6 +134,7 @@ class Pruned:
         rows = right.orderBy(F.xxhash64("id"), "id").select("embedding").limit(max(self.cells, min(
             PIVOT_SAMPLE, (64 << 20) // row_bytes))).toArrow()
         self.pivots = choose_pivots(normalised(as_matrix(rows.column("embedding"))), self.cells)
+        self._step = max(1, _TILE // len(self.pivots))
         self.right = cut(self._placed(right))
         self.left = cut(self._placed(left))
         stats = self.right.groupBy("cell").agg(F.max("away").alias("r"), F.count("*").alias("n")).collect()
@@ -148,10 +149,10 @@ class Pruned:
         """`rows` with the cell of the nearest pivot and the distance to it."""
         kind = rows.schema["id"].dataType.simpleString()
         fields = f"id {kind}, repo_key bigint, embedding array<float>, cell int, away double"
-        result, pivots = arrow_schema(fields), self.pivots
+        result, pivots, step = arrow_schema(fields), self.pivots, self._step
 
         def place(batches):
-            for batch in batches:
+            for batch in (p for b in batches for p in pieces(b, step)):
                 if batch.num_rows:
                     far = _distances(normalised(as_matrix(batch.column("embedding"))), pivots)
                     cell = far.argmin(axis=1)
@@ -194,12 +195,10 @@ class Pruned:
         near = cut(_folded(self._meet(own.withColumn("home", F.col("cell")).withColumn("cells", F.array("cell")))))
         kind = self.left.schema["id"].dataType.simpleString()
         fields = f"id {kind}, repo_key bigint, embedding array<float>, home int, cells array<int>"
-        result, pivots, radius, floor_ = arrow_schema(fields), self.pivots, self.radius, self.threshold
+        result, pivots, radius, floor_, step = arrow_schema(fields), self.pivots, self.radius, self.threshold, self._step
 
         def needed(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (p for b in batches for p in pieces(b, step)):
                 sim = np.maximum(np.nan_to_num(np.asarray(batch.column("sim"), dtype=np.float64), nan=-1.0), floor_)
                 # normalised vectors are no longer than one, so this is no less than their distance
                 reach = np.sqrt(np.maximum(2 - 2 * np.maximum(sim, -1.0), 0) + 1e-8)

@@ -116,7 +116,7 @@ class Nearest:
             yield batch_of((self.ids[s + at], self.found[s + at, col], np.sqrt(self.d2[s + at, col])), schema)
 
 
-def _pieces(batch, rows):
+def pieces(batch, rows):
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
@@ -190,7 +190,7 @@ def _against_broadcast(q, c, k, fields, rows):
     def scan(batches):
         best = Nearest(*held.value, k)
         for batch in batches:
-            for piece in _pieces(batch, rows):
+            for piece in pieces(batch, rows):
                 best.add(*_sorted_block(piece, "id", "v", "repo"))
         yield from best.batches(result)
 
@@ -239,7 +239,7 @@ def _against_grid(q, c, k, fields, blocks, parts, rows):
                     best = Nearest(*_sorted_block(pa.Table.from_batches(asked), "qid", "qv", "own"), k)
                     asked = []
                 if best is not None:
-                    for piece in _pieces(part, rows):
+                    for piece in pieces(part, rows):
                         best.add(*_sorted_block(piece, "id", "v", "repo"))
         if best is not None:
             yield from best.batches(result)

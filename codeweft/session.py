@@ -1,5 +1,5 @@
-"""Session defaults and the two rules every operator shares: where lineage is cut
-and when a side may be broadcast."""
+"""Session defaults and the rules every operator shares: where lineage is cut and how an
+input is spread."""
 from __future__ import annotations
 
 import tempfile
@@ -18,9 +18,6 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
-# Largest dense matrix (bytes) shipped to every executor; beyond it the block grid is used.
-MAX_BROADCAST_BYTES = 64 << 20
-
 
 def build_session(app: str = "codeweft", master: str | None = None, **conf) -> SparkSession:
     b = SparkSession.builder.appName(app)

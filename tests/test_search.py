@@ -209,3 +209,17 @@ def test_nearest_memory_is_that_of_its_queries():
         d2 = np.round(np.maximum((q[i] ** 2).sum() + (v ** 2).sum(1) - 2 * v @ q[i], 0), 12)
         assert np.allclose(best.d2[i], np.sort(d2)[:30], atol=2e-12)
         assert best.found[i].tolist() == ids[np.lexsort((ids, np.round(d2, 9)))[:30]].tolist()
+
+
+def test_duplicates_hold_small_tiles():
+    rng = np.random.default_rng(9)
+    a, b = (D.normalised(rng.normal(size=(n, 16))) for n in (4000, 30_000))
+    repo = np.arange(30_000) % 5
+    tracemalloc.start()
+    _, best, sim = D._best(np.arange(4000), repo[:4000], a, np.arange(30_000), repo, b, -1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20 and D.CELL_BYTES <= 16 << 20
+    for i in range(0, 4000, 401):
+        s = np.where(repo == repo[i], -2, np.round(b @ a[i], 9))
+        assert best[i] == s.argmax() and abs(sim[i] - s.max()) < 1e-8
