@@ -1,10 +1,11 @@
 """Innermost enclosing interval of every position, without pairing positions and intervals.
 
 Both axes (line, character) are covered by a fixed family of aligned blocks of 16^level
-positions. An interval is written as the few blocks that tile it exactly, and only the
-best interval per block survives the pre-aggregation. A position then looks up the one
-block per level it lies in and keeps the best answer. Work is linear in the rows times
-the number of levels however the intervals nest, cross or pile up.
+positions. Intervals are ranked once, so that the better of two is a greater number. An
+interval is written as the few blocks that tile it exactly, and only the best rank per block
+survives the pre-aggregation, which hashes and never sorts the blocks. A position then looks
+up the one block per level it lies in and keeps the best rank. Work is linear in the rows
+times the number of levels however the intervals nest, cross or pile up.
 
 Best means: greatest start, then smallest end, then last in order; both ends count as inside.
 """
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..constants import END_OF_LINE
 from ..session import cut
-from .ordering import rank_in_group
+from .ordering import global_rank, rank_in_group
 
 _RADIX_BITS = 4
 
@@ -75,8 +76,10 @@ def resolve_enclosing(points: DataFrame, intervals: DataFrame, doc: list[str],
     max_line, max_ch = top["l"], top["c"]
     line_levels, ch_levels = _levels(max_line), _levels(max_ch)
 
-    best = F.struct(F.col("s_line"), F.col("s_ch"), (-F.col("e_line")).alias("ne_line"),
-                    (-F.col("e_ch")).alias("ne_ch"), F.col("ordinal"), F.col(payload))
+    valid = (intervals.where(F.struct("s_line", "s_ch") <= F.struct("e_line", "e_ch"))
+             .select(*doc, "s_line", "s_ch", "e_line", "e_ch", (-F.col("e_line")).alias("_ne_line"),
+                     (-F.col("e_ch")).alias("_ne_ch"), "ordinal", F.col(payload).alias("_payload")))
+    ranked = cut(global_rank(valid, "s_line", "s_ch", "_ne_line", "_ne_ch", "ordinal", "_payload", name="_best"))
     multi = F.col("s_line") < F.col("e_line")
     # Nothing past the last position can be asked for, so ranges are clipped there.
     last_line, last_ch = F.lit(max_line), F.lit(max_ch)
@@ -97,19 +100,19 @@ def resolve_enclosing(points: DataFrame, intervals: DataFrame, doc: list[str],
          .otherwise(_tiles(p["lo"], p["hi"], ch_levels)),
         lambda t: F.struct(p["on"].alias("on"), t["level"].alias("level"),
                            t["node"].alias("node")))))
-    nodes = (intervals.where(F.struct("s_line", "s_ch") <= F.struct("e_line", "e_ch"))
-             .select(*doc, best.alias("best"), F.explode(tiled).alias("t"))
+    nodes = (ranked.select(*doc, "_best", F.explode(tiled).alias("t"))
              .groupBy(*doc, F.col("t.on").alias("on"), F.col("t.level").alias("level"),
                       F.col("t.node").alias("node"))
-             .agg(F.max("best").alias("best")))
+             .agg(F.max("_best").alias("_best")))
 
     probes = F.array(*_probes(whole_line, F.col("line"), line_levels),
                      *_probes(F.col("line"), F.col("ch"), ch_levels))
     asked = (at.select(*doc, "line", "ch", F.explode(probes).alias("t"))
              .select(*doc, "line", "ch", "t.on", "t.level", "t.node"))
-    return (asked.join(nodes, [*doc, "on", "level", "node"], "left")
-            .groupBy(*doc, "line", "ch").agg(F.max("best").alias("best"))
-            .select(*doc, "line", "ch", F.col(f"best.{payload}").alias(payload)))
+    found = (asked.join(nodes, [*doc, "on", "level", "node"], "left")
+             .groupBy(*doc, "line", "ch").agg(F.max("_best").alias("_best")))
+    return (found.join(ranked.select("_best", F.col("_payload").alias(payload)), "_best", "left")
+            .select(*doc, "line", "ch", payload))
 
 
 # Members of one shared range that a single window may order.

@@ -235,3 +235,13 @@ def test_edges_and_stats(shop):
         ("implementation", "core/Wrap#", "ghost", None, None)}
     assert shop.stats.drop("repo").first().asDict() == {
         "documents": 4, "symbols": 14, "refs": 7, "refs_unresolved": 2, "relationships": 5, "impl_trait_not_local": 1}
+
+
+def test_stabbing_hashes_its_blocks(spark):
+    """Tiles are aggregated by rank: the many blocks of an interval are never sorted, whatever the payload is."""
+    iv = spark.createDataFrame([("d", 0, 0, 900, 3, 1, "a"), ("d", 5, 2, 700, 1, 2, "b"), ("d", 5, 2, 700, 1, 2, None)],
+                               "doc string, s_line int, s_ch int, e_line int, e_ch int, ordinal long, who string")
+    pt = spark.createDataFrame([("d", 5, 2), ("d", 5, 1), ("d", 701, 0), ("d", 950, 0)], "doc string, line int, ch int")
+    out = resolve_enclosing(pt, iv, ["doc"], "who")
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.line, r.ch): r.who for r in out.collect()} == {(5, 2): "b", (5, 1): "a", (701, 0): "a", (950, 0): None}
