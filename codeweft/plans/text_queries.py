@@ -143,10 +143,14 @@ def text_decode(spark, sf):
         .select("doc_id", F.length("text").alias("chars"))
 
 
+# Modules that one task parses, some seconds' work.
+_MODULES = 5000
+
+
 def _python_files(spark, sf):
     """One small Python module per part; the class is as long as the part's size."""
     k = F.col("p_partkey").cast("string")
-    return V.table(spark, sf, "part", busy=True).select(
+    return V.table(spark, sf, "part", busy=True, rows=_MODULES).select(
         "p_partkey", "p_size", F.format_string("pkg/m%d.py", "p_partkey").alias("path"),
         F.concat(F.lit("import os\n\n@cached\ndef f_"), k, F.lit("(a):\n    return a\n\nclass C"), k,
                  F.lit(":\n"), F.repeat(F.lit("    x = 1\n"), F.col("p_size") * 8),

@@ -14,13 +14,14 @@ from ..session import spread
 _scans: dict = {}
 
 
-def table(spark: SparkSession, sf: str, name: str, busy: bool = False) -> DataFrame:
-    """A driver table; `busy` ones feed per-row text work and are spread over all cores."""
+def table(spark: SparkSession, sf: str, name: str, busy: bool = False, rows: int | None = None) -> DataFrame:
+    """A driver table; `busy` ones feed per-row text work and are spread over all cores, in tasks of about
+    `rows` at most if that is given."""
     path = f"{sf}/{name}.parquet"
     key = spark.sparkContext.applicationId, path
     if key not in _scans:                 # handles only: saves asking for the schema again
         _scans[key] = spark.read.parquet(path)
-    return spread(_scans[key]) if busy else _scans[key]
+    return spread(_scans[key], rows) if busy else _scans[key]
 
 
 # -- files and their chunks, from documents

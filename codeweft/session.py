@@ -62,8 +62,11 @@ def parallelism(spark: SparkSession) -> int:
                spark.sparkContext.defaultParallelism)
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, rows: int | None = None) -> DataFrame:
     """Use every core on an input of few files. `scan` is a bare read: asking for its
-    partitions runs nothing, and an input with enough of them is left as it is."""
+    partitions runs nothing, and an input with enough of them is left as it is. With `rows`, for heavy work
+    on narrow rows, a task gets no more than about so many however few bytes they are."""
     n = scan.sparkSession.sparkContext.defaultParallelism
+    if rows:
+        return scan.repartition(max(n, -(-scan.count() // rows)))
     return scan if scan.rdd.getNumPartitions() >= n // 2 else scan.repartition(n)

@@ -240,3 +240,14 @@ def test_added_ranges_and_chunks(spark):
         spark.createDataFrame(adds, "change string, path string, first int, last int"))
     assert {r["n"] for r in got.collect()} == \
         {n for _, _, s, e, n in spans if any(s <= b and e >= a for _, _, a, b in adds)}
+
+
+def test_heavy_rows_are_dealt_to_bounded_tasks(spark, tmp_path):
+    from codeweft.session import spread
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    scan = spark.read.parquet(f"{tmp_path}/t")
+    for rows in (40, 10):
+        dealt = spread(scan, rows)
+        sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 1000 and max(sizes) <= 2 * rows
+    assert spread(scan, 5000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
