@@ -5,7 +5,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import constants as K, schemas
@@ -159,24 +159,31 @@ def reusable(cache: DataFrame, pins: DataFrame) -> DataFrame:
 
 
 Embedder = Callable[[list[str]], np.ndarray]
+_VECTORS = pa.list_(pa.float32())
+
+
+def _vectors(rows) -> pa.Array:
+    """Rows of a matrix, or vectors of any lengths, as an Arrow list column."""
+    rows = [np.asarray(r, dtype=np.float32) for r in rows]
+    ends = np.cumsum([0, *(len(r) for r in rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.float32)))
 
 
 def embed(chunks: DataFrame, make_model: Callable[[], Embedder], batch: int = 8,
           raw: bool = False, max_chars: int | None = K.EMBED_MAX_CHARS) -> DataFrame:
     """Run the model over chunks without a vector. One model per task, Arrow batches in.
 
-    `make_model` is called on the worker, so the model itself is never shipped. `raw` embeds
+    `make_model` is called on the worker, so the model itself is never shipped; of an Arrow batch `batch`
+    texts at a time become Python strings. `raw` embeds
     the text as it is (queries) instead of prefixed (chunks). Of a chunk `max_chars` are read, as much as the
     default model takes in; hashes cover all of it.
     """
-    @F.pandas_udf("array<float>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make_model()
         for part in texts:
-            values = part.tolist()
-            rows = [v for i in range(0, len(values), batch)
-                    for v in np.asarray(model(values[i:i + batch]), dtype=np.float32)]
-            yield pd.Series([v.tolist() for v in rows])
+            rows = [_vectors(model(part.slice(i, batch).to_pylist())) for i in range(0, len(part), batch)]
+            yield pa.concat_arrays(rows) if rows else pa.array([], _VECTORS)
 
     text = F.col("text") if raw else T.embed_text(F.col("repo"), F.col("path"), F.col("text"), max_chars)
     return chunks.withColumn("embedding", run(text))

@@ -225,3 +225,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("caches", "--root", store.root, "--chunks", str(tmp_path / "cc"), "--vectors", str(tmp_path / "vc")) == 0
     assert run("dedup", "--root", store.root, "--out", str(tmp_path / "d")) == 0
     assert "0 duplicate file pairs" in capsys.readouterr().out
+
+
+def test_embedding_makes_few_texts_at_a_time(spark):
+    def make():
+        import tracemalloc
+        tracemalloc.start()
+        return lambda texts: [[float(tracemalloc.get_traced_memory()[0])] * (1 + len(texts[0]) % 2) for _ in texts]
+
+    chunks = spark.range(2000).coalesce(1).select(F.lit("r").alias("repo"), F.lit("p").alias("path"), F.concat(
+        F.repeat(F.lit("x"), 1500), F.col("id").cast("string")).alias("text"))
+    rows = [r[0] for r in U.embed(chunks, make).select("embedding").collect()]
+    assert len(rows) == 2000 and {len(v) for v in rows} == {1, 2}
+    assert min(v[0] for v in rows) < 4.5e6                # the batch itself; as strings all texts take as much again
