@@ -178,26 +178,42 @@ def embed(chunks: DataFrame, make_model: Callable[[], Embedder], batch: int = 8,
     the text as it is (queries) instead of prefixed (chunks). Of a chunk `max_chars` are read, as much as the
     default model takes in; hashes cover all of it.
     """
+    return chunks.withColumn("embedding", _embedder(make_model, batch)(_model_text(raw, max_chars)))
+
+
+def _model_text(raw: bool = False, max_chars: int | None = K.EMBED_MAX_CHARS) -> Column:
+    return F.col("text") if raw else T.embed_text(F.col("repo"), F.col("path"), F.col("text"), max_chars)
+
+
+def _embedder(make_model: Callable[[], Embedder], batch: int, known: bool = False):
+    """Column function from texts to vectors; with `known`, null texts stand for known vectors: they do not reach
+    the model and stay null."""
+    def vectors(model, texts):
+        rows = [_vectors(model(texts.slice(i, batch).to_pylist())) for i in range(0, len(texts), batch)]
+        return pa.concat_arrays(rows) if rows else pa.array([], _VECTORS)
+
     @F.arrow_udf("array<float>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make_model()
         for part in texts:
-            rows = [_vectors(model(part.slice(i, batch).to_pylist())) for i in range(0, len(part), batch)]
-            yield pa.concat_arrays(rows) if rows else pa.array([], _VECTORS)
+            if not known:
+                yield vectors(model, part)
+                continue
+            new = part.is_valid().to_numpy(zero_copy_only=False)
+            yield vectors(model, part.drop_null()).take(pa.array(np.cumsum(new) - 1, pa.int64(), mask=~new))
 
-    text = F.col("text") if raw else T.embed_text(F.col("repo"), F.col("path"), F.col("text"), max_chars)
-    return chunks.withColumn("embedding", run(text))
+    return run
 
 
 def embed_missing(chunks: DataFrame, cache: DataFrame | None,
-                  make_model: Callable[[], Embedder]) -> DataFrame:
-    """Vectors from the cache where known, from the model otherwise. What the cache says is written
-    once, so that chunks are not made anew for either part."""
+                  make_model: Callable[[], Embedder], batch: int = 8) -> DataFrame:
+    """Vectors from the cache where known, from the model otherwise: one pass over the chunks, in which the model
+    is given only the texts without a vector."""
     if cache is None:
-        return embed(chunks, make_model)
-    split = cut(split_by_cache(chunks, cache).drop("hash"))
-    return split.where("embedding IS NOT NULL").unionByName(
-        embed(split.where("embedding IS NULL").drop("embedding"), make_model))
+        return embed(chunks, make_model, batch)
+    split = split_by_cache(chunks, cache).drop("hash")
+    asked = F.when(F.col("embedding").isNull(), _model_text())
+    return split.withColumn("embedding", F.coalesce("embedding", _embedder(make_model, batch, known=True)(asked)))
 
 
 def fastembed_model(name: str = MODEL_NAME) -> Callable[[], Embedder]:

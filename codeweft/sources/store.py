@@ -113,10 +113,9 @@ class IndexStore:
     def put_chunks(self, chunks: DataFrame) -> None:
         """Replace the repositories that occur in `chunks`. Their files get a digest that no content
         has, so that a refresh takes each of them as changed."""
-        chunks = cut(chunks)
-        repos = chunks.select("repo").distinct()
-        self.chunk_table.change(repos, chunks, on=["repo"])
-        self.file_table.change(repos, chunks.select("path", F.lit("").alias("sha"), "repo").distinct(), on=["repo"])
+        put = self.chunk_table.replace(chunks, on=["repo"])
+        self.file_table.change(put.select("repo").distinct(),
+                               put.select("path", F.lit("").alias("sha"), "repo").distinct(), on=["repo"])
 
     def refresh(self, snapshot: DataFrame, heads: DataFrame, make_model, only=None,
                 now: str | None = None, partial: bool = False) -> dict:

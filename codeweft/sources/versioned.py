@@ -86,6 +86,18 @@ class VersionedTable:
             after = after.unionByName(rows.select(*self._columns()))
         self._commit([f for f in live if f not in set(touched)] + self._write(after))
 
+    def replace(self, rows: DataFrame, on: list[str] | None = None) -> DataFrame:
+        """Next version: with `rows`, and without the old rows that share one of their keys `on`. Returns `rows` as
+        written: their keys are read back from there, so nothing is kept besides the table's own files."""
+        on, live = on or self.keys, self.files()
+        new = self._write(rows.select(*self._columns()))
+        written = self._frame(new)
+        keys = written.select(*on).distinct()
+        touched = self.files_with(keys, on)
+        left = self._write(self._frame(touched).join(keys, on, "left_anti").select(*self._columns())) if touched else []
+        self._commit([f for f in live if f not in set(touched)] + left + new)
+        return written
+
     def _write(self, rows: DataFrame) -> list[str]:
         """New files in key order; adaptive execution sets their number by size."""
         run = uuid.uuid4().hex

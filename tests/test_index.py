@@ -1,6 +1,7 @@
 """Index store, incremental refresh, merge, caches, streaming and the command line."""
 import json
 import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from codeweft import __main__ as cli, schemas
 from codeweft.constants import MODEL_NAME
 from codeweft.operators import upkeep as U
+from codeweft.session import ensure_checkpoint_dir
 from codeweft.sources.store import CallGraphStore, IndexStore
 
 
@@ -238,3 +240,34 @@ def test_embedding_makes_few_texts_at_a_time(spark):
     rows = [r[0] for r in U.embed(chunks, make).select("embedding").collect()]
     assert len(rows) == 2000 and {len(v) for v in rows} == {1, 2}
     assert min(v[0] for v in rows) < 4.5e6                # the batch itself; as strings all texts take as much again
+
+
+def test_chunks_are_written_once(spark, tmp_path):
+    """Neither putting chunks nor asking the cache leaves a second copy of them on disk."""
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    tables = lambda: {p for p in folder.iterdir() if p.name.startswith("table-")}
+    store, before = IndexStore(spark, str(tmp_path / "ix")), tables()
+    store.put_chunks(_chunk_rows(spark, [("r1", "a.rs", 1, "t"), ("r1", "b.rs", 1, "u"), ("r2", "c.rs", 1, "v")]))
+    store.put_chunks(_chunk_rows(spark, [("r1", "a.rs", 7, "w"), ("r3", "d.rs", 1, "x")]))
+    place = lambda df: sorted((r.repo, r.path) for r in df.collect())
+    assert place(store.chunks()) == place(store.files()) == [("r1", "a.rs"), ("r2", "c.rs"), ("r3", "d.rs")]
+    store.put_chunks(store.chunks().where("false"))
+    assert store.chunks().count() == 3
+
+    def make():
+        def model(texts):
+            assert not any(t.endswith(("w", "v")) for t in texts)
+            return [[9.0, float(len(t))] for t in texts]
+        return model
+
+    asked = store.chunks().select("repo", "path", "start_line", "text").unionByName(spark.range(40).select(
+        F.lit("r4").alias("repo"), F.lit("e.rs").alias("path"), F.col("id").cast("int").alias("start_line"),
+        F.repeat(F.lit("y"), F.col("id").cast("int")).alias("text")))
+    cache = U.vector_cache(store.chunks().where("repo <> 'r3'"))
+    got = {(r.repo, r.start_line): r.embedding for r in
+           U.embed_missing(asked.withColumn("embedding", F.lit(None).cast("array<float>")), cache, make).collect()}
+    assert got == {("r1", 7): [7.0] * 4, ("r2", 1): [1.0] * 4, ("r3", 1): [9.0, 9.0],
+                   **{("r4", i): [9.0, 8.0 + i] for i in range(40)}}
+    only_known = store.chunks().where("repo <> 'r3'")
+    assert {tuple(r.embedding) for r in U.embed_missing(only_known, cache, make).collect()} == {(7.0,) * 4, (1.0,) * 4}
+    assert tables() == before
