@@ -30,7 +30,8 @@ class Flat:
 
 
 def flatten_documents(docs: DataFrame) -> Flat:
-    """docs(repo, doc, relative_path, symbols, occurrences) -> flat frames."""
+    """docs(repo, doc, relative_path, symbols, occurrences) -> flat frames. Symbols, with their relationships,
+    are written once, so that the documents are not parsed again for every use of them."""
     path = F.coalesce("relative_path", F.lit("")).alias("path")
     o, rng, body = F.col("o"), F.col("o.range"), F.col("o.enclosing_range")
     has_body = F.coalesce(F.size(body) > 0, F.lit(False))
@@ -47,8 +48,8 @@ def flatten_documents(docs: DataFrame) -> Flat:
                 S.span_end(F.col("_b"))["line"].alias("e_line"),
                 S.span_end(F.col("_b"))["ch"].alias("e_ch"),
                 rng[0].alias("n_line"), rng[1].alias("n_ch")))
-    infos = (docs.select("repo", "doc", path, F.posexplode("symbols").alias("pos", "s"))
-             .select("repo", "path", "doc", "pos", "s.*"))
+    infos = cut(docs.select("repo", "doc", path, F.posexplode("symbols").alias("pos", "s"))
+                .select("repo", "path", "doc", "pos", "s.*"))
     relations = (infos.select("repo", "path", "doc", "symbol", F.explode("relationships").alias("r"))
                  .select("repo", "path", "doc", "symbol", F.col("r.symbol").alias("target"),
                          F.explode(F.filter(F.array(
@@ -68,13 +69,15 @@ def body_slices(occurrences: DataFrame) -> DataFrame:
 def references(occurrences: DataFrame, slices: DataFrame) -> DataFrame:
     """Every non-definition occurrence with the innermost definition around it.
 
-    Only the distinct positions are resolved and kept; the occurrences join them by position.
+    Only the distinct positions are resolved and kept, with the id of what encloses them; the occurrences join
+    them by position.
     """
     points = (occurrences.where("NOT is_def")
               .select("repo", "path", "doc", "symbol",
                       F.col("n_line").alias("line"), F.col("n_ch").alias("ch")))
     around = cut(resolve_enclosing(points, slices.withColumnRenamed("symbol", "enclosing"),
-                                   ["repo", "doc"], "enclosing"))
+                                   ["repo", "doc"], "enclosing")) \
+        .withColumn("enclosing_id", S.symbol_id(F.col("repo"), F.col("enclosing")))
     return points.join(around, ["repo", "doc", "line", "ch"], "left")
 
 
@@ -178,9 +181,14 @@ class Graph:
     def flat(self) -> Flat:
         return replace(self._given, occurrences=cut(self._given.occurrences))
 
+    @cached_property
+    def _definitions(self) -> Flat:
+        """The few occurrences that define: what needs only these does not read all the others."""
+        return replace(self.flat, occurrences=cut(self.flat.occurrences.where("is_def")))
+
     @cached_property
     def slices(self) -> DataFrame:
-        return cut(body_slices(self.flat.occurrences))
+        return cut(body_slices(self._definitions.occurrences))
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -188,19 +196,21 @@ class Graph:
 
     @cached_property
     def defined(self) -> DataFrame:
-        return cut(definitions(self.flat, self.slices))
+        return cut(definitions(self._definitions, self.slices))
 
     @cached_property
     def _parsed(self) -> DataFrame:
+        """Symbols with a definition; edges need no others, so they do not ask what all occurrences mention."""
+        return cut(intern_symbols(self.defined, self.defined.select("repo", "symbol").where("false"), parsed=True))
+
+    @cached_property
+    def symbols(self) -> DataFrame:
         flat = self.flat
         mentioned = (flat.occurrences.where("NOT is_def").select("repo", "symbol").distinct()
                      .unionByName(flat.relations.select("repo", "symbol"))
                      .unionByName(flat.relations.select("repo", F.col("target").alias("symbol"))))
-        return cut(intern_symbols(self.defined, mentioned, parsed=True))
-
-    @cached_property
-    def symbols(self) -> DataFrame:
-        return self._parsed.drop("_d")
+        only = mentioned.join(self.defined.select("repo", "symbol"), ["repo", "symbol"], "left_anti")
+        return self._parsed.drop("_d").unionByName(cut(intern_symbols(self.defined.where("false"), only)))
 
     @cached_property
     def stated(self) -> DataFrame:
@@ -212,15 +222,15 @@ class Graph:
 
     @cached_property
     def refs(self) -> DataFrame:
-        def rows(df, symbol, enclosing, role):
+        def rows(df, symbol, enclosing_id, role):
             return df.select(S.symbol_id(F.col("repo"), F.col(symbol)).alias("symbol_id"), "repo",
                              "path", F.col("line").cast("int").alias("line"),
-                             S.symbol_id(F.col("repo"), F.col(enclosing)).alias("enclosing_symbol_id"),
-                             role.alias("role"))
+                             enclosing_id.alias("enclosing_symbol_id"), role.alias("role"))
 
-        return (rows(self.calls.withColumn("line", F.col("line") + 1), "symbol", "enclosing", F.lit("reference"))
-                .unionByName(rows(self.stated, "target", "symbol", F.col("role")))
-                .unionByName(rows(self.derived.where("target IS NOT NULL"), "target", "symbol", F.lit("implementation"))))
+        own = S.symbol_id(F.col("repo"), F.col("symbol"))
+        return (rows(self.calls.withColumn("line", F.col("line") + 1), "symbol", F.col("enclosing_id"), F.lit("reference"))
+                .unionByName(rows(self.stated, "target", own, F.col("role")))
+                .unionByName(rows(self.derived.where("target IS NOT NULL"), "target", own, F.lit("implementation"))))
 
     @cached_property
     def stats(self) -> DataFrame:

@@ -69,8 +69,8 @@ def resolve_enclosing(points: DataFrame, intervals: DataFrame, doc: list[str],
 
     intervals(doc..., s_line, s_ch, e_line, e_ch, ordinal, payload).
     """
-    at = points.select(*doc, "line", "ch").distinct()
-    top = points.agg(F.max("line").alias("l"), F.max("ch").alias("c")).first()
+    at = cut(points.select(*doc, "line", "ch").distinct())
+    top = at.agg(F.max("line").alias("l"), F.max("ch").alias("c")).first()
     if top["l"] is None:
         return at.withColumn(payload, F.lit(None).cast(intervals.schema[payload].dataType))
     max_line, max_ch = top["l"], top["c"]

@@ -122,13 +122,15 @@ def nested_documents(spark, sf):
     place = F.when((F.col("n_ch") % 2) == 0, F.array("n_line", "n_ch", F.col("n_ch") + 1)).otherwise(
         F.array("n_line", "n_ch", "n_line", F.col("n_ch") + 1))
     ints = lambda *c: F.array(*[F.col(x).cast("int") for x in c])
-    item = F.struct(F.col("pos").alias("at"), F.col("n_line").alias("a"), F.col("n_ch").alias("b"), "symbol", F.struct(
-        place.cast("array<int>").alias("range"), "symbol", F.col("is_def").cast("int").alias("symbol_roles"),
-        F.when(F.col("has_body"), ints("s_line", "s_ch", "e_line", "e_ch")).alias("enclosing_range")).alias("o"))
+    item = F.struct(place.cast("array<int>").alias("range"), "symbol", F.col("is_def").cast("int").alias("symbol_roles"),
+                    F.when(F.col("has_body"), ints("s_line", "s_ch", "e_line", "e_ch")).alias("enclosing_range"))
+    # only definitions, which come first, have a position that counts
+    placed = F.struct(F.col("pos").alias("at"), "symbol", item.alias("o"))
     local = F.array(F.struct(F.array(F.lit(1), F.lit(0), F.lit(2)).alias("range"), F.lit("local 7").alias("symbol"),
                              F.lit(0).alias("symbol_roles"), F.lit(None).cast("array<int>").alias("enclosing_range")))
-    uses = o.groupBy("repo", "doc", F.col("path").alias("relative_path")).agg(F.concat(local, F.transform(
-        F.sort_array(F.collect_list(item)), lambda x: x["o"])).alias("occurrences"))
+    uses = o.groupBy("repo", "doc", F.col("path").alias("relative_path")).agg(F.concat(
+        local, F.transform(F.sort_array(F.collect_list(F.when(F.col("is_def"), placed))), lambda x: x["o"]),
+        F.collect_list(F.when(~F.col("is_def"), item))).alias("occurrences"))
     related = flat.relations.groupBy("repo", "doc", "symbol").agg(F.collect_list(F.struct(
         F.col("target").alias("symbol"), F.lit(True).alias("is_implementation"), F.lit(False).alias("is_reference"),
         F.lit(True).alias("is_type_definition"))).alias("relationships"))

@@ -167,7 +167,7 @@ def scip_flat(spark, sf):
         (F.col("p_size") + p % 29).cast("int").alias("n_line"), (p % 5).cast("int").alias("n_ch"))
     used = part.select(F.col("p_partkey").alias("l_partkey"), "symbol", F.col("p_brand").alias("repo"))
     uses = table(spark, sf, "lineitem").join(used, "l_partkey").select(
-        "repo", F.format_string("src/%d.rs", F.col("l_suppkey") % 20).alias("path"),
+        "repo", F.concat(F.lit("src/"), (F.col("l_suppkey") % 20).cast("string"), F.lit(".rs")).alias("path"),
         (F.col("l_suppkey") % 20).cast("int").alias("doc"), F.lit(1 << 30).alias("pos"), "symbol",
         F.lit(False).alias("is_def"), F.lit(False).alias("has_body"),
         F.col("l_quantity").cast("int").alias("s_line"), F.lit(0).alias("s_ch"),

@@ -245,3 +245,18 @@ def test_stabbing_hashes_its_blocks(spark):
     out = resolve_enclosing(pt, iv, ["doc"], "who")
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.line, r.ch): r.who for r in out.collect()} == {(5, 2): "b", (5, 1): "a", (701, 0): "a", (950, 0): None}
+
+
+def test_documents_are_not_read_again_for_edges(spark, tmp_path):
+    """What several edges need comes from written tables, and edges do not ask what all occurrences mention."""
+    with open(tmp_path / "docs.json", "w") as fh:
+        for i, d in enumerate(SHOP["documents"]):
+            fh.write(json.dumps({"repo": "r", "doc": i, **d}) + "\n")
+    flat = scip.flatten_documents(scip_json.read_documents(spark, str(tmp_path / "docs.json")))
+    graph = scip.ingest(flat)
+    assert graph.refs.count() > 0
+    for read in (graph.refs, flat.infos, flat.relations):
+        assert read.inputFiles() and not any(f.endswith(".json") for f in read.inputFiles())
+    assert graph._parsed.where("path IS NULL").count() == 0
+    assert {r.scip_symbol for r in graph.symbols.where("path IS NULL").collect()} >= {P + "ext/log!", P + "core/round()."}
+    assert graph.symbols.count() == graph.symbols.select("id").distinct().count()
